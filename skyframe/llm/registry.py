@@ -1,11 +1,13 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import substring_dedup
+from . import jaccard_join, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
 }
 
 ORACLES = {
     "op2_substring_dedup": substring_dedup.ORACLE,
+    "op4_ngram_jaccard_join": jaccard_join.ORACLE,
 }
