@@ -1,13 +1,15 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import jaccard_join, substring_dedup
+from . import jaccard_join, source_mix, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
+    "op8_source_mix": source_mix.op8_source_mix,
 }
 
 ORACLES = {
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op4_ngram_jaccard_join": jaccard_join.ORACLE,
+    "op8_source_mix": source_mix.ORACLE,
 }
