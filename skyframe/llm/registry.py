@@ -1,11 +1,13 @@
 """Queries of this subpackage and their DuckDB SQL."""
 
-from . import jaccard_join, source_mix, substring_dedup
+from . import jaccard_join, repetition, source_mix, substring_dedup, token_count
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
+    "op5_repetition_rules": repetition.op5_repetition_rules,
     "op8_source_mix": source_mix.op8_source_mix,
+    "op9_token_count": token_count.op9_token_count,
 }
 
 ORACLES = {
