@@ -12,7 +12,8 @@ only 6 of 31 positions are hashed.
    second pass; marked anchors extend to the windows that contain them, and those windows are
    hashed whole.  Windows with a smaller document are found exactly in a second packed exchange.
    False positives of the filter only add windows; a full filter means that all are compared.
-3. Starts of repeated windows return to their documents, whose words are marked and removed.
+3. Starts of repeated windows return to their documents in a third packed exchange, one row for
+   each document, and its words are marked and removed.
 
 No pair of documents is ever formed, so a passage in a third of all documents costs one row
 for each occurrence.  Windows are equal when their 128-bit hashes are (two independent 64-bit
@@ -73,7 +74,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     C.tune(spark)
     n = C.partitions(spark)
     rows = C.text_bytes(docs, C.doc_id_col()).where("doc_id is not null")
-    a_types, w_types = ["u8", "i8", "i8"], ["u8", "u8", "i8", "i4", "u8"]
+    a_types, w_types, d_types = ["u8", "i8", "i8"], ["u8", "u8", "i8", "i4", "u8"], ["u8", "i8", "i4"]
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, out = C.WordHash(), C.Packer(n, a_types)
@@ -140,20 +141,27 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
         new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])] if len(w1) else np.empty(0, bool)
         least = who[np.flatnonzero(new)][np.cumsum(new) - 1]
         gone = np.flatnonzero(who > least)
-        if len(gone):
-            gone = gone[np.lexsort((pos[gone], fp[gone], who[gone]))]
-            who, fp, pos = who[gone], fp[gone], pos[gone]
+        out = C.Packer(n, d_types)
+        out.add(C.mix(who[gone].view(np.uint64) ^ fp[gone]), fp[gone], who[gone], pos[gone])
+        yield from out.flush()
+
+    def by_document(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        fp, who, pos = C.unpack(blobs, d_types)
+        order = np.lexsort((pos, fp, who))
+        fp, who, pos = fp[order], who[order], pos[order]
+        if len(who):
             cuts = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (fp[1:] != fp[:-1]), True])
             blob = [np.unique(pos[i:j]).astype("i4").tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(who[cuts[:-1]], pa.int64()), pa.array(fp[cuts[:-1]].view(np.int64), pa.int64()), pa.array(blob, pa.binary())], ["doc_id", "fp", "starts"])
 
-    return C.cut(C.exchange(rows.mapInArrow(send_windows, C.Packer.schema), n, judge, "doc_id long, fp long, starts binary"))
+    dup = C.exchange(rows.mapInArrow(send_windows, C.Packer.schema), n, judge, C.Packer.schema)
+    return C.cut(C.exchange(dup, n, by_document, "doc_id long, fp long, starts binary"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, text`` with ``text`` the kept words joined by one space."""
-    starts = repeated_windows(docs, window).groupBy("doc_id", "fp").agg(F.collect_list("starts").alias("starts"))  # at most the document's words
-    rows = C.text_bytes(docs, C.doc_id_col()).withColumn("fp", F.lit(None).cast("long"))
+    starts = repeated_windows(docs, window)
+    rows = C.text_bytes(docs, C.doc_id_col())
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,11 +171,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for i, t, lists in zip(*(c.to_pylist() for c in b.columns)):
+            for i, t, at in zip(*(c.to_pylist() for c in b.columns)):
                 words = (t or b"").split()
                 total = len(words)
-                if lists:
-                    at = np.concatenate([np.frombuffer(x, "i4") for x in lists])
+                if at:
+                    at = np.frombuffer(at, "i4")
                     mark = np.zeros(total + 1, np.int32)
                     np.add.at(mark, at, 1)
                     np.add.at(mark, at + window, -1)
@@ -176,7 +184,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["doc_id", "n_words", "n_removed", "text"])
 
-    full = rows.select("doc_id", "text").mapInArrow(fingerprint, "doc_id long, text binary, fp long")
+    full = rows.mapInArrow(fingerprint, "doc_id long, text binary, fp long")
     full = full.join(starts, ["doc_id", "fp"], "left").select("doc_id", "text", "starts")
     return full.mapInArrow(apply, "doc_id long, n_words long, n_removed long, text binary")
 
