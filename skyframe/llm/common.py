@@ -293,10 +293,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     n = partitions(spark)
     e = cut(edges.select("a", "b").where("a <> b").mapInArrow(local, schema))
     for _ in range(max_rounds):
-        # min-hooking: every node learns the least neighbour; big nodes pass it on to their others
+        # large star: every node points its larger neighbours at the least one that it knows;
+        # the forests of the next deal then do the same for smaller neighbours
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        nxt = e.join(least, e.a == least.k).select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("k").alias("x"), F.col("m").alias("y")))
+        nxt = both.join(least, both.a == least.k).where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
         nxt = nxt.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         nxt = cut(nxt.repartition(n, "a").mapInArrow(local, schema).distinct())
         # done when every node points at one root that points nowhere
