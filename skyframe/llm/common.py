@@ -70,22 +70,76 @@ def doc_id_col() -> Column:
 # ---------------------------------------------------------------- words and hashes
 
 
-class WordHash(dict):
-    """Word bytes to a 64-bit hash, remembered; ``lower`` folds A-Z first."""
-
-    def __init__(self, lower: bool = False):
-        super().__init__()
-        self.lower = lower
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word.lower() if self.lower else word)
-        if len(self) > MEMO_LIMIT:
-            self.clear()
-        self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_SPAN = 1 << 18  # bytes hashed together; a longer word extends its span
+_ODD = 0x9E3779B97F4A7C15
+_LETTERS = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([i])) for i in range(256)), ">u8").astype(np.uint64) | np.uint64(1)
+_LETTERS_LOWER = _LETTERS[[i + 32 if 65 <= i <= 90 else i for i in range(256)]]
+_IS_WS = np.isin(np.arange(256), list(WS))
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, kept at the greatest length asked for."""
+    if not _powers or len(_powers[0]) < n:
+        inverse = pow(_ODD, -1, 1 << 64)
+        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_ODD, inverse)]
+    return _powers
+
+
+def _hash_span(span: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Start offset and 64-bit hash of every word of a span, from prefix sums of a polynomial."""
+    x = np.frombuffer(span, np.uint8)
+    blank = _IS_WS[x]
+    edge = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        up, down = _power_tables(max(len(x), _SPAN))
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum((_LETTERS_LOWER if lower else _LETTERS)[x] * up[: len(x)], out=sums[1:])
+        return start, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64), 5)
+
+
+def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` and the word offsets of each text; ``lower`` folds A-Z.
+
+    Works on spans of whole words, so memory follows the span and not the text.
+    """
+    counts, hashes = np.zeros(len(texts), np.int64), []
+    part: list[bytes] = []
+    who: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if part:
+            start, h = _hash_span(b" ".join(part), lower)
+            at = offsets([len(t) + 1 for t in part])
+            np.add.at(counts, who, np.diff(np.searchsorted(start, at)))
+            hashes.append(h)
+            part.clear()
+            who.clear()
+            size = 0
+
+    for i, t in enumerate(texts):
+        at = 0
+        while t and at < len(t):
+            end = len(t)
+            if end - at > 2 * _SPAN:
+                end = next((k for k in range(at + _SPAN, len(t)) if _IS_WS[t[k]]), len(t))
+            part.append(t[at:end] if at or end < len(t) else t)
+            who.append(i)
+            size += end - at
+            at = end
+            if size >= _SPAN:
+                flush()
+    flush()
+    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), offsets(counts)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct entries."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
