@@ -40,14 +40,6 @@ WINDOW, PERIOD, ANCHOR = 50, 31, 20
 COVER = (1, 5, 11, 24, 25, 27)  # perfect difference set modulo 31
 
 
-def _docs(b: pa.RecordBatch, memo: C.WordHash):
-    """Hashes of all words of a batch, the word offsets of its documents and their ids."""
-    ids, words = b.column(0).to_pylist(), [(t or b"").split() for t in b.column(1).to_pylist()]
-    at = C.offsets([len(w) for w in words])
-    h = np.concatenate([memo.of(w) for w in words]) if words else np.empty(0, np.uint64)
-    return ids, words, at, h
-
-
 def _inside(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts (in the batch) of all windows that stay in one document, and their documents."""
     n = np.maximum(np.diff(at) - size + 1, 0)
@@ -77,9 +69,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     a_types, w_types, d_types = ["u8", "i8", "i8"], ["u8", "u8", "i8", "i4", "u8"], ["u8", "i8", "i4"]
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, out = C.WordHash(), C.Packer(n, a_types)
+        out = C.Packer(n, a_types)
         for b in batches:
-            ids, _, at, h = _docs(b, memo)
+            ids, (h, at) = b.column(0).to_pylist(), C.hash_words(b.column(1).to_pylist())
             _, doc, ah = _anchors(at, h, period, anchor, cover)
             if len(ah):
                 who = np.array(ids, np.int64)[doc]
@@ -107,9 +99,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     bits = C.bloom_build(hashes, count)
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, out = C.WordHash(), C.Packer(n, w_types)
+        out = C.Packer(n, w_types)
         for b in batches:
-            ids, words, at, h = _docs(b, memo)
+            ids, (h, at) = b.column(0).to_pylist(), C.hash_words(b.column(1).to_pylist())
             start, doc, ah = _anchors(at, h, period, anchor, cover)
             hit = C.bloom_probe(ah, bits.value) if len(ah) else np.empty(0, bool)
             start, doc = start[hit], doc[hit]
