@@ -75,6 +75,7 @@ _ODD = 0x9E3779B97F4A7C15
 _LETTERS = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([i])) for i in range(256)), ">u8").astype(np.uint64) | np.uint64(1)
 _LETTERS_LOWER = _LETTERS[[i + 32 if 65 <= i <= 90 else i for i in range(256)]]
 _IS_WS = np.isin(np.arange(256), list(WS))
+_IS_MARK = _IS_WS | ((np.arange(256) < 128) & ~np.array([chr(i).isalnum() for i in range(256)]))  # ASCII marks as well
 _powers: list[np.ndarray] = []
 
 
@@ -86,10 +87,10 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _hash_span(span: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _hash_span(span: bytes, lower: bool, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start offset and 64-bit hash of every word of a span, from prefix sums of a polynomial."""
     x = np.frombuffer(span, np.uint8)
-    blank = _IS_WS[x]
+    blank = blanks[x]
     edge = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     with np.errstate(over="ignore"):
@@ -99,8 +100,9 @@ def _hash_span(span: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
         return start, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64), 5)
 
 
-def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` and the word offsets of each text; ``lower`` folds A-Z.
+def hash_words(texts: list[bytes | None], lower: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` and the word offsets of each text; ``lower`` folds A-Z, ``marks`` cuts
+    words at ASCII marks too.
 
     Works on spans of whole words, so memory follows the span and not the text.
     """
@@ -112,7 +114,7 @@ def hash_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarr
     def flush() -> None:
         nonlocal size
         if part:
-            start, h = _hash_span(b" ".join(part), lower)
+            start, h = _hash_span(b" ".join(part), lower, _IS_MARK if marks else _IS_WS)
             at = offsets([len(t) + 1 for t in part])
             np.add.at(counts, who, np.diff(np.searchsorted(start, at)))
             hashes.append(h)
