@@ -12,6 +12,7 @@ from ..operators import background, convolve, detect, measure
 from ..operators.dedup import deduplicate
 from ..sources import images
 from . import tile
+from .durable import cut
 
 CATALOG = "brick string, label int, npix int, x double, y double, ra double, dec double, a double, b double, theta double, ellipticity double, kron_radius double, flux_iso double, flux_auto double, flags short, peak_snr double, peak_row int, peak_col int, rmin int, rmax int, cmin int, cmax int"
 COLUMNS = [c.split()[0] for c in CATALOG.split(", ")]
@@ -28,9 +29,17 @@ def filtered(pixels: DataFrame, bcfg: BackgroundConfig, dcfg: DetectConfig) -> D
 
 
 def measured(pixels: DataFrame, dims: DataFrame, wcs: DataFrame, bcfg: BackgroundConfig, dcfg: DetectConfig, mcfg: MeasureConfig) -> DataFrame:
-    """The catalog of a dense pixel relation, in DataFrame operations except for labelling."""
-    px = filtered(pixels, bcfg, dcfg)
-    labels = detect.label_components(detect.mask(px, dcfg.thresh))
+    """The catalog of a dense pixel relation, in DataFrame operations except for labelling.
+
+    The filtered pixels feed mask, moments and aperture, so they are written once; so are the labels.
+    """
+    px = cut(filtered(pixels, bcfg, dcfg))
+    return measured_from(px, dims, wcs, dcfg, mcfg)
+
+
+def measured_from(px: DataFrame, dims: DataFrame, wcs: DataFrame, dcfg: DetectConfig, mcfg: MeasureConfig) -> DataFrame:
+    """``measured`` from filtered pixels that are cheap to read again."""
+    labels = cut(detect.label_components(detect.mask(px, dcfg.thresh)))
     found = detect.detections(labels, dcfg)
     foot = measure.footprint(labels, found)
     shape = measure.kron_radius(foot, measure.moments(foot), mcfg)

@@ -7,14 +7,16 @@ quantised with ``floor(x * 1e6 + 0.5) / 1e6`` on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import BLOCK, BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
+from .config import BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
 from .functions.scalar import brick_name, is_brick, megapixels, pix_to_sky, plate_scale, q
 from .operators import background, convolve, dedup, detect, measure, summaries, viewer
 from .plans import pipeline
+from .plans.durable import cut
 from .sources import sinks, views
 
 BG, DET, MES = BackgroundConfig(mesh=16), DetectConfig(thresh=0.5), MeasureConfig()
@@ -26,7 +28,7 @@ SIDE = views.LIN_SIDE
 
 
 class Stages:
-    """The steps of one run over ``lin_px``; each is a plan and costs nothing until it is used."""
+    """The steps of one run over ``lin_px``; filtered pixels and labels are written once, the rest are plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.px, self.dims, self.wcs = spark, views.lin_px(spark, sf_dir), views.dims(spark), views.wcs(spark)
@@ -36,13 +38,14 @@ class Stages:
     res = property(lambda s: background.residual(s.full))
     smooth = property(lambda s: convolve.smooth(s.res, "res", DET.sigma))
     snr = property(lambda s: detect.snr_map(s.smooth))
-    mask = property(lambda s: detect.mask(s.snr, DET.thresh))
-    labels = property(lambda s: detect.label_components(s.mask))
+    filtered = cached_property(lambda s: cut(s.snr))
+    mask = property(lambda s: detect.mask(s.filtered, DET.thresh))
+    labels = cached_property(lambda s: cut(detect.label_components(s.mask)))
     found = property(lambda s: detect.detections(s.labels, DET))
 
     @property
     def catalog(self) -> DataFrame:
-        return pipeline.measured(self.px, self.dims, self.wcs, BG, DET, MES)
+        return pipeline.measured_from(self.filtered, self.dims, self.wcs, DET, MES)
 
     def shape(self) -> tuple[DataFrame, DataFrame]:
         labels = self.labels
@@ -96,11 +99,9 @@ def _raw_kron(s: Stages) -> DataFrame:
 
 
 def _kron_flux(s: Stages) -> DataFrame:
-    px = s.snr
-    labels = detect.label_components(detect.mask(px, DET.thresh))
-    foot = measure.footprint(labels, detect.detections(labels, DET))
-    shape = measure.kron_radius(foot, measure.moments(foot), MES)
-    return _q(measure.kron_flux(shape, px, s.dims, MES).select("brick", "label", "kron_radius", "flux_auto"), "kron_radius", "flux_auto")
+    foot, shape = s.shape()
+    shape = measure.kron_radius(foot, shape, MES)
+    return _q(measure.kron_flux(shape, s.filtered, s.dims, MES).select("brick", "label", "kron_radius", "flux_auto"), "kron_radius", "flux_auto")
 
 
 def _catalog(s: Stages) -> DataFrame:
@@ -173,7 +174,7 @@ def _nearest(s: Stages) -> DataFrame:
 
 def _event_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.evt_px(spark, sf_dir)
-    labels = detect.label_components(detect.mask(pipeline.filtered(px, BackgroundConfig(mesh=8), DET), DET.thresh))
+    labels = cut(detect.label_components(detect.mask(pipeline.filtered(px, BackgroundConfig(mesh=8), DET), DET.thresh)))
     return _q(detect.detections(labels, DET), "peak_snr")
 
 
@@ -305,7 +306,6 @@ LIN = f"SELECT CAST(l_suppkey % {views.LIN_BRICKS} AS VARCHAR) AS brick, l_partk
 EVT = "SELECT event_type AS brick, day(ts) - 1 AS row, hour(ts) AS col, sum(value) AS v FROM events GROUP BY ALL"
 SKY = """SELECT o_orderkey AS id, o_orderpriority AS brick, 187e0 + ((o_orderkey * 7919) % 108000) / 360000e0 AS ra, 12e0 + ((o_orderkey * 104729 + o_custkey * 31) % 108000) / 360000e0 AS dec,
     CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 + 5 AS INT) AS npix FROM orders"""
-ONCE = ("rooted",)  # referenced once: left to the optimizer
 
 
 def _with(select: str, ctes: dict[str, str] | None = None) -> str:

@@ -20,7 +20,7 @@ def csv_lines(catalog: DataFrame, multi: bool) -> DataFrame:
     """``catalog`` with ``line``: the row as text, missing coordinates as ``nan``."""
     parts = [F.col("brick")] if multi else []
     for _, field, digits in CSV:
-        x = F.col(field).cast("string") if digits is None else F.format_string(f"%.{digits}f", F.col(field).cast("double"))
+        x = F.col(field).cast("string") if digits is None else F.format_string(f"%.{digits}f", F.bround(F.col(field).cast("double"), digits))  # ties to even
         parts.append(F.when(F.col(field).isNull(), "nan").otherwise(x))
     return catalog.withColumn("line", F.concat_ws(",", *parts))
 
