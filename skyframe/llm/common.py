@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WS = b" \t\n\r\x0b\x0c"
-MEMO_LIMIT = 400_000  # distinct words remembered by one Python worker before the memo restarts
-ARROW_ROWS = 1000  # rows in an Arrow batch: a few MB of ordinary texts
+MEMO_LIMIT = 300_000  # distinct words remembered by one Python worker before the memo restarts
+ARROW_ROWS = 500  # rows in an Arrow batch: a few MB of ordinary texts
 PACK_BYTES = 24 << 20  # payload that a map task gathers before it sends packed blocks
 BLOOM_MAX_BITS = 1 << 28  # 32 MB: the largest filter that is ever broadcast
 

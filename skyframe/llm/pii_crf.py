@@ -163,7 +163,7 @@ class Graph:
             if prior is not None and s - prior[1] <= NEAR:
                 self.chain.append((prior[0], i))
             k = key(text[s:e])
-            if k in last and (prior is None or last[k] != prior[0] or s - prior[1] > NEAR):
+            if k in last:
                 self.skip.append((last[k], i))
             last[k] = i
             prior = (i, e)
