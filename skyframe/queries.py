@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from .functions.scalar import brick_name, is_brick, megapixels, pix_to_sky, plat
 from .operators import background, convolve, dedup, detect, measure, summaries, viewer
 from .plans import pipeline
 from .plans.durable import cut
-from .sources import sinks, views
+from .sources import fits, sinks, views
 
 BG, DET, MES = BackgroundConfig(mesh=16), DetectConfig(thresh=0.5), MeasureConfig()
 VIEW = {"cx": 400.0, "cy": 300.0, "pan_x": 32.0, "pan_y": 32.0, "zoom": 8.0}
@@ -178,6 +180,40 @@ def _event_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _q(detect.detections(labels, DET), "peak_snr")
 
 
+def _embedding_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ragged image of real floats."""
+    px = pipeline.filtered(views.emb_px(spark, sf_dir), BG, DET)
+    labels = cut(detect.label_components(detect.mask(px, DET.thresh)))
+    return _q(detect.detections(labels, DET), "peak_snr")
+
+
+def _image_roundtrip(encode) -> Callable[[Stages], DataFrame]:
+    """Pixels written as FITS images and read back."""
+
+    def f(s: Stages) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                for r in b.to_dict("records"):
+                    image, _ = fits.read_image(encode(np.asarray(r["data"], np.float64).reshape(r["nrows"], r["ncols"])))
+                    yield pd.DataFrame({"brick": r["brick"], "row": np.repeat(np.arange(image.shape[0]), image.shape[1]).astype(np.int32), "col": np.tile(np.arange(image.shape[1]), image.shape[0]).astype(np.int32), "v": image.ravel().astype(float)})
+
+        return pipeline.to_tiles(s.px, s.dims).select("brick", "nrows", "ncols", "data").mapInPandas(run, "brick string, row int, col int, v double")
+
+    return f
+
+
+def _catalog_roundtrip(s: Stages) -> DataFrame:
+    """The catalog written as a FITS table and read back."""
+
+    def run(batches):
+        for b in batches:
+            rows = b.astype(object).where(b.notna(), None).to_dict("records")
+            t = fits.read_table(fits.table_header(len(rows), True, "r") + fits.table_rows(rows, True))
+            yield pd.DataFrame({"brick": [x.decode().strip() for x in t["BRICK"]], "x": t["X_IMAGE"].astype(float), "y": t["Y_IMAGE"].astype(float), "ra": [None if np.isnan(x) else float(x) for x in t["RA"]], "npix": t["NPIX"].astype(np.int32), "flags": t["FLAGS"].astype(np.int16)})
+
+    return _q(s.catalog.mapInPandas(run, "brick string, x double, y double, ra double, npix int, flags short"), "x", "y", "ra")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_pixels": _lin(lambda s: s.px),
     "image_stats": _lin(lambda s: _q(summaries.image_stats(s.px), "vmean")),
@@ -223,6 +259,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "viewport_filter": _lin(_viewport),
     "nearest_source": _lin(_nearest),
     "event_detections": _event_detections,
+    "embedding_detections": _embedding_detections,
+    "fits_roundtrip": _lin(_image_roundtrip(lambda x: fits.write_image(x, -32))),
+    "rice_roundtrip": _lin(_image_roundtrip(fits.write_rice_image)),
+    "catalog_roundtrip": _lin(_catalog_roundtrip),
 }
 
 
@@ -308,6 +348,9 @@ SKY = """SELECT o_orderkey AS id, o_orderpriority AS brick, 187e0 + ((o_orderkey
     CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 + 5 AS INT) AS npix FROM orders"""
 
 
+EMB = "SELECT 'emb' AS brick, CAST(vec_id AS INT) AS row, CAST(unnest(range(64)) AS INT) AS col, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"
+
+
 def _with(select: str, ctes: dict[str, str] | None = None) -> str:
     import re
 
@@ -398,4 +441,8 @@ ORACLES: dict[str, str] = {
     "viewport_filter": _with(f"SELECT brick, label, {_cols('sx', 'sy')}, CASE WHEN label = 1 THEN 'selected' WHEN flags <> 0 THEN 'flagged' ELSE 'normal' END AS colour FROM (SELECT *, 400 + (x - 32) * 30 AS sx, 300 + (y - 32) * 30 AS sy FROM cat) WHERE sx BETWEEN -60 AND 860 AND sy BETWEEN -60 AND 660"),
     "nearest_source": _with(f"SELECT brick, label, {_cols('dist')} FROM (SELECT *, sqrt((x - 30) * (x - 30) + (y - 20) * (y - 20)) AS dist FROM cat ORDER BY dist, brick, label LIMIT 1) WHERE dist * 8 < 50"),
     "event_detections": _with(f"SELECT brick, label, npix, rmin, rmax, cmin, cmax, {_cols('peak_snr')}, peak_row, peak_col FROM det", _ctes(EVT, 31, 24, 8)),
+    "embedding_detections": _with(f"SELECT brick, label, npix, rmin, rmax, cmin, cmax, {_cols('peak_snr')}, peak_row, peak_col FROM det", _ctes(EMB, 1, 64, BG.mesh) | {"px": "SELECT * FROM raw"}),
+    "fits_roundtrip": _with("SELECT * FROM px"),
+    "rice_roundtrip": _with("SELECT * FROM px"),
+    "catalog_roundtrip": _with(f"SELECT brick, {_cols('x', 'y', 'ra')}, npix, flags FROM cat"),
 }
