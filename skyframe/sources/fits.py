@@ -277,7 +277,7 @@ def write_rice_image(x: np.ndarray, coords: dict | None = None, scale: float | N
     return header_block([card("SIMPLE", True), card("BITPIX", 8), card("NAXIS", 0), card("EXTEND", True)]) + header_block(cards) + data + b"\0" * (-len(data) % BLOCK)
 
 
-#: Catalog columns: name, format, unit, catalog field, numpy type.
+#: Fixed values of the catalog format: column, format, unit; then the catalog field and numpy type.
 CATALOG = (
     ("RA", "1D", "deg", "ra", ">f8"), ("DEC", "1D", "deg", "dec", ">f8"), ("X_IMAGE", "1D", "pix", "x", ">f8"), ("Y_IMAGE", "1D", "pix", "y", ">f8"),
     ("FLUX_ISO", "1E", "nmg", "flux_iso", ">f4"), ("FLUX_AUTO", "1E", "nmg", "flux_auto", ">f4"), ("A_IMAGE", "1E", "pix", "a", ">f4"), ("B_IMAGE", "1E", "pix", "b", ">f4"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fits
 
-#: CSV column, catalog field, decimals (None: as it is).
+#: Fixed values of the CSV format: column, catalog field, decimals (None: as it is).
 CSV = (
     ("ra", "ra", 7), ("dec", "dec", 7), ("x_image", "x", 4), ("y_image", "y", 4), ("flux_iso", "flux_iso", 6), ("flux_auto", "flux_auto", 6), ("a_image", "a", 3),
     ("b_image", "b", 3), ("theta", "theta", 2), ("ellip", "ellipticity", 4), ("kron_rad", "kron_radius", 3), ("npix", "npix", None), ("flags", "flags", None),
