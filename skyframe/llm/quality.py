@@ -16,8 +16,6 @@ gives an empty result; ties and repeated rows have equal scores.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,33 +37,55 @@ PRIOR_LOW_ON_LOW, PRIOR_LOW_ON_GOOD, PRIOR_WEIGHT, PRIOR_GOOD = 0.3, 0.01, 50.0,
 LABELLERS = ("symbols", "repeated_words", "repeated_lines", "capitals", "word_length", "variety", "sentences", "length", "marked_words")
 
 
-def votes(text: bytes) -> tuple[int, ...]:
-    """One vote for each of ``LABELLERS``."""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return (NONE,) * 7 + (LOW, NONE)
-    chars = sum(map(len, words))
-    marks = len(text) - len(text.translate(None, SYMBOLS))
-    count = Counter(words)
-    pairs = sum(a == b for a, b in zip(words, words[1:])) / n
-    lines = [x for x in text.split(b"\n") if x.strip()]
-    upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    mean, kinds = chars / n, len(count) / n
-    ends = sum(w[-1:] in b".!?" for w in words) / n
-    top = max(count.values()) / n
-    marked = sum(w[-1:] in b"#$%&*|!~^" for w in words) / n
-    return (
-        LOW if marks > 0.05 * chars else GOOD if marks <= 0.005 * chars else NONE,
-        LOW if pairs > 0.1 or (n >= 20 and top > 0.3) else GOOD if pairs < 0.05 else NONE,
-        (LOW if len(set(lines)) < 0.7 * len(lines) else GOOD if len(lines) >= 3 and len(set(lines)) == len(lines) else NONE) if len(lines) > 1 else NONE,
-        LOW if upper > 0.3 * chars else GOOD if upper < 0.1 * chars else NONE,
-        LOW if mean < 2.5 or mean > 15 else GOOD if 3.5 <= mean <= 9 else NONE,
-        (LOW if kinds < 0.2 and n < 2000 else GOOD if kinds > 0.4 else NONE) if n >= 20 else NONE,
-        (LOW if ends > 0.4 or ends == 0 else GOOD if 0.03 <= ends <= 0.2 else NONE) if n >= 20 else NONE,
-        LOW if n < 3 else GOOD if n >= 40 else NONE,
-        LOW if marked > 0.2 else GOOD if marked < 0.02 else NONE,
-    )
+_ENDS = np.isin(np.arange(256), list(b".!?"))
+_MARKED = np.isin(np.arange(256), list(b"#$%&*|!~^"))
+_KIND = np.array([1 if 65 <= i <= 90 else 2 if 48 <= i <= 57 else 3 if i >= 128 or 97 <= i <= 122 else 4 if chr(i) in ".,;:?'\"()-" else 5 for i in range(256)])
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+class Measured:
+    """Word measures of a batch of texts, all at once."""
+
+    def __init__(self, texts: list[bytes]):
+        self.h, self.at, self.length, self.first, self.last = C.scan_words(texts, lower=True)
+        self.n = np.diff(self.at)
+        self.doc = np.repeat(np.arange(len(texts)), self.n)
+        add = lambda x: np.bincount(self.doc, x, len(texts))
+        self.chars = add(self.length)
+        self.ends, self.marked = add(_ENDS[self.last]), add(_MARKED[self.last])
+        same = np.zeros(len(self.h), bool)
+        same[1:] = (self.h[1:] == self.h[:-1]) & (self.doc[1:] == self.doc[:-1])
+        self.pairs = add(same)
+        order = np.lexsort((self.h, self.doc))
+        hs, ds = self.h[order], self.doc[order]
+        cuts = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])]) if len(hs) else np.empty(0, np.int64)
+        count, owner = np.diff(np.r_[cuts, len(hs)]), ds[cuts]
+        self.kinds = np.bincount(owner, minlength=len(texts))
+        self.top = np.zeros(len(texts), np.int64)
+        np.maximum.at(self.top, owner, count)
+        self.symbols = np.array([len(t) - len(t.translate(None, SYMBOLS)) for t in texts], np.int64)
+        self.upper = np.array([len(t) - len(t.translate(None, _UPPER)) for t in texts], np.int64)
+        lines = [[x for x in t.split(b"\n") if x.strip(C.WS)] for t in texts]
+        self.lines, self.own_lines = np.array([len(x) for x in lines], np.int64), np.array([len(set(x)) for x in lines], np.int64)
+
+
+def votes(m: Measured) -> np.ndarray:
+    """A row of votes (one for each of ``LABELLERS``) for each text."""
+    n, chars = np.maximum(m.n, 1), np.maximum(m.chars, 1)
+    pick = lambda low, good, say=True: np.where(say & (m.n > 0), np.where(low, LOW, np.where(good, GOOD, NONE)), NONE)
+    pairs, top, kinds, ends, marked, mean = m.pairs / n, m.top / n, m.kinds / n, m.ends / n, m.marked / n, chars / n
+    out = np.stack([
+        pick(m.symbols > 0.05 * chars, m.symbols <= 0.005 * chars),
+        pick((pairs > 0.1) | ((m.n >= 20) & (top > 0.3)), pairs < 0.05),
+        pick(m.own_lines < 0.7 * m.lines, (m.lines >= 3) & (m.own_lines == m.lines), m.lines > 1),
+        pick(m.upper > 0.3 * chars, m.upper < 0.1 * chars),
+        pick((mean < 2.5) | (mean > 15), (mean >= 3.5) & (mean <= 9)),
+        pick((kinds < 0.2) & (m.n < 2000), kinds > 0.4, m.n >= 20),
+        pick((ends > 0.4) | (m.ends == 0), (ends >= 0.03) & (ends <= 0.2), m.n >= 20),
+        np.where(m.n < 3, LOW, np.where(m.n >= 40, GOOD, NONE)),
+        pick(marked > 0.2, marked < 0.02),
+    ], 1).astype(np.int64)
+    return out.reshape(-1, len(LABELLERS))
 
 
 class LabelModel:
@@ -94,36 +114,24 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(low - good, -50, 50)))
 
 
-def shape(word: bytes) -> bytes:
-    """Classes of characters with runs folded: ``Aa``, ``a#``, ``0``."""
-    return re.sub(rb"(.)\1+", rb"\1", word.translate(_CLASS))
+def features(m: Measured) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, distinct buckets and weights of each text: hashed words, word shapes, and document measures.
 
-
-_CLASS = bytes(ord("A") if 65 <= i <= 90 else ord("0") if 48 <= i <= 57 else ord("a") if i >= 128 or 97 <= i <= 122 else ord(".") if chr(i) in ".,;:?'\"()-" else ord("#") for i in range(256))
-
-
-class Features(dict):
-    """Word to its buckets (word, shape), remembered."""
-
-    def __missing__(self, w: bytes) -> tuple[int, int]:
-        f = (zlib.crc32(b"w" + w.lower()) % BUCKETS, zlib.crc32(b"s" + shape(w)) % BUCKETS)
-        if len(self) > C.MEMO_LIMIT:
-            self.clear()
-        self[w] = f
-        return f
-
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct buckets of a text and their weights: square roots of shares, so length does not count."""
-        words = text.split()
-        count: Counter = Counter(x for f in map(self.__getitem__, words) for x in f)
-        same = sum(a == b for a, b in zip(words, words[1:]))
-        lines = [x for x in text.split(b"\n") if x.strip()]
-        for name, part in ((b"same", same / max(1, len(words))), (b"line", 1 - len(set(lines)) / max(1, len(lines))), (b"kind", len(set(words)) / max(1, len(words)))):
-            count[zlib.crc32(name) % BUCKETS] = part * max(1, len(words))
-        count[zlib.crc32(b"size%d" % min(len(words), 1 << 20).bit_length()) % BUCKETS] = max(1, len(words))
-        i = np.fromiter(count.keys(), np.int64, len(count))
-        v = np.sqrt(np.fromiter(count.values(), np.float64, len(count)) / max(1, len(words)))
-        return i, v
+    Weights are square roots of shares, so length does not count.
+    """
+    docs = len(m.n)
+    shape = (_KIND[m.first] * 8 + _KIND[m.last]) * 16 + np.minimum(m.length, 15)
+    word = (m.h >> np.uint64(13)).astype(np.int64) % (BUCKETS - 4096) + 4096
+    key, count = np.unique(np.concatenate([m.doc, m.doc]) * BUCKETS + np.concatenate([word, 1024 + shape]), return_counts=True)
+    n = np.maximum(m.n, 1)
+    d, i, v = key // BUCKETS, key % BUCKETS, np.sqrt(count / n[key // BUCKETS])
+    whole = np.stack([m.pairs / n, 1 - m.own_lines / np.maximum(m.lines, 1), m.kinds / n, np.ones(docs)], 1)
+    size = 8 + np.log2(n + 1).astype(np.int64)
+    own = np.concatenate([np.repeat(np.arange(docs), 4), d])
+    i = np.concatenate([np.stack([np.full(docs, 0), np.full(docs, 1), np.full(docs, 2), size], 1).ravel(), i])
+    v = np.concatenate([np.sqrt(whole).ravel(), v])
+    order = np.argsort(own, kind="stable")
+    return C.offsets(np.bincount(own, minlength=docs)), i[order], v[order]
 
 
 class LinearScorer:
@@ -144,15 +152,16 @@ class LinearScorer:
                 sb += g * g
                 self.b -= rate * g / np.sqrt(sb)
 
-    def score(self, i: np.ndarray, v: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.w[i] @ v + self.b, -30, 30))))
+    def score(self, at: np.ndarray, i: np.ndarray, v: np.ndarray) -> np.ndarray:
+        sums = np.add.reduceat(self.w[i] * v, at[:-1]) if len(at) > 1 else np.empty(0)
+        return 1 / (1 + np.exp(-np.clip(sums + self.b, -30, 30)))
 
 
 def _pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Votes as a string of digits, counted over the task."""
     count: Counter = Counter()
     for b in batches:
-        count.update(votes(t or b"") for t in b.column(0).to_pylist())
+        count.update(map(tuple, votes(Measured([t or b"" for t in b.column(0).to_pylist()])).tolist()))
     yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, k)) for k in count], pa.string()), pa.array(list(count.values()), pa.int64())], ["pattern", "n"])
 
 
@@ -163,12 +172,11 @@ def fit(docs: DataFrame) -> tuple[LabelModel, LinearScorer]:
     model = LabelModel(patterns, np.array([r.n for r in rows], float))
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feats = Features()
         for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t and t.split()]
-            got = [feats.of(t) for t in texts]
-            q = model.posterior(np.array([votes(t) for t in texts]).reshape(-1, len(LABELLERS)))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0].astype("i4").tobytes() for g in got], pa.binary()), pa.array([g[1].astype("f4").tobytes() for g in got], pa.binary()), pa.array(q, pa.float64())], ["i", "v", "q"])
+            m = Measured([t for t in b.column(0).to_pylist() if t and t.split()])
+            at, i, v = features(m)
+            part = lambda x, t: pa.array([x[a:z].astype(t).tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([part(i, "i4"), part(v, "f4"), pa.array(model.posterior(votes(m)), pa.float64())], ["i", "v", "q"])
 
     scorer = LinearScorer()
     got = C.cut(C.text_bytes(sampled(docs, FIT_DOCS)).mapInArrow(examples, "i binary, v binary, q double")).orderBy(F.xxhash64("i"), "v").limit(FIT_DOCS).collect()
@@ -182,12 +190,12 @@ def quality_scores(docs: DataFrame, least: float = 0.5) -> DataFrame:
     shared = spark.sparkContext.broadcast(fit(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (model, scorer), feats = shared.value, Features()
+        model, scorer = shared.value
         for b in batches:
-            texts = [t or b"" for t in b.column(1).to_pylist()]
-            q = model.posterior(np.array([votes(t) for t in texts]).reshape(-1, len(LABELLERS)))
-            s = [scorer.score(*feats.of(t)) if t.split() else 0.0 for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.float64()), pa.array(s, pa.float64()), pa.array([x >= least for x in s], pa.bool_())], ["doc_id", "weak_label", "score", "kept"])
+            m = Measured([t or b"" for t in b.column(1).to_pylist()])
+            q = model.posterior(votes(m))
+            s = np.where(m.n > 0, scorer.score(*features(m)), 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.float64()), pa.array(s, pa.float64()), pa.array(s >= least)], ["doc_id", "weak_label", "score", "kept"])
 
     return C.text_bytes(docs, C.doc_id_col()).mapInArrow(run, "doc_id long, weak_label double, score double, kept boolean")
 
