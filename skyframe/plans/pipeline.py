@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
 from ..operators import background, convolve, detect, measure
+from ..functions.scalar import brick_name
 from ..operators.dedup import deduplicate
-from ..sources import images
+from ..sources import fits, images
 from . import tile
 from .durable import cut
 
@@ -81,29 +82,55 @@ def to_tiles(pixels: DataFrame, dims: DataFrame, wcs: DataFrame | None = None) -
     return t.join(wcs.select("brick", "wcs"), "brick", "left")
 
 
+def catalog_of_files(files: DataFrame, bcfg: BackgroundConfig = BackgroundConfig(), dcfg: DetectConfig = DetectConfig(), mcfg: MeasureConfig = MeasureConfig()) -> DataFrame:
+    """Catalog rows of image files ``(path, content)``: decoded and measured in the task that reads them.
+
+    A file that cannot be read gives one row with ``error_kind`` and ``error`` and no source.
+    """
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    named = files.select("path", brick_name(F.col("path"), F.lit("unknown")).alias("brick"), "content")
+
+    def run(batches):
+        for b in batches:
+            for path, brick, content in zip(b["path"], b["brick"], b["content"]):
+                try:
+                    image, w = fits.read_image(bytes(content))
+                    out = _frame(brick, tile.process(image, w, bcfg, dcfg, mcfg)).assign(path=path, error_kind=None, error=None)
+                except fits.FitsError as e:
+                    out = pd.DataFrame([{c: None for c in COLUMNS} | {"brick": brick, "path": path, "error_kind": e.kind, "error": str(e)}])
+                yield out
+
+    return named.mapInPandas(run, CATALOG + ", path string, error_kind string, error string")
+
+
 def process_brick(spark: SparkSession, path: str, **cfg) -> DataFrame:
     """Catalog of one file, detections by falling signal to noise; a bad file raises."""
     folder, _, name = path.rpartition("/")
-    tiles = images.read_images(spark, folder or ".", glob=name)
-    bad = images.errors(tiles).first()
+    rows = cut(catalog_of_files(spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder or "."), **cfg))
+    _raise(rows)
+    return rows.select(*COLUMNS).orderBy(F.desc("peak_snr"), "label")
+
+
+def _raise(rows: DataFrame) -> None:
+    bad = rows.where("error is not null").first()
     if bad:
-        raise OSError(f"{bad.path}: {bad.message}")
-    return catalog_of_tiles(tiles, **cfg).orderBy(F.desc("peak_snr"), "label")
+        raise OSError(f"{bad.path}: {bad.error}")
 
 
 def run(spark: SparkSession, data_dir: str, band: str = "r", dedup_arcsec: float = 1.0, same_brick: bool = True, on_error: str = "skip", **cfg) -> DataFrame:
     """Combined, de-duplicated catalog of a folder in right-ascension order.
 
     ``same_brick`` also merges inside a brick.  A folder without images raises; bad files are left
-    out, or raise with ``on_error="fail"`` (``images.errors`` lists them).
+    out, or raise with ``on_error="fail"``.  Images are measured once: the raw catalog is written
+    before de-duplication reads it.
     """
-    tiles = images.read_images(spark, data_dir, band)
-    if images.find_bricks(spark, data_dir, band).limit(1).count() == 0:
+    files = images.find_bricks(spark, data_dir, band)
+    if not files.select("path").limit(1).count():
         raise ValueError(f"no images of band {band} in {data_dir}")
-    if on_error == "fail" and (bad := images.errors(tiles).first()):
-        raise OSError(f"{bad.path}: {bad.message}")
-    cat = catalog_of_tiles(tiles, **cfg)
+    rows = cut(catalog_of_files(files.repartition(max(1, len(files.inputFiles())), "path"), **cfg))
+    if on_error == "fail":
+        _raise(rows)
     # rows keep the order of files and detections on ties
-    cat = cat.withColumn("id", F.struct("brick", (-F.col("peak_snr")).alias("s"), "label"))
-    cat = cat.withColumn("id", F.concat_ws("|", "brick", F.format_string("%020.6f", 1e9 - F.col("peak_snr")), F.format_string("%010d", "label")))
+    key = F.concat_ws("|", "brick", F.format_string("%020.6f", 1e9 - F.col("peak_snr")), F.format_string("%010d", "label"))
+    cat = rows.where("error is null").select(*COLUMNS, key.alias("id"))
     return deduplicate(cat, DedupConfig(dedup_arcsec, same_brick)).drop("id")
