@@ -33,8 +33,8 @@ SYMBOLS = b"#*$%&|<>"  # the characters counted as symbols
 
 @dataclass(frozen=True)
 class Rules:
-    min_words: int = 10  # shortest repeat that counts as covered
-    max_covered: float = 0.15
+    min_words: int = 12  # shortest repeat that counts as covered
+    max_covered: float = 0.18
     max_longest: int = 50
     max_longest_part: float = 0.10
     base_window: int = 5
