@@ -8,13 +8,16 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+_own: dict[str, str] = {}  # by application, where no folder is named
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` under ``spark.checkpoint.dir`` and read it back; a temporary folder only where none is named."""
     spark = df.sparkSession
+    app = spark.sparkContext.applicationId
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="skyframe-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    path = f"{d}/skyframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        d = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="skyframe-")
+    path = f"{d}/skyframe/{app}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
