@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 WS = b" \t\n\r\x0b\x0c"
 MEMO_LIMIT = 300_000  # distinct words remembered by one Python worker before the memo restarts
 ARROW_ROWS = 500  # rows in an Arrow batch: a few MB of ordinary texts
-PACK_BYTES = 24 << 20  # payload that a map task gathers before it sends packed blocks
+ARROW_BYTES = 8 << 20  # and bytes, for long texts and packed blobs
+PACK_BYTES = 12 << 20  # payload that a map task gathers before it sends packed blocks
 BLOOM_MAX_BITS = 1 << 28  # 32 MB: the largest filter that is ever broadcast
 
 
@@ -27,16 +28,20 @@ BLOOM_MAX_BITS = 1 << 28  # 32 MB: the largest filter that is ever broadcast
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that memory in Python does not follow the text length."""
+    """Bound an Arrow batch, so that memory in Python does not follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+_own: dict[str, str] = {}  # by application, where no folder is named
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is named (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="skyframe-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        app = spark.sparkContext.applicationId
+        d = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="skyframe-")
     return d
 
 
@@ -87,8 +92,8 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _hash_span(span: bytes, lower: bool, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start offset and 64-bit hash of every word of a span, from prefix sums of a polynomial."""
+def _hash_span(span: bytes, lower: bool, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, 64-bit hash (from prefix sums of a polynomial), length, first and last byte of every word of a span."""
     x = np.frombuffer(span, np.uint8)
     blank = blanks[x]
     edge = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
@@ -97,12 +102,18 @@ def _hash_span(span: bytes, lower: bool, blanks: np.ndarray) -> tuple[np.ndarray
         up, down = _power_tables(max(len(x), _SPAN))
         sums = np.zeros(len(x) + 1, np.uint64)
         np.cumsum((_LETTERS_LOWER if lower else _LETTERS)[x] * up[: len(x)], out=sums[1:])
-        return start, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64), 5)
+        return start, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64), 5), end - start, x[start], x[end - 1]
 
 
 def hash_words(texts: list[bytes | None], lower: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` and the word offsets of each text; ``lower`` folds A-Z, ``marks`` cuts
-    words at ASCII marks too.
+    """As ``scan_words``, hashes and offsets only."""
+    h, at, *_ = scan_words(texts, lower, marks)
+    return h, at
+
+
+def scan_words(texts: list[bytes | None], lower: bool = False, marks: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of ``texts`` and the word offsets of each text, then their lengths in bytes and
+    first and last bytes; ``lower`` folds A-Z, ``marks`` cuts words at ASCII marks too.
 
     Works on spans of whole words, so memory follows the span and not the text.
     """
@@ -114,10 +125,10 @@ def hash_words(texts: list[bytes | None], lower: bool = False, marks: bool = Fal
     def flush() -> None:
         nonlocal size
         if part:
-            start, h = _hash_span(b" ".join(part), lower, _IS_MARK if marks else _IS_WS)
+            start, *cols = _hash_span(b" ".join(part), lower, _IS_MARK if marks else _IS_WS)
             at = offsets([len(t) + 1 for t in part])
             np.add.at(counts, who, np.diff(np.searchsorted(start, at)))
-            hashes.append(h)
+            hashes.append(cols)
             part.clear()
             who.clear()
             size = 0
@@ -135,7 +146,8 @@ def hash_words(texts: list[bytes | None], lower: bool = False, marks: bool = Fal
             if size >= _SPAN:
                 flush()
     flush()
-    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), offsets(counts)
+    h, size_, first, last = (np.concatenate(c) for c in zip(*hashes)) if hashes else (np.empty(0, t) for t in (np.uint64, np.int64, np.uint8, np.uint8))
+    return h, offsets(counts), size_, first, last
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -227,7 +239,12 @@ def unpack(blobs: list[bytes], dtypes: list) -> list[np.ndarray]:
         for d, c in zip(dtypes, cols):
             c.append(np.frombuffer(b, d, n, at))
             at += n * d.itemsize
-    return [np.concatenate(c) if c else np.empty(0, d) for c, d in zip(cols, dtypes)]
+    out = []
+    for k, d in enumerate(dtypes):
+        out.append(np.concatenate(cols[k]) if cols[k] else np.empty(0, d))
+        cols[k] = []
+    blobs.clear()  # the columns are copies
+    return out
 
 
 def exchange(packed: DataFrame, targets: int, reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -352,7 +369,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every node points its larger neighbours at the least one that it knows;
         # the forests of the next deal then do the same for smaller neighbours
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        # written, so that the join below reads plain exchanges, of which Spark can split a hub's partition
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m")))
         nxt = both.join(least, both.a == least.k).where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
         nxt = nxt.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         nxt = cut(nxt.repartition(n, "a").mapInArrow(local, schema).distinct())
