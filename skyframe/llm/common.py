@@ -6,12 +6,16 @@ the six ASCII white-space bytes, so it yields the words ``[^\\x20\\x09-\\x0D]+``
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,26 +41,62 @@ _own: dict[str, str] = {}  # by application, where no folder is named
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        app = spark.sparkContext.applicationId
-        d = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="skyframe-")
-    return d
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only where the whole application is one process (``local``, as in tests) does a temporary
+    folder stand in for it, which goes when that process ends.
+    """
+    d, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if d:
+        return d
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="skyframe-")
+        atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
+    return _own[sc.applicationId]
+
+
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go when their query has ended
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of an action."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    The lineage ends there, so a lost executor costs one task and not the whole plan.
+    The lineage ends there, so a lost executor costs one task and not the whole plan; the shuffle
+    files of the finished plan go at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skyframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     w = df.write
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffle files of the finished plan
-    return out
+    with setting(spark, CLEAN, "true"):
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sampled(docs: DataFrame, bound: int, total: int | None = None) -> DataFrame:
+    """``doc_id, text`` of about ``bound`` rows by a 64-bit hash of both, all where there are fewer; equal rows count once.
+
+    Never empty unless ``docs`` is.
+    """
+    n = docs.count() if total is None else total
+    rows = docs.select(doc_id_col(), "text")
+    if n <= bound:
+        return rows
+    h = F.xxhash64(F.lit("fit"), "doc_id", "text")
+    some = rows.where(h < F.lit(min((1 << 63) - 1, -(1 << 63) + (bound << 64) // n))).distinct()
+    return some if some.limit(1).count() else rows.orderBy(h).limit(1)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -208,12 +248,12 @@ class Packer:
 
     schema = "pid int, payload binary"
 
-    def __init__(self, targets: int, dtypes: list):
-        self.n, self.dtypes, self.parts, self.size = targets, [np.dtype(d) for d in dtypes], [], 0
+    def __init__(self, targets: int, dtypes: list, kind: int = 0):
+        self.n, self.dtypes, self.parts, self.size, self.first = targets, [np.dtype(d) for d in dtypes], [], 0, kind * targets
 
     def add(self, key: np.ndarray, *cols: np.ndarray) -> None:
         if len(key):
-            self.parts.append([(key % np.uint64(self.n)).astype(np.int32), *(c.astype(d, copy=False) for c, d in zip(cols, self.dtypes))])
+            self.parts.append([(key % np.uint64(self.n)).astype(np.int32) + np.int32(self.first), *(c.astype(d, copy=False) for c, d in zip(cols, self.dtypes))])
             self.size += len(key) * (4 + sum(d.itemsize for d in self.dtypes))
 
     def full(self) -> bool:
@@ -247,11 +287,12 @@ def unpack(blobs: list[bytes], dtypes: list) -> list[np.ndarray]:
     return out
 
 
-def exchange(packed: DataFrame, targets: int, reduce: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def exchange(packed: DataFrame, targets: int, reduce: Callable[..., Iterator[pa.RecordBatch]], schema: str, kinds: int = 1) -> DataFrame:
     """Send each blob to the partition that its ``pid`` names; ``reduce`` sees a whole partition.
 
     A partition's payload is the input over ``spark.sql.shuffle.partitions``, however often a key
-    repeats: senders fold equal keys of a flush first.
+    repeats: senders fold equal keys of a flush first.  With more than one kind of payload, kind k
+    has the pids from ``k * targets`` on and ``reduce`` is told the kind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +301,10 @@ def exchange(packed: DataFrame, targets: int, reduce: Callable[[list[bytes]], It
             for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 groups.setdefault(p, []).append(x)
         while groups:
-            yield from reduce(groups.popitem()[1])
+            p, blobs = groups.popitem()
+            yield from reduce(blobs, p // targets) if kinds > 1 else reduce(blobs)
 
-    return packed.repartitionById(targets, F.col("pid")).mapInArrow(run, schema)
+    return packed.repartitionById(targets * kinds, F.col("pid")).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- Bloom filters
@@ -352,16 +394,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     schema = "a string, b string"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[str] = []
-        b: list[str] = []
-        for x in batches:
-            a += x.column(0).to_pylist()
-            b += x.column(1).to_pylist()
-        if a:
-            names, at = np.unique(np.array(a + b, dtype=object).astype(str), return_inverse=True)
-            lab = find_roots(len(names), at[: len(a)], at[len(a) :])
+        got = [x for x in batches if x.num_rows]
+        if got:
+            m = sum(x.num_rows for x in got)
+            coded = pa.chunked_array([x.column(k) for k in (0, 1) for x in got]).combine_chunks().dictionary_encode()
+            names, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+            order = pc.sort_indices(names).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            lab = find_roots(len(names), rank[at[:m]], rank[at[m:]])
             own = np.flatnonzero(lab != np.arange(len(names)))
-            yield pa.RecordBatch.from_arrays([pa.array(names[own].tolist(), pa.string()), pa.array(names[lab[own]].tolist(), pa.string())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(order[own])), names.take(pa.array(order[lab[own]]))], ["a", "b"])
 
     n = partitions(spark)
     e = cut(edges.select("a", "b").where("a <> b").mapInArrow(local, schema))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .secret_scan import joined, sampled
+from .secret_scan import joined
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS, FIT_MENTIONS = 20_000, 20_000
@@ -246,7 +246,7 @@ def fit(docs: DataFrame) -> Field | None:
             rows = [x for x in g if x.label]
             yield pa.RecordBatch.from_arrays([pa.array([len(x.label) for x in rows], pa.int64()), pa.array([np.array(x.feature, "i4").tobytes() for x in rows], pa.binary()), pa.array([np.array(x.label, "i4").tobytes() for x in rows], pa.binary()), pa.array([_edges(x.chain).tobytes() for x in rows], pa.binary()), pa.array([_edges(x.skip).tobytes() for x in rows], pa.binary())], ["n", "f", "y", "c", "s"])
 
-    rows = C.text_bytes(sampled(docs, FIT_DOCS)).mapInArrow(run, "n long, f binary, y binary, c binary, s binary")
+    rows = C.text_bytes(C.sampled(docs, FIT_DOCS)).mapInArrow(run, "n long, f binary, y binary, c binary, s binary")
     got, total, feats, label, chain, skip = C.cut(rows), 0, [], [], [], []
     for r in got.where(F.col("n") <= FIT_MENTIONS // 10).orderBy(F.xxhash64("f"), "y").limit(FIT_MENTIONS // 2).collect():
         if total + r.n > FIT_MENTIONS:

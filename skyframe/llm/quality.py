@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .secret_scan import sampled
 
 FIT_DOCS = 6_000
 BUCKETS = 1 << 16
@@ -179,7 +178,7 @@ def fit(docs: DataFrame) -> tuple[LabelModel, LinearScorer]:
             yield pa.RecordBatch.from_arrays([part(i, "i4"), part(v, "f4"), pa.array(model.posterior(votes(m)), pa.float64())], ["i", "v", "q"])
 
     scorer = LinearScorer()
-    got = C.cut(C.text_bytes(sampled(docs, FIT_DOCS)).mapInArrow(examples, "i binary, v binary, q double")).orderBy(F.xxhash64("i"), "v").limit(FIT_DOCS).collect()
+    got = C.cut(C.text_bytes(C.sampled(docs, FIT_DOCS)).mapInArrow(examples, "i binary, v binary, q double")).orderBy(F.xxhash64("i"), "v").limit(FIT_DOCS).collect()
     scorer.fit([(np.frombuffer(bytes(r.i), "i4"), np.frombuffer(bytes(r.v), "f4").astype(float)) for r in got], np.array([r.q for r in got]))
     return model, scorer
 

@@ -202,14 +202,6 @@ class Model:
         return out
 
 
-def sampled(docs: DataFrame, bound: int) -> DataFrame:
-    """At most about ``bound`` rows, chosen by hash of doc_id; all rows where there are fewer."""
-    n = docs.count()
-    if n <= bound:
-        return docs
-    return docs.where(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id").cast("long")), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
-
-
 def fit(docs: DataFrame) -> Model:
     """Infer the automata from labelled credentials in a bounded sample."""
 
@@ -230,7 +222,7 @@ def fit(docs: DataFrame) -> Model:
                         shape.append(text[s:e].translate(SHAPE))
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(shape, pa.string())], ["kind", "shape"])
 
-    seen = C.text_bytes(sampled(docs, FIT_DOCS)).mapInArrow(run, "kind int, shape string")
+    seen = C.text_bytes(C.sampled(docs, FIT_DOCS)).mapInArrow(run, "kind int, shape string")
     by_kind = C.cut(seen.withColumn("h", F.xxhash64("shape")))
     values = {k: sorted(r[0] for r in by_kind.where(F.col("kind") == k).orderBy("h").limit(FIT_VALUES).select("shape").collect()) for k in range(len(KINDS))}
     ordinary = sorted(r[0] for r in by_kind.where("kind = -1").orderBy("h").limit(FIT_ORDINARY).select("shape").collect())
