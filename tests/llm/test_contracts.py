@@ -102,7 +102,7 @@ def test_jaccard_on_families(spark, monkeypatch, blocks):
     if blocks:
         monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 400)
         monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", 3)
-        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(jaccard_join, "FOLD", 3)
     rng, rows, passage = np.random.default_rng(5), [], prose(77, 30)
     for f, n in enumerate([5, 6, 7, 8, 9, 11, 14, 20, 33, 60, 130, 300]):
         base = prose(100 + f, n)
@@ -126,8 +126,9 @@ def test_signatures_keep_every_link():
         a, b = common.distinct(a), common.distinct(b)
         inter = len(np.intersect1d(a, b))
         if len(b) and 7 * inter >= 3 * (len(a) + len(b)):
-            popular = jaccard_join.Popular(a[rng.random(len(a)) < rng.random()])
-            assert len(np.intersect1d(jaccard_join.signatures(a, popular), jaccard_join.signatures(b, popular)))
+            popular = rng.integers(0, 256, 64).astype(np.uint8) | rng.integers(0, 256, 64).astype(np.uint8)
+            for fine in (1, jaccard_join.FINE):
+                assert len(np.intersect1d(jaccard_join.signatures(a, popular, fine), jaccard_join.signatures(b, popular, fine)))
 
 
 def test_one_per_component(spark):
