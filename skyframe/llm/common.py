@@ -108,6 +108,17 @@ def text_bytes(docs: DataFrame, *cols: str | Column) -> DataFrame:
     return docs.select(*cols, F.col("text").cast("binary").alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def doc_id_col() -> Column:
     return F.col("doc_id").cast("long").alias("doc_id")
 

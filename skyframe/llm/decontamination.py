@@ -18,6 +18,7 @@ of documents give repeated matches, repeated item rows with one id and text coun
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,27 +124,27 @@ def matches_of(items: Items, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[in
     cuts = np.r_[np.flatnonzero(new), len(doc)]
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for a, b in zip(cuts[:-1], cuts[1:]):
-        d, i = int(doc[a]), int(item[a])
-        if best.get((d, i), (0,))[0] >= 1:
+        d, it = int(doc[a]), int(item[a])
+        if best.get((d, it), (0,))[0] >= 1:
             continue
-        w, lo = items.words[i], int(at[d])
+        w, lo = items.words[it], int(at[d])
         # a chain of diagonals longer than the slack is cut so that a window stays near the item's length
         for s in range(int(diagonal[a]), int(diagonal[b - 1]) + 1, int(slack[a]) + 1):
-            near = diagonal[a:b]
-            near = near[(near >= s) & (near <= s + slack[a])]
+            i, j = np.searchsorted(diagonal[a:b], s), np.searchsorted(diagonal[a:b], s + slack[a], side="right")
+            near = diagonal[a + i : a + j]
             if len(near):
                 x = max(lo, int(near[0]) - int(slack[a]))
                 y = min(int(at[d + 1]), int(near[-1]) + len(w) + int(slack[a]))
                 score, end = align(w, h[x:y])
-                if score / (MATCH * len(w)) > best.get((d, i), (0,))[0]:
-                    best[d, i] = (score / (MATCH * len(w)), x - lo, end)
+                if score / (MATCH * len(w)) > best.get((d, it), (0,))[0]:
+                    best[d, it] = (score / (MATCH * len(w)), x - lo, end)
     for (d, i), (score, start, length) in best.items():
         if score >= LEAST:
             yield d, i, score, start, length
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, score, window_start, window_words``: one row per document and item that it holds."""
+    """``doc_id, text_md5, item_id, score, window_start, window_words``: one row per document and item that it holds."""
     spark = docs.sparkSession
     C.tune(spark)
     rows = C.text_bytes(docs, C.doc_id_col())
@@ -180,23 +181,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def match(batches: Iterator[pa.RecordBatch], kept=kept) -> Iterator[pa.RecordBatch]:
             block = kept.value
             for b in batches:
-                ids = b.column(0).to_pylist()
-                h, at = C.hash_words(b.column(1).to_pylist(), lower=True, marks=True)
+                ids, texts = (c.to_pylist() for c in b.columns)
+                h, at = C.hash_words(texts, lower=True, marks=True)
                 got = list(matches_of(block, h, at))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[g[0]] for g in got], pa.int64()), pa.array([block.ids[g[1]] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.int64()), pa.array([g[4] for g in got], pa.int64())], ["doc_id", "item_id", "score", "window_start", "window_words"])
+                md5 = [hashlib.md5(texts[g[0]], usedforsecurity=False).hexdigest() for g in got]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[g[0]] for g in got], pa.int64()), pa.array(md5, pa.string()), pa.array([block.ids[g[1]] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64()), pa.array([g[3] for g in got], pa.int64()), pa.array([g[4] for g in got], pa.int64())], ["doc_id", "text_md5", "item_id", "score", "window_start", "window_words"])
 
-        found = rows.mapInArrow(match, "doc_id long, item_id long, score double, window_start long, window_words long")
+        found = rows.mapInArrow(match, "doc_id long, text_md5 string, item_id long, score double, window_start long, window_words long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; rows with a null doc_id go by their own text."""
-    bad = C.cut(leaks(docs, benchmark))
-    ids = bad.select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    """``docs`` without the rows that hold a benchmark item.
+
+    Rows go by doc_id and text together, so another text under the same or no doc_id stays; null
+    texts always stay.
+    """
+    bad_id, bad_text = C.fresh(docs, "bad_id", "bad_text")
+    bad = C.cut(leaks(docs, benchmark)).select(F.col("doc_id").alias(bad_id), F.col("text_md5").alias(bad_text)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.md5(F.col("text").cast("binary")) == F.col(bad_text))
+    return docs.join(bad, same, "left_anti")
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     found = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.withColumn("contaminated", F.lit(True))
+    return found.drop("text_md5").withColumn("contaminated", F.lit(True))

@@ -4,17 +4,20 @@ Base patterns (e-mail, IP, card, phone) give spans that always stay, and weak la
 variables of the field are a text's *mentions*: strings around an ``@`` and digit groups with
 their separators.  All other words are observed as context of the mentions beside them.
 Potentials: features of a mention; the labels of neighbouring mentions (chain); and equal labels
-of mentions that repeat or resemble each other, however far apart (skip edges, from one
-occurrence to the next, so a key with many occurrences has as many edges, not their square).
-Loopy sum-product message passing, vectorised over all texts of a batch, gives the marginals.
+of mentions that repeat or resemble each other, however far apart.  These skip edges lead from
+every occurrence of a key to one hub of that key, a variable without features of its own, so a
+key has as many edges as occurrences and evidence is two hops away.  Loopy sum-product message
+passing, vectorised over all texts of a batch, runs until no message changes by ``SETTLED`` and
+gives the marginals (``ROUNDS`` stops a field that oscillates in spite of damping).
 
 A mention that its own form leaves open takes the label of its repetitions.  Mentions labelled as
 an entity with probability ``least`` or more, and clear of all base spans, are added.
 
 Weights are fitted by gradient ascent on the likelihood of the weak labels, with beliefs from the
 same message passing; forms are dropped at random while fitting, so that context and repetition
-get weight as well.  Bounds of the fit (parameters): ``FIT_DOCS`` documents by hash of doc_id and
-``FIT_MENTIONS`` mentions in whole texts.  Scanning covers all texts.
+get weight as well; a hub's label is the commonest of its mentions.  Bounds of the fit
+(parameters): ``FIT_DOCS`` documents by hash and ``FIT_MENTIONS`` mentions, in pieces of up to
+``PIECE`` consecutive ones.  Scanning covers all texts, each as one field.
 
 Edge cases: null text is empty; without weak labels nothing is added; offsets are code points.
 """
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -36,7 +39,9 @@ from .secret_scan import joined
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS, FIT_MENTIONS = 20_000, 20_000
 LEAST = 0.8  # probability from which a mention is added
-ROUNDS = 6  # of message passing
+PIECE = 2_000
+SETTLED, ROUNDS = 1e-4, 400  # of message passing
+UNDAMPED = 25  # rounds before messages are averaged with their last values
 NEAR = 60  # characters between mentions that a chain edge spans at most
 HASHED = 64  # context buckets on each side
 
@@ -146,27 +151,37 @@ class Graph:
         self.place: list[tuple[int, int, int]] = []  # text, start, end
         self.clear: list[bool] = []
         self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.skip: list[tuple[int, int]] = []  # mention, hub
 
-    def add(self, number: int, text: str, base: list[tuple[int, int, int]]) -> None:
-        last, prior, by_start = {}, None, sorted((s, e, k) for k, s, e in base)
+    def _node(self, feature: list[int], label: int, place: tuple[int, int, int], clear: bool) -> int:
+        for x, v in ((self.feature, feature), (self.label, label), (self.place, place), (self.clear, clear)):
+            x.append(v)
+        return len(self.label) - 1
+
+    def add(self, number: int, text: str, base: list[tuple[int, int, int]], some: list[tuple[int, int]] | None = None) -> None:
+        """The mentions of a text, or ``some`` consecutive ones."""
+        groups: dict[str, list[int]] = {}
+        prior, by_start = None, sorted((s, e, k) for k, s, e in base)
         reach = 0  # base spans that end before the mention are passed
-        for s, e in mentions(text):
+        for s, e in mentions(text) if some is None else some:
             while reach < len(by_start) and by_start[reach][1] <= s:
                 reach += 1
-            hit = [b for b in by_start[reach : reach + 4] if b[0] < e and s < b[1]]
-            i = len(self.label)
-            self.feature.append(features(text, s, e))
-            self.label.append(1 + max(hit, key=lambda b: min(e, b[1]) - max(s, b[0]))[2] if hit else 0)
-            self.place.append((number, s, e))
-            self.clear.append(not hit)
+            hit, j = [], reach
+            while j < len(by_start) and by_start[j][0] < e:
+                if s < by_start[j][1]:
+                    hit.append(by_start[j])
+                j += 1
+            label = 1 + max(hit, key=lambda b: min(e, b[1]) - max(s, b[0]))[2] if hit else 0
+            i = self._node(features(text, s, e), label, (number, s, e), not hit)
             if prior is not None and s - prior[1] <= NEAR:
                 self.chain.append((prior[0], i))
-            k = key(text[s:e])
-            if k in last:
-                self.skip.append((last[k], i))
-            last[k] = i
+            groups.setdefault(key(text[s:e]), []).append(i)
             prior = (i, e)
+        for same in groups.values():
+            if len(same) > 1:
+                labels = [self.label[i] for i in same]
+                hub = self._node([WIDTH - 1] * SLOTS, max(sorted(set(labels)), key=labels.count), (number, 0, 0), False)
+                self.skip += [(i, hub) for i in same]
 
 
 def _edges(x: list[tuple[int, int]]) -> np.ndarray:
@@ -182,32 +197,43 @@ class Field:
         self.same = np.array(0.5)
 
     def beliefs(self, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Marginals of mentions, chain edges and skip edges by loopy sum-product."""
+        """Marginals of mentions and hubs, chain edges and skip edges by loopy sum-product."""
         unary = self.node[feats].sum(1)
         unary -= unary.max(1, keepdims=True)
-        edge = np.concatenate([chain, skip])
-        pot = np.concatenate([np.broadcast_to(np.exp(self.link), (len(chain), self.LABELS, self.LABELS)), np.broadcast_to(np.exp(self.same * np.eye(self.LABELS)), (len(skip), self.LABELS, self.LABELS))])
+        edge, n = np.concatenate([chain, skip]), len(chain)
+        link, more = np.exp(self.link), float(np.exp(self.same)) - 1
         a, b = edge[:, 0], edge[:, 1]
         to_b = np.zeros((len(edge), self.LABELS))  # log messages
         to_a = np.zeros_like(to_b)
-        for _ in range(ROUNDS if len(edge) else 0):
+
+        def sent(x: np.ndarray, pot: np.ndarray) -> np.ndarray:
+            x = np.exp(x - x.max(1, keepdims=True))
+            x = np.concatenate([x[:n] @ pot, x[n:] * more + x[n:].sum(1, keepdims=True)])
+            return np.log(x / x.sum(1, keepdims=True))
+
+        def totals() -> np.ndarray:
             total = unary.copy()
             np.add.at(total, b, to_b)
             np.add.at(total, a, to_a)
-            x, y = total[a] - to_a, total[b] - to_b
-            x, y = np.exp(x - x.max(1, keepdims=True)), np.exp(y - y.max(1, keepdims=True))
-            new_b, new_a = np.einsum("ei,eij->ej", x, pot), np.einsum("ej,eij->ei", y, pot)
-            to_b = 0.5 * to_b + 0.5 * np.log(new_b / new_b.sum(1, keepdims=True))
-            to_a = 0.5 * to_a + 0.5 * np.log(new_a / new_a.sum(1, keepdims=True))
-        total = unary.copy()
-        np.add.at(total, b, to_b)
-        np.add.at(total, a, to_a)
+            return total
+
+        for k in range(ROUNDS if len(edge) else 0):
+            total = totals()
+            new_b, new_a = sent(total[a] - to_a, link), sent(total[b] - to_b, link.T)
+            moved = max(np.abs(new_b - to_b).max(), np.abs(new_a - to_a).max())
+            w = 1.0 if k < UNDAMPED else 0.5
+            to_b, to_a = to_b + w * (new_b - to_b), to_a + w * (new_a - to_a)
+            if moved < SETTLED:
+                break
+        total = totals()
         p = np.exp(total - total.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         x, y = total[a] - to_a, total[b] - to_b
-        both = np.exp(x - x.max(1, keepdims=True))[:, :, None] * pot * np.exp(y - y.max(1, keepdims=True))[:, None, :]
+        both = np.exp(x - x.max(1, keepdims=True))[:, :, None] * np.exp(y - y.max(1, keepdims=True))[:, None, :]
+        both[:n] *= link
+        both[n:] *= 1 + more * np.eye(self.LABELS)
         both /= both.sum((1, 2), keepdims=True)
-        return p, both[: len(chain)], both[len(chain) :]
+        return p, both[:n], both[n:]
 
     def fit(self, feats: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 80, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
@@ -240,17 +266,21 @@ def fit(docs: DataFrame) -> Field | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [t for t in (t.decode("utf-8", "replace") if t else "" for t in b.column(0).to_pylist()) if "@" in t or DIGIT.search(t)]
-            g = [Graph() for _ in keep]
-            for x, t in zip(g, keep):
-                x.add(0, t, base_spans(t))
-            rows = [x for x in g if x.label]
+            rows = []
+            for t in keep:
+                all_, base = mentions(t), base_spans(t)
+                for i in range(0, len(all_), PIECE):
+                    x = Graph()
+                    x.add(0, t, base, all_[i : i + PIECE])
+                    rows.append(x)
             yield pa.RecordBatch.from_arrays([pa.array([len(x.label) for x in rows], pa.int64()), pa.array([np.array(x.feature, "i4").tobytes() for x in rows], pa.binary()), pa.array([np.array(x.label, "i4").tobytes() for x in rows], pa.binary()), pa.array([_edges(x.chain).tobytes() for x in rows], pa.binary()), pa.array([_edges(x.skip).tobytes() for x in rows], pa.binary())], ["n", "f", "y", "c", "s"])
 
     rows = C.text_bytes(C.sampled(docs, FIT_DOCS)).mapInArrow(run, "n long, f binary, y binary, c binary, s binary")
     got, total, feats, label, chain, skip = C.cut(rows), 0, [], [], [], []
-    for r in got.where(F.col("n") <= FIT_MENTIONS // 10).orderBy(F.xxhash64("f"), "y").limit(FIT_MENTIONS // 2).collect():
-        if total + r.n > FIT_MENTIONS:
-            break
+    order = Window.orderBy("h", "f", "y", "c", "s").rowsBetween(Window.unboundedPreceding, -1)
+    some = got.withColumn("h", F.xxhash64("f")).orderBy("h", "f", "y", "c", "s").limit(FIT_MENTIONS)  # a piece has one mention at least
+    some = some.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(f"before < {FIT_MENTIONS}")
+    for r in some.orderBy("before").collect():
         feats.append(np.frombuffer(r.f, "i4").reshape(-1, SLOTS))
         label.append(np.frombuffer(r.y, "i4"))
         chain.append(np.frombuffer(r.c, np.int64).reshape(-1, 2) + total)

@@ -392,8 +392,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     return Scorer(counts, found[2], chance, w, prior)
 
 
-def toxic_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """All columns of ``docs`` and ``score_``; only the text goes to Python and only the score returns."""
+def toxic_scores(docs: DataFrame, scorer: Scorer, column: str = "score_") -> DataFrame:
+    """All columns of ``docs`` and ``column``; only the text goes to Python and only the score returns."""
     spark = docs.sparkSession
     C.tune(spark)
     shared = spark.sparkContext.broadcast(scorer)
@@ -403,7 +403,7 @@ def toxic_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
         for texts in batches:
             yield pa.array(mine.score([t or "" for t in texts.to_pylist()]), pa.float64())
 
-    return docs.withColumn("score_", F.arrow_udf(score, "double")("text"))
+    return docs.withColumn(column, F.arrow_udf(score, "double")("text"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -35,6 +35,6 @@ def wide(docs):
     """The same rows with columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    for c in ("id", "size", "n", "k", "score", "base", "h", "label", "set_id", "b1", "root", "target"):
+    for c in ("id", "size", "n", "k", "score", "base", "h", "label", "set_id", "b1", "root", "target", "set_", "keep_doc_", "score_", "bad_id", "bad_text", "added", "tokens", "uid", "fp", "starts"):
         docs = docs.withColumn(c, F.lit("x"))
     return docs

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyframe.llm import common, decontamination, jaccard_join, pii_crf, quality, registry, repetition, secret_scan, source_mix, substring_dedup, token_count, toxicity
 
@@ -126,9 +127,26 @@ def test_signatures_keep_every_link():
         a, b = common.distinct(a), common.distinct(b)
         inter = len(np.intersect1d(a, b))
         if len(b) and 7 * inter >= 3 * (len(a) + len(b)):
-            popular = rng.integers(0, 256, 64).astype(np.uint8) | rng.integers(0, 256, 64).astype(np.uint8)
+            cut = rng.integers(1, 1 << 62)
             for fine in (1, jaccard_join.FINE):
-                assert len(np.intersect1d(jaccard_join.signatures(a, popular, fine), jaccard_join.signatures(b, popular, fine)))
+                assert len(np.intersect1d(jaccard_join.signatures(a, a > cut, fine), jaccard_join.signatures(b, b > cut, fine)))
+
+
+def test_hot_buckets_make_no_square_work(spark):
+    """5,000 unrelated sets that share a passage, and as many short near copies of one text."""
+    rng, passage, base = np.random.default_rng(3), prose(900, 40), prose(901, 14)
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(i, passage + " " + own(i, 22)) for i in range(5000)]
+    rows += [(5000 + i, f"{base} {own(i, 1)}" if i % 2 else f"{own(i, 1)} {base}") for i in range(5000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_components(docs).collect()}
+    assert all(got[i] == i for i in range(5000)) and all(got[i] == 5000 for i in range(5000, 10_000))
+    texts = common.text_bytes(docs)
+    first = jaccard_join._candidates(texts, 4, spark.sparkContext.broadcast(np.zeros(1 << 13, np.uint8)))  # nothing known as popular
+    assert first.count() < 60_000
+    again = texts.withColumn("root", F.md5("text"))
+    second = jaccard_join._candidates(again.where("length(text) > 200"), 4, jaccard_join._popular(again, 4, 33), jaccard_join.FINE)
+    assert second.count() < 5_000
 
 
 def test_one_per_component(spark):
@@ -288,9 +306,7 @@ def test_message_passing_is_exact_on_trees():
     rng, f = np.random.default_rng(1), pii_crf.Field()
     f.node[:], f.link[:], f.same = rng.normal(size=f.node.shape), rng.normal(size=f.link.shape), np.array(0.8)
     feats = rng.integers(0, pii_crf.WIDTH, (3, pii_crf.SLOTS))
-    old, pii_crf.ROUNDS = pii_crf.ROUNDS, 60
     p, _, _ = f.beliefs(feats, np.array([[0, 1]]), np.array([[1, 2]]))
-    pii_crf.ROUNDS = old
     u, total = f.node[feats].sum(1), np.zeros((3, 5))
     for a in range(5):
         for b in range(5):
@@ -302,6 +318,39 @@ def test_message_passing_is_exact_on_trees():
     assert np.allclose(p, total / total.sum(1, keepdims=True), atol=1e-6)
 
 
+def test_message_passing_near_exact_on_loops():
+    """A chain whose ends share a hub, against all label assignments."""
+    import itertools
+
+    for seed in range(20):
+        rng, f = np.random.default_rng(seed), pii_crf.Field()
+        f.node[:], f.link[:], f.same = 0.3 * rng.normal(size=f.node.shape), 0.5 * rng.normal(size=f.link.shape), np.array(1.0)
+        feats = np.concatenate([rng.integers(0, pii_crf.OWN, (4, pii_crf.SLOTS)), np.full((1, pii_crf.SLOTS), pii_crf.WIDTH - 1)])
+        f.node[pii_crf.WIDTH - 1] = 0
+        chain, skip = [(0, 1), (1, 2), (2, 3)], [(0, 4), (3, 4)]
+        p, _, _ = f.beliefs(feats, np.array(chain), np.array(skip))
+        u, total = f.node[feats].sum(1), np.zeros((5, 5))
+        for y in itertools.product(range(5), repeat=5):
+            w = np.exp(sum(u[i, y[i]] for i in range(5)) + sum(f.link[y[a], y[b]] for a, b in chain) + sum(y[a] == y[b] for a, b in skip))
+            total[range(5), y] += w
+        assert np.abs(p - total / total.sum(1, keepdims=True)).max() < 0.05
+
+
+def test_evidence_reaches_all_repetitions():
+    """One certain mention among 40 of one key, far apart, with nothing else to go by."""
+    f = pii_crf.Field()
+    f.same = np.array(6.0)
+    f.node[0, 1] = 20.0
+    feats = np.full((41, pii_crf.SLOTS), pii_crf.WIDTH - 1)
+    feats[0, 0] = 0
+    p, _, _ = f.beliefs(feats, np.empty((0, 2), np.int64), np.array([(i, 40) for i in range(40)]))
+    assert (p[:40, 1] > 0.95).all()
+    g = pii_crf.Graph()
+    text = " x ".join(["a.b@c.de"] * 40)
+    g.add(0, text, pii_crf.base_spans(text)[:1])
+    assert len(g.skip) == 40 and {h for _, h in g.skip} == {40} and g.label[0] == 1 and not any(g.label[1:])
+
+
 def test_repeated_mentions_take_one_label():
     texts = [f"call me at +49 30 55{i:04d}7 today or again 030 55{i:04d}7 then; order {i:05d} code {i * 7:06d}" for i in range(300)]
     g = pii_crf.Graph()
@@ -328,10 +377,45 @@ def test_leaks(spark):
     b = spark.createDataFrame(bench, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(wide(docs), b).collect()}
     assert got == {(1, 1), (2, 2), (None, 3), (7, 6)}
+    mixed = [(None, exact), (None, prose(50, 40)), (5, exact), (5, prose(51, 40)), (6, prose(52, 40)), (7, None), (5, exact)]
+    mixed = wide(spark.createDataFrame([(i, t, None, None, None) for i, t in mixed], SCHEMA))
+    kept = decontamination.decontaminate(mixed, b)
+    assert kept.columns == mixed.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(x) for x in [(None, prose(50, 40)), (5, prose(51, 40)), (6, prose(52, 40)), (7, None)])
     assert sorted(str(r.doc_id) for r in decontamination.decontaminate(docs, b).collect()) == ["3", "4", "5", "6"]
     assert decontamination.leaks(docs, b.limit(0)).count() == 0 and decontamination.leaks(docs.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.25])
+def test_edited_items_are_found(spark, share):
+    """Items with substituted, inserted and deleted words inside other prose."""
+    rng = np.random.default_rng(int(100 * share))
+    items = [(i, prose(3000 + i, 40)) for i in range(60)]
+    rows = []
+    for i, t in items:
+        w = edited(rng, t, share).split()
+        rows.append((i, f"{prose(i, 60)} {' '.join(w)} {prose(-i, 60)}"))
+        w = t.split()
+        for k in sorted(rng.choice(len(w), int(len(w) * share / 2), replace=False), reverse=True):
+            del w[k]
+        for k in rng.choice(len(w), int(len(w) * share / 2), replace=False):
+            w.insert(int(k), f"ins{k}")
+        rows.append((1000 + i, f"{prose(i, 50)} {' '.join(w)} {prose(-i, 70)}"))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in items} | {(1000 + i, i) for i, _ in items}
+
+
+def test_samples_of_fits(spark):
+    docs = spark.createDataFrame([(None if i % 2 else i, f"text {i}", None, None, None) for i in range(5000)], SCHEMA)
+    assert 50 < common.sampled(docs, 100).count() < 200
+    assert common.sampled(docs, 100, total=10**11).count() == 1  # as if there were far more: never empty
+    some = docs.where(F.xxhash64(F.lit("fit"), "doc_id", "text") < -(1 << 63) + (1 << 64) * 100 // 10**4)
+    assert common.sampled(docs, 100 * 10**7, total=10**11).count() == some.count()  # fine thresholds
+    same = spark.createDataFrame([(None, "one text", None, None, None)] * 3000, SCHEMA)
+    assert common.sampled(same, 100).count() == 1 and common.sampled(docs.limit(0), 5).count() == 0
+
+
 def test_an_item_that_leaked_everywhere_is_found(spark):
     item = prose(321, 40)
     docs = spark.createDataFrame([(i, f"{prose(i, 30)} {item} {prose(-i, 30)}", None, None, None) for i in range(150)], SCHEMA)
