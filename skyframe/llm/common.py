@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WS = b" \t\n\r\x0b\x0c"
@@ -85,13 +85,13 @@ def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sampled(docs: DataFrame, bound: int, total: int | None = None) -> DataFrame:
-    """``doc_id, text`` of about ``bound`` rows by a 64-bit hash of both, all where there are fewer; equal rows count once.
+def sampled(docs: DataFrame, bound: int, total: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text`` and ``more`` of about ``bound`` rows by a 64-bit hash of both, all where there are fewer; equal rows count once.
 
     Never empty unless ``docs`` is.
     """
     n = docs.count() if total is None else total
-    rows = docs.select(doc_id_col(), "text")
+    rows = docs.select(doc_id_col(), "text", *more)
     if n <= bound:
         return rows
     h = F.xxhash64(F.lit("fit"), "doc_id", "text")
@@ -108,6 +108,14 @@ def text_bytes(docs: DataFrame, *cols: str | Column) -> DataFrame:
     return docs.select(*cols, F.col("text").cast("binary").alias("text"))
 
 
+def within(rows: DataFrame, size: str, bound: int) -> DataFrame:
+    """Of a sample's ``rows`` in the order of a hash, those up to which the column ``size`` (1 or more) sums to ``bound``."""
+    cols = rows.columns
+    (h, upto) = fresh(rows, "h", "upto")
+    first = rows.where(F.col(size) <= bound).withColumn(h, F.xxhash64(*cols)).orderBy(h, *cols).limit(bound)
+    return first.withColumn(upto, F.sum(size).over(Window.orderBy(h, *cols).rowsBetween(Window.unboundedPreceding, 0))).where(F.col(upto) <= bound).orderBy(upto).select(*cols)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has, in whatever case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -277,10 +277,7 @@ def fit(docs: DataFrame) -> Field | None:
 
     rows = C.text_bytes(C.sampled(docs, FIT_DOCS)).mapInArrow(run, "n long, f binary, y binary, c binary, s binary")
     got, total, feats, label, chain, skip = C.cut(rows), 0, [], [], [], []
-    order = Window.orderBy("h", "f", "y", "c", "s").rowsBetween(Window.unboundedPreceding, -1)
-    some = got.withColumn("h", F.xxhash64("f")).orderBy("h", "f", "y", "c", "s").limit(FIT_MENTIONS)  # a piece has one mention at least
-    some = some.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(f"before < {FIT_MENTIONS}")
-    for r in some.orderBy("before").collect():
+    for r in C.within(got, "n", FIT_MENTIONS).collect():
         feats.append(np.frombuffer(r.f, "i4").reshape(-1, SLOTS))
         label.append(np.frombuffer(r.y, "i4"))
         chain.append(np.frombuffer(r.c, np.int64).reshape(-1, 2) + total)

@@ -7,7 +7,8 @@ good documents, without any true label.  The posterior of its pattern labels a d
 linear scorer over hashed words and word shapes is fitted to such posteriors.  The scorer, not the
 votes, gives the score, so it also ranks documents on which all labellers abstain.
 
-Bound of the fit of the scorer (a parameter): ``FIT_DOCS`` documents by hash of doc_id.  Votes,
+Bounds of the fit of the scorer (parameters): about ``FIT_DOCS`` documents by hash, ``FIT_FEATURES``
+features in whole documents.  Votes,
 expectation-maximisation and scores cover all texts.
 
 Edge cases: null or blank text has no words, gets the lowest score and is not kept; an empty table
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-FIT_DOCS = 6_000
+FIT_DOCS, FIT_FEATURES = 6_000, 4_000_000
 BUCKETS = 1 << 16
 SYMBOLS = b"#*$%&|<>{}[]\\^~=_@!"
 LOW, GOOD, NONE = 0, 1, 2
@@ -72,14 +73,14 @@ def votes(m: Measured) -> np.ndarray:
     """A row of votes (one for each of ``LABELLERS``) for each text."""
     n, chars = np.maximum(m.n, 1), np.maximum(m.chars, 1)
     pick = lambda low, good, say=True: np.where(say & (m.n > 0), np.where(low, LOW, np.where(good, GOOD, NONE)), NONE)
-    pairs, top, kinds, ends, marked, mean = m.pairs / n, m.top / n, m.kinds / n, m.ends / n, m.marked / n, chars / n
+    pairs, top, ends, marked, mean = m.pairs / n, m.top / n, m.ends / n, m.marked / n, chars / n
     out = np.stack([
         pick(m.symbols > 0.05 * chars, m.symbols <= 0.005 * chars),
         pick((pairs > 0.1) | ((m.n >= 20) & (top > 0.3)), pairs < 0.05),
         pick(m.own_lines < 0.7 * m.lines, (m.lines >= 3) & (m.own_lines == m.lines), m.lines > 1),
         pick(m.upper > 0.3 * chars, m.upper < 0.1 * chars),
         pick((mean < 2.5) | (mean > 15), (mean >= 3.5) & (mean <= 9)),
-        pick((kinds < 0.2) & (m.n < 2000), kinds > 0.4, m.n >= 20),
+        pick(m.kinds < 2 * np.sqrt(n), m.kinds > 4 * np.sqrt(n), m.n >= 20),  # kinds grow about as the root of the length
         pick((ends > 0.4) | (m.ends == 0), (ends >= 0.03) & (ends <= 0.2), m.n >= 20),
         np.where(m.n < 3, LOW, np.where(m.n >= 40, GOOD, NONE)),
         pick(marked > 0.2, marked < 0.02),
@@ -178,7 +179,8 @@ def fit(docs: DataFrame) -> tuple[LabelModel, LinearScorer]:
             yield pa.RecordBatch.from_arrays([part(i, "i4"), part(v, "f4"), pa.array(model.posterior(votes(m)), pa.float64())], ["i", "v", "q"])
 
     scorer = LinearScorer()
-    got = C.cut(C.text_bytes(C.sampled(docs, FIT_DOCS)).mapInArrow(examples, "i binary, v binary, q double")).orderBy(F.xxhash64("i"), "v").limit(FIT_DOCS).collect()
+    seen = C.cut(C.text_bytes(C.sampled(docs, FIT_DOCS)).mapInArrow(examples, "i binary, v binary, q double").withColumn("n", F.expr("octet_length(i) div 4")))
+    got = C.within(seen, "n", FIT_FEATURES).collect()
     scorer.fit([(np.frombuffer(bytes(r.i), "i4"), np.frombuffer(bytes(r.v), "f4").astype(float)) for r in got], np.array([r.q for r in got]))
     return model, scorer
 

@@ -3,13 +3,14 @@
 Base patterns (assignments, access keys, long hexadecimal runs) give labelled credentials.  From
 those of a bounded sample of documents, one probabilistic automaton is inferred for each kind:
 a prefix tree over character classes, whose states are merged while their outgoing frequencies
-are statistically compatible (Hoeffding bound, recursively).  Every run of ``MIN_RUN`` or more
-credential characters in every text is then scored: log-likelihood under the best automaton less
-that under a class bigram of ordinary runs, per character.  Runs above a threshold fitted on
-the sample become ``inferred`` spans; base spans always stay.
+are statistically compatible (Hoeffding bound, recursively).  Every run of credential characters
+in every text, of whatever length, is then scored: its log-likelihood under the best automaton
+less that under a class bigram of ordinary runs.  Short runs cannot gather much, so no length is
+asked for.  Runs above a threshold fitted on the sample become ``inferred`` spans; base spans
+always stay.
 
-Bounds of the fit (parameters): ``FIT_DOCS`` documents by hash of doc_id, ``FIT_VALUES`` values
-of a kind, ``FIT_CHARS`` characters of a value.  Scanning covers all texts.
+Bounds of the fit (parameters): about ``FIT_DOCS`` documents by hash, ``FIT_SYMBOLS`` characters of
+whole distinct values of a kind, ``FIT_ORDINARY`` distinct shapes of ordinary runs.  Scanning covers all texts.
 
 Edge cases: null text is empty; without labelled values of a kind there is no automaton for it,
 and without any there are only base spans; offsets are code points, end exclusive.
@@ -29,14 +30,15 @@ from pyspark.sql import functions as F
 from . import common as C
 
 KINDS = ("assign", "access", "hex")
-MIN_RUN = 16
-FIT_DOCS, FIT_VALUES, FIT_CHARS, FIT_ORDINARY = 20_000, 300, 64, 20_000
+FIT_DOCS, FIT_SYMBOLS, FIT_ORDINARY = 20_000, 16_000, 20_000
 ALPHA = 0.05  # of the compatibility test
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+LEAST = 8.0  # nats that a run must gain at least
+ORDINARY = 0.9995  # share of ordinary shapes that the threshold leaves below
 
 #: Character classes: digit, hexadecimal and other letters by case, marks.
 _CLASS = {c: "0" for c in "0123456789"} | {c: "a" if c <= "f" else "g" for c in "abcdefghijklmnopqrstuvwxyz"} | {c: "A" if c <= "F" else "G" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: "-" for c in "+/_.=-"}
@@ -65,8 +67,16 @@ def _long_words(text: str, least: int) -> Iterator[tuple[int, str]]:
             at += len(w)
 
 
-def _runs(text: str) -> list[tuple[int, int]]:
-    return [(s + m.start(), s + m.end()) for s, w in _long_words(text, MIN_RUN) for m in RUN.finditer(w)]
+def _clear(runs: Iterator[re.Match], base: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """The runs (in order) that touch no base span."""
+    spans, k = sorted((s, e) for s, _, e in base), 0
+    reach = 0  # greatest end of the spans that start before the run's end
+    for m in runs:
+        while k < len(spans) and spans[k][0] < m.end():
+            reach = max(reach, spans[k][1])
+            k += 1
+        if reach <= m.start():
+            yield m
 
 
 class Automaton:
@@ -173,33 +183,40 @@ class Bigram:
 
 class Model:
     def __init__(self, values: dict[int, list[str]], ordinary: list[str]):
-        self.automata = {k: Automaton([v[:FIT_CHARS] for v in x]) for k, x in values.items() if x}
-        self.plain, self.memo = Bigram(ordinary), {}
-        good = [self.gain(v) for x in values.values() for v in x]
-        bad = [self.gain(v) for v in ordinary]
-        # half-way between nearly all ordinary runs and the weakest labelled values, at least 0.25 nats a character
-        low, high = float(np.quantile(bad, 0.9995)) if bad else 0.0, float(np.quantile(good, 0.05)) if good else math.inf
-        self.least = max(0.25, low + 0.05, (low + high) / 2 if good else 0)
-        self.memo = {}
+        self.automata = {k: Automaton(x) for k, x in values.items() if x}
+        self.plain = Bigram(ordinary)
+        self.shapes: dict[str, float] = {}
+        self.words: dict[str, bool] = {}
+        # nearly all ordinary runs stay below
+        self.least = max(LEAST, float(np.quantile([self.gain(v) for v in ordinary], ORDINARY) + 1.0 if ordinary and self.automata else 0.0))
+        self.shapes.clear()
 
     def gain(self, shape: str) -> float:
+        """Log-likelihood under the best automaton less that of an ordinary run."""
         if not self.automata:
             return -math.inf
-        if (g := self.memo.get(shape)) is None:
-            if len(self.memo) > C.MEMO_LIMIT // 4:
-                self.memo.clear()
-            g = self.memo[shape] = (max(a.score(shape) for a in self.automata.values()) - self.plain.score(shape)) / max(1, len(shape))
+        if (g := self.shapes.get(shape)) is None:
+            g = max(a.score(shape) for a in self.automata.values()) - self.plain.score(shape)
+            if len(shape) <= 64:
+                if len(self.shapes) > C.MEMO_LIMIT // 4:
+                    self.shapes.clear()
+                self.shapes[shape] = g
         return g
 
+    def told(self, word: str) -> bool:
+        """Whether a white-space delimited string holds a run above the threshold."""
+        if (x := self.words.get(word)) is None:
+            x = any(self.gain(r.translate(SHAPE)) > self.least for r in RUN.findall(word))
+            if len(word) <= 64:
+                if len(self.words) > C.MEMO_LIMIT // 2:
+                    self.words.clear()
+                self.words[word] = x
+        return x
+
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-        out = []
-        for s, e in _runs(text):
-            if any(s < b[2] and b[0] < e for b in base):
-                continue
-            shape = text[s:e].translate(SHAPE)
-            if "0" in shape and len(set(shape)) > 1 and self.gain(shape) > self.least:
-                out.append((s, e))
-        return out
+        if not self.automata or not any(map(self.told, set(text.split()))):
+            return []
+        return [m.span() for m in _clear(RUN.finditer(text), base) if self.gain(m.group().translate(SHAPE)) > self.least]
 
 
 def fit(docs: DataFrame) -> Model:
@@ -207,26 +224,22 @@ def fit(docs: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind, shape = [], []
+            out: set[tuple[int, str]] = set()
             for t in b.column(0).to_pylist():
                 text = t.decode("utf-8", "replace") if t else ""
                 base = base_spans(text)
                 for s, k, e in base:
                     if k == 0:
                         s = ASSIGN.match(text, s).start(2)
-                    kind.append(k)
-                    shape.append(text[s:e].translate(SHAPE))
-                for s, e in _runs(text):
-                    if not any(s < x[2] and x[0] < e for x in base):
-                        kind.append(-1)
-                        shape.append(text[s:e].translate(SHAPE))
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(shape, pa.string())], ["kind", "shape"])
+                    out.add((k, text[s:e].translate(SHAPE)))
+                out |= {(-1, x.translate(SHAPE)) for x in {m.group() for m in _clear(RUN.finditer(text), base)}}
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.string())], ["kind", "shape"])
 
     seen = C.text_bytes(C.sampled(docs, FIT_DOCS)).mapInArrow(run, "kind int, shape string")
-    by_kind = C.cut(seen.withColumn("h", F.xxhash64("shape")))
-    values = {k: sorted(r[0] for r in by_kind.where(F.col("kind") == k).orderBy("h").limit(FIT_VALUES).select("shape").collect()) for k in range(len(KINDS))}
-    ordinary = sorted(r[0] for r in by_kind.where("kind = -1").orderBy("h").limit(FIT_ORDINARY).select("shape").collect())
-    return Model(values, ordinary)
+    by_kind = C.cut(seen.distinct().withColumn("size", F.length("shape")))
+    values = {k: [r.shape for r in C.within(by_kind.where(F.col("kind") == k), "size", FIT_SYMBOLS).collect()] for k in range(len(KINDS))}
+    ordinary = by_kind.where("kind = -1").select("shape").orderBy(F.xxhash64("shape"), "shape").limit(FIT_ORDINARY).collect()
+    return Model(values, sorted(r[0] for r in ordinary))
 
 
 def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -1,9 +1,12 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A suspicious string (digits or marks among letters, letters repeated three times or more, letters
-set apart by blanks) becomes a lattice: each character may stand for itself, for a letter that it
-imitates, or for nothing; runs may shrink.  A Viterbi search under a character trigram model
-restores the likeliest word.  The trigram counts come from the words of all documents.
+A suspicious string (digits or marks among letters, letters repeated three times or more) becomes
+a lattice: each character may stand for itself, for a letter that it imitates, or for nothing;
+runs may shrink.  Letters set apart by blanks or by marks between blanks become one lattice too,
+in which each gap is nothing or the end of a word.  A Viterbi search under a character trigram
+model restores the likeliest words; it is exact and linear in the length.  The trigram counts come
+from the words of all documents, in tables of fixed size (trigrams share ``2 ** TABLE`` hashed
+places).
 
 The restored text is scored in two steps, both learned from labelled rows only:
 
@@ -14,7 +17,7 @@ The restored text is scored in two steps, both learned from labelled rows only:
   of a training row use the evidence of the other half of the rows.
 
 Rows whose crc32(doc_id) is divisible by ``FOLDS`` are held out.  Bound of the fit (a parameter):
-``FIT_ROWS`` labelled rows, by hash.  Language-model counts and scoring cover all texts.
+``FIT_ROWS`` labelled doc_ids and about as many rows, by hash.  Language-model counts and scoring cover all texts.
 
 Edge cases: null or empty text is scored from the intercept; without training rows of both labels
 every score is the share of toxic ones (0 without any); repeated labels of a doc_id count once,
@@ -41,9 +44,9 @@ FIT_ROWS = 20_000
 BUCKETS = 1 << 20
 SEGMENT = 1 << 14
 RISK = 1.2  # log odds from which a word carries evidence
-BEAM = 48
 MEMO = 120_000  # strings that each memo of a worker remembers
-LONGEST = 32  # longer strings are not decoded, only folded
+TABLE = 20
+GAP_ENDS_WORD = -2.0  # log-probability that a blank between single letters ends a word
 
 #: What a character may stand for.
 LEET = {
@@ -52,26 +55,39 @@ LEET = {
 }
 MARKS = frozenset(".,-_~'`^*\"!|#$%&;:/\\")  # may stand for nothing
 EDGE = "".join(MARKS) + "?()[]{}<>=…«»“”’"
-SPACED = re.compile(r"(?<!\S)[^\W_](?:[ \t.\-_*][^\W_]){2,}(?!\S)")
+THREE_SHORT = re.compile(r"(?<!\S)\S{1,3}\s+\S{1,3}\s+\S{1,3}(?!\S)")
 TRIPLE = re.compile(r"(.)\1\1")
+ELSE = "ɐ"
 
 
 def fold(c: str) -> str:
     """Letters up to U+024F keep their place in the model; all other characters share one."""
-    return c if c.isalpha() and c < "ɐ" else "ɐ"
+    return c if c.isalpha() and c < ELSE else ELSE
+
+
+class Counts:
+    """Trigram counts of folded words in tables of fixed size: trigrams hashed, pairs and single characters exact."""
+
+    def __init__(self) -> None:
+        self.tri, self.bi, self.context = np.zeros(1 << TABLE), np.zeros(1 << 20), np.zeros(1 << 20)
+
+    def add(self, code: np.ndarray, n: np.ndarray) -> None:
+        """``code``: three characters of 10 bits each."""
+        for table, at in ((self.tri, place(code)), (self.bi, code & 0xFFFFF), (self.context, code >> 10)):
+            np.add.at(table, at, n)
+
+
+def place(code: np.ndarray) -> np.ndarray:
+    return (C.mix(code.astype(np.uint64), 41) >> np.uint64(64 - TABLE)).astype(np.int64)
 
 
 class CharModel:
     """Interpolated trigram model of words."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.tri, self.bi, self.uni, self.ctx2, self.ctx1 = counts, Counter(), Counter(), Counter(), Counter()
-        for g, n in counts.items():
-            self.bi[g[1:]] += n
-            self.uni[g[2]] += n
-            self.ctx2[g[:2]] += n
-            self.ctx1[g[1]] += n
-        self.total = max(1, sum(self.uni.values()))
+    def __init__(self, counts: Counts):
+        self.counts = counts
+        self.single, self.before = counts.bi.reshape(1024, 1024).sum(0), counts.bi.reshape(1024, 1024).sum(1)
+        self.total = max(1.0, float(self.single.sum()))
         self.memo: dict[str, float] = {}
 
     def log(self, a: str, b: str, c: str) -> float:
@@ -79,10 +95,11 @@ class CharModel:
         if (p := self.memo.get(g)) is None:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            n2, n1 = self.ctx2[a + b], self.ctx1[b]
-            p = 0.7 * self.tri.get(g, 0) / n2 if n2 else 0.0
-            p += 0.2 * self.bi[b + c] / n1 if n1 else 0.0
-            p = self.memo[g] = math.log(p + 0.09 * self.uni[c] / self.total + 1e-6)
+            x, y, z = map(ord, g)
+            n2, n1 = self.counts.context[x << 10 | y], self.before[y]
+            p = 0.7 * min(1.0, self.counts.tri[place(np.array([x << 20 | y << 10 | z]))[0]] / n2) if n2 else 0.0
+            p += 0.2 * self.counts.bi[y << 10 | z] / n1 if n1 else 0.0
+            p = self.memo[g] = math.log(p + 0.09 * self.single[z] / self.total + 1e-6)
         return p
 
 
@@ -107,21 +124,60 @@ def lattice(s: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(s: str, model: CharModel) -> str:
-    """Likeliest word behind ``s``."""
-    best = {("^", "^"): (0.0, "")}
-    for arcs in lattice(s):
-        nxt: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (score, word) in best.items():
-            for text, cost in arcs:
+def paths(arcs: list[list[tuple[str, float]]], model: CharModel) -> tuple[float, str]:
+    """Score and text of the best path through ``arcs``; a blank on it ends a word and starts the next."""
+    best: dict[tuple[str, str], tuple[float, tuple | None]] = {("^", "^"): (0.0, None)}
+    for step in arcs:
+        nxt: dict[tuple[str, str], tuple[float, tuple | None]] = {}
+        for (a, b), (score, back) in best.items():
+            for text, cost in step:
                 x, p, q = score + cost, a, b
                 for c in text:
-                    x += model.log(p, q, fold(c))
-                    p, q = q, fold(c)
+                    if c == " ":
+                        x += model.log(p, q, "$")
+                        p = q = "^"
+                    else:
+                        f = fold(c)
+                        x += model.log(p, q, f)
+                        p, q = q, f
                 if (p, q) not in nxt or nxt[p, q][0] < x:
-                    nxt[p, q] = (x, word + text)
-        best = dict(sorted(nxt.items(), key=lambda kv: -kv[1][0])[:BEAM]) if len(nxt) > BEAM else nxt
-    return max((score + model.log(a, b, "$"), word) for (a, b), (score, word) in best.items())[1]
+                    nxt[p, q] = (x, (back, text) if text else back)
+        best = nxt
+    score, back = max(((score + model.log(a, b, "$"), back) for (a, b), (score, back) in best.items()), key=lambda x: x[0])
+    out = []
+    while back:
+        back, text = back
+        out.append(text)
+    return score, "".join(reversed(out))
+
+
+def decode(s: str, model: CharModel) -> str:
+    """Likeliest word behind ``s``."""
+    return paths(lattice(s), model)[1]
+
+
+def spaced_lattice(tokens: list[str]) -> list[list[tuple[str, float]]]:
+    """The lattice of single letters and marks with gaps between them."""
+    out: list[list[tuple[str, float]]] = []
+    for t in tokens:
+        if out:
+            out.append([("", 0.0), (" ", GAP_ENDS_WORD)])
+        out += lattice(t)
+    return out
+
+
+class Kinds(dict):
+    """Of a string: 2 a single letter or digit with or without marks (``d``, ``d.``, ``dd``), 1 marks alone, 0 others."""
+
+    def __missing__(self, s: str) -> int:
+        letters = {c for c in s if c.isalnum() or (c in LEET and c not in MARKS)}
+        rest = all(c in MARKS or c in EDGE for c in s if c not in letters)
+        kind = 0 if len(s) > 3 or not rest or len(letters) > 1 else 2 if letters else 1
+        if len(self) > MEMO:
+            self.clear()
+        if len(s) <= 64:
+            self[s] = kind
+        return kind
 
 
 class Restorer(dict):
@@ -132,7 +188,7 @@ class Restorer(dict):
 
     def __init__(self, model: CharModel):
         super().__init__()
-        self.model = model
+        self.model, self.kinds, self.spaced = model, Kinds(), {}
 
     def __missing__(self, s: str) -> str:
         x = s.lower()
@@ -140,11 +196,8 @@ class Restorer(dict):
         if not core.isalpha() or TRIPLE.search(core):
             # marks at the edge may imitate letters ("$tupid", "a$$")
             full = x.strip(".,;:?\"'()[]{}…«»“”’")
-            letters = sum(c.isalpha() for c in full)
-            if letters and 2 <= len(full) <= LONGEST:
+            if len(full) > 1 and any(c.isalpha() for c in full):
                 core = " ".join(sorted({decode(o, self.model) for o in (full, core) if any(c.isalpha() for c in o)}))
-            elif letters:
-                core = re.sub(r"(.)\1{2,}", r"\1\1", core)
         if len(self) > MEMO:
             self.clear()
         if len(s) <= 64:
@@ -154,17 +207,38 @@ class Restorer(dict):
     def parts(self, text: str) -> tuple[list[str], list[str]]:
         """White-space delimited strings, and words hidden by blanks between letters.
 
-        Blanks hide where words end, so a run of single letters gives its decoded whole and its parts.
+        Blanks hide where words end, so a run of single letters gives its decoded words and the
+        parts of them all in one.
         """
         raw, more = text.split(), []
-        if sum(len(w) == 1 for w in raw) >= 3 and SPACED.search(text):
-            for m in SPACED.finditer(text):
-                w = self[re.sub(r"[ \t.\-_*]", "", m.group())]
-                more.append(w)
-                if len(w) <= 2 * LONGEST:
-                    more.extend(w[i:j] for i in range(len(w)) for j in range(i + 4, min(len(w), i + 15) + 1))
+        if THREE_SHORT.search(text):
+            run: list[str] = []
+            for w in [*raw, "...."]:
+                if self.kinds[w]:
+                    run.append(w)
+                elif run:
+                    more += self.hidden(run)
+                    run = []
         return raw, more
 
+    def hidden(self, run: list[str]) -> list[str]:
+        while run and self.kinds[run[-1]] == 1:
+            run.pop()
+        first = next((i for i, w in enumerate(run) if self.kinds[w] == 2), len(run))
+        run = run[first:]
+        if sum(self.kinds[w] == 2 for w in run) < 3 or not any(c.isalpha() for w in run for c in w):
+            return []
+        s = " ".join(run).lower()
+        if (out := self.spaced.get(s)) is None:
+            out = paths(spaced_lattice(s.split(" ")), self.model)[1].split()
+            whole = "".join(out)
+            out += [whole[i:j] for i in range(len(whole)) for j in range(i + 4, min(len(whole), i + 15) + 1)]
+            if len(self.spaced) > MEMO // 10:
+                self.spaced.clear()
+            if len(s) <= 64:
+                self.spaced[s] = out
+        return out
+
     def words(self, text: str) -> list[str]:
         raw, more = self.parts(text)
         return " ".join(map(self.__getitem__, raw)).split() + more
@@ -173,24 +247,28 @@ class Restorer(dict):
 # ---------------------------------------------------------------- language model over all texts
 
 
-def trigrams(words: Counter) -> tuple[list[str], list[int]]:
-    """Folded trigrams of plain words, ``^^`` before and ``$`` after, and their counts."""
+def trigrams(words: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of folded trigrams of plain words, ``^^`` before and ``$`` after, and their counts."""
     plain = [(w, n) for w, n in words.items() if w.isalpha() and not TRIPLE.search(w)]
-    total: Counter = Counter()
+    codes, counts = [np.empty(0, np.int64)], [np.empty(0)]
     for i in range(0, len(plain), 20_000):
         part = plain[i : i + 20_000]
-        x = np.frombuffer("".join(f"^^{w}$" for w, _ in part).encode("utf-32-le"), np.uint32).astype(np.int32)
-        x = np.minimum(x, ord("ɐ"))
+        x = np.frombuffer("".join(f"^^{w}$" for w, _ in part).encode("utf-32-le"), np.uint32).astype(np.int64)
+        x = np.minimum(x, ord(ELSE))
         weight = np.repeat(np.array([n for _, n in part], np.float64), np.array([len(w) + 3 for w, _ in part], np.int64))
         ok = (x[:-2] != ord("$")) & (x[1:-1] != ord("$"))
         code, at = np.unique((x[:-2] << 20 | x[1:-1] << 10 | x[2:])[ok], return_inverse=True)
-        for c, n in zip(code.tolist(), np.bincount(at, weight[:-2][ok]).astype(np.int64).tolist()):
-            total["".join(map(chr, (c >> 20, c >> 10 & 1023, c & 1023)))] += n
-    return list(total), list(total.values())
+        codes.append(code)
+        counts.append(np.bincount(at, weight[:-2][ok]))
+    return np.concatenate(codes), np.concatenate(counts)
+
 
+def character_counts(docs: DataFrame) -> Counts:
+    """Trigram counts over the words of all documents.
 
-def character_counts(docs: DataFrame) -> dict[str, int]:
-    """Trigram counts over the words of all documents; their number is bounded by the folded alphabet."""
+    Tasks send distinct trigrams; four tasks fold them to tables, so the driver gets four times the
+    tables' fixed size at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -200,7 +278,8 @@ def character_counts(docs: DataFrame) -> dict[str, int]:
             for w, n in words.items():
                 cores[w.lower().strip(EDGE)] += n
             words.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(trigrams(cores), (pa.string(), pa.int64()))], ["g", "n"])
+            code, n = trigrams(cores)
+            return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.float64())], ["g", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -210,7 +289,21 @@ def character_counts(docs: DataFrame) -> dict[str, int]:
                         yield out()
         yield out()
 
-    return {r.g: r.n for r in C.text_bytes(docs).mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    def fold_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = Counts()
+        for b in batches:
+            mine.add(b.column(0).to_numpy(), b.column(1).to_numpy())
+        for k, table in enumerate((mine.tri, mine.bi, mine.context)):
+            at = np.flatnonzero(table)
+            for i in range(0, len(at), 100_000):
+                some = at[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some.astype("i4").tobytes()], pa.binary()), pa.array([table[some].tobytes()], pa.binary())], ["k", "at", "n"])
+
+    by_code = C.cut(C.text_bytes(docs).mapInArrow(run, "g long, n double").groupBy("g").agg(F.sum("n").alias("n")))
+    counts = Counts()
+    for r in by_code.coalesce(4).mapInArrow(fold_up, "k int, at binary, n binary").collect():
+        (counts.tri, counts.bi, counts.context)[r.k][np.frombuffer(bytes(r.at), "i4")] += np.frombuffer(bytes(r.n), np.float64)
+    return counts
 
 
 # ---------------------------------------------------------------- evidence and measures
@@ -290,7 +383,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40)
 
 
 class Scorer:
-    def __init__(self, counts: dict[str, int], found: dict[str, float], chance: float, weights: np.ndarray | None, prior: float):
+    def __init__(self, counts: Counts | None, found: dict[str, float], chance: float, weights: np.ndarray | None, prior: float):
         self.counts, self.found, self.chance, self.weights, self.prior = counts, found, chance, weights, prior
         self.ev: Evidence | None = None
 
@@ -317,7 +410,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     counts = character_counts(docs)
     y = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     y = y.where(~held_out()).withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(FIT_ROWS).select("doc_id", "y", (F.pmod("h", F.lit(2))).cast("int").alias("half"))
-    train = C.cut(C.text_bytes(docs, C.doc_id_col()).join(F.broadcast(C.cut(y)), "doc_id").select("text", "y", "half"))
+    labelled = C.cut(C.text_bytes(docs, C.doc_id_col()).join(F.broadcast(C.cut(y)), "doc_id").select("doc_id", "text", "y", "half"))
+    train = C.sampled(labelled, FIT_ROWS, more=("y", "half")).select("text", "y", "half")  # a doc_id may stand in many rows
     model = spark.sparkContext.broadcast(counts)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +447,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     both, sums = count[:2] + count[2:], rows[:2] + rows[2:]
     prior = float(sums[1] / max(1, sums.sum()))
     if not sums.all():
-        return Scorer({}, {}, 0.0, None, prior)
+        return Scorer(None, {}, 0.0, None, prior)
     halves = [evidence(count[2 * (1 - h) : 2 * (1 - h) + 2], rows[2 * (1 - h) : 2 * (1 - h) + 2]) for h in (0, 1)]  # for half h from the other
     odds = [*halves, evidence(both, sums)]
     some = spark.sparkContext.broadcast(np.logical_or.reduce([o > 0 for o in odds]))
@@ -384,7 +478,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
                 risk.append(np.array(r[:3], np.float64).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(size, pa.int64()), pa.array(hits, pa.int64()), pa.array(risk, pa.binary())], ["y", "n", "k", "top"])
 
-    got = train.mapInArrow(measure, "y int, n long, k long, top binary").collect()  # FIT_ROWS rows at most
+    got = train.mapInArrow(measure, "y int, n long, k long, top binary").collect()  # about FIT_ROWS rows
     plain = [(r.k, r.n) for r in got if not r.y]
     chance = sum(k for k, _ in plain) / max(1, sum(n for _, n in plain))
     x = [measures(r.n, r.k, np.frombuffer(bytes(r.top), np.float64).tolist(), chance) for r in got]
