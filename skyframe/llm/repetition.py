@@ -45,18 +45,20 @@ class Rules:
 def longest_repeats(symbols: np.ndarray) -> np.ndarray:
     """For each position, the length of the longest substring there that also starts elsewhere.
 
-    ``symbols`` are non-negative; a symbol that occurs once ends every match.
+    ``symbols`` are non-negative; a symbol that occurs once ends every match.  Memory: a rank (4
+    bytes up to 2^31 symbols) for each symbol and each doubling up to the longest repeat.
     """
     n = len(symbols)
     if n == 0:
         return np.empty(0, np.int64)
+    kind = np.int32 if n < 1 << 31 else np.int64
     sa = np.argsort(symbols, kind="stable")
     s = symbols[sa]
     new = np.r_[True, s[1:] != s[:-1]]
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)  # rank: place of the group's first suffix; the end sorts first
     rank[sa], rank[n] = start, -1
-    levels, h = [rank.copy()], 1
+    levels, h = [rank.astype(kind)], 1
     tied = ~new
     tied[:-1] |= ~new[1:]
     places = np.flatnonzero(tied)
@@ -68,7 +70,7 @@ def longest_repeats(symbols: np.ndarray) -> np.ndarray:
         sa[places] = pos  # groups keep their places
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
         rank[pos] = np.maximum.accumulate(np.where(new, places, 0))
-        levels.append(rank.copy())
+        levels.append(rank.astype(kind))
         h *= 2
         tied = ~new
         tied[:-1] |= ~new[1:]

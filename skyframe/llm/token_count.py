@@ -3,7 +3,7 @@
 The count of a piece is its initial symbols less the merges that are carried out: the lowest-rank
 adjacent pair (leftmost of equals) is merged again and again, and no identifiers are made.  The
 vocabulary file gives merge ranks, special strings, and the end-of-word mark; its path is a
-parameter.
+parameter, and files of another form are rejected.
 
 A text is cut at white space, as no piece of this tokenizer spans it; counts of the cut strings
 are remembered up to a bound, so each distinct string is merged about once for each worker.
@@ -39,6 +39,19 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
+def require_form(spec: dict) -> None:
+    """Reject files whose normalizer, pieces or special strings differ from what is counted here."""
+    steps = (spec["normalizer"] or {}).get("normalizers", [])
+    pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    model = spec["model"]
+    ok = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    ok = ok and [p["type"] for p in pre] == ["Split", "ByteLevel"] and (pre[0]["behavior"], pre[0]["invert"]) == ("Removed", True) and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
+    ok = ok and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["special"] for t in spec["added_tokens"])
+    ok = ok and model["type"] == "BPE" and not (model["continuing_subword_prefix"] or model["byte_fallback"] or model["ignore_merges"] or model["dropout"] or model["unk_token"])
+    if not ok:
+        raise ValueError("counts are made for lower-case word-piece BPE files without further rules; this file has others")
+
+
 class Merger(dict):
     """White-space-free string to its number of tokens."""
 
@@ -46,6 +59,7 @@ class Merger(dict):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        require_form(spec)
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.rank: dict[tuple[str, str], int] = {}
         for i, pair in enumerate(spec["model"]["merges"]):
