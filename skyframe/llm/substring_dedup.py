@@ -6,17 +6,18 @@ j + s on cover positions.  With ``ANCHOR + PERIOD - 1 <= WINDOW`` two equal wind
 share an anchor (``ANCHOR`` words that start at a cover position), whatever their offsets, and
 only 6 of 31 positions are hashed.
 
-1. Every anchor hash goes, packed, to the partition of its hash; hashes of two different
-   documents are shared.  Senders fold repeats inside a flush to (least, greatest) document.
-2. A Bloom filter of the shared hashes (bounded, see ``common.bloom_build``) marks anchors in a
-   second pass; marked anchors extend to the windows that contain them, and those windows are
-   hashed whole.  Windows with a smaller document are found exactly in a second packed exchange.
-   False positives of the filter only add windows; a full filter means that all are compared.
-3. Starts of repeated windows return to their documents in a third packed exchange, one row for
+1. Every anchor goes, packed, to the partition of its hash; hashes of two different documents are
+   shared.  The places of shared anchors return to their documents in a second packed exchange.
+2. Documents with shared anchors extend them to the windows that contain them, and those windows
+   are hashed whole and sent to the partition of their hash, where windows with a smaller document
+   are found exactly.
+3. Starts of repeated windows return to their documents in another packed exchange, one row for
    each document, and its words are marked and removed.
 
-No pair of documents is ever formed, so a passage in a third of all documents costs one row
-for each occurrence.  Windows are equal when their 128-bit hashes are (two independent 64-bit
+Senders judge what they can: of equal anchors or windows in one flush they mark all but those of
+the least document themselves and pass on only that one.  A passage in a third of all documents
+so reaches its partition once for each flush of a sender.  No pair of documents is ever formed,
+and nothing is broadcast.  Windows are equal when their 128-bit hashes are (two independent 64-bit
 hashes of 64-bit word hashes).
 
 Edge cases: null text has no words; a null doc_id is never smaller than another and loses
@@ -25,12 +26,10 @@ nothing; repeated doc_ids do not remove each other; fewer than WINDOW words lose
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +55,95 @@ def _anchors(at: np.ndarray, h: np.ndarray, period: int, anchor: int, cover: tup
     return start, doc, C.window_hashes(h, anchor)[start] if len(start) else np.empty(0, np.uint64)
 
 
+SHARED = np.uint64(1)  # lowest bit of an anchor's hash: its sender has met two documents with it
+PLACES = ["u8", "i8", "i4"]  # fp, document, word
+
+
+def _gather(packed: DataFrame, n: int, name: str) -> DataFrame:
+    """``(doc_id, fp, name)``: the distinct places of each document as packed int32."""
+
+    def by_document(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        fp, who, pos = C.unpack(blobs, PLACES)
+        order = np.lexsort((pos, fp, who))
+        fp, who, pos = fp[order], who[order], pos[order]
+        if len(who):
+            cuts = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (fp[1:] != fp[:-1]), True])
+            blob = [np.unique(pos[i:j]).tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(who[cuts[:-1]], pa.int64()), pa.array(fp[cuts[:-1]].view(np.int64), pa.int64()), pa.array(blob, pa.binary())], ["doc_id", "fp", name])
+
+    return C.exchange(packed, n, by_document, f"doc_id long, fp long, {name} binary")
+
+
+def _to_document(out: C.Packer, fp: np.ndarray, who: np.ndarray, pos: np.ndarray) -> None:
+    out.add(C.mix(who.view(np.uint64) ^ fp), fp, who, pos)
+
+
+def _on(blobs: list[bytes], n: int) -> Iterator[pa.RecordBatch]:
+    """Places that a sender has found go on as they are."""
+    out = C.Packer(n, PLACES)
+    _to_document(out, *C.unpack(blobs, PLACES))
+    yield from out.flush()
+
+
+def shared_anchors(rows: DataFrame, n: int, period: int = PERIOD, anchor: int = ANCHOR, cover: tuple = COVER) -> DataFrame:
+    """``(doc_id, fp, anchors)``: starts of anchors that another doc_id holds too; ``rows`` are ``doc_id, fp, text``."""
+    types = ["u8", "u8", "i8", "i4"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, known, part, size = C.Packer(n, types), C.Packer(n, PLACES, 1), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if part:
+                ah, fp, who, pos = (np.concatenate(c) for c in zip(*part))
+                part.clear()
+                size = 0
+                order = np.lexsort((who, ah))
+                h, w = ah[order], who[order]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                count = np.diff(np.r_[first, len(h)])
+                two = np.flatnonzero(w[first] != w[first + count - 1])
+                stay = np.ones(len(h), bool)
+                if len(two):
+                    all_ = order[C.ragged(first[two], count[two])]
+                    _to_document(known, fp[all_], who[all_], pos[all_])
+                    stay[all_] = False
+                    stay[order[first[two]]] = True
+                    ah[order[first[two]]] |= SHARED
+                out.add(ah[stay] >> SHARED, ah[stay], fp[stay], who[stay], pos[stay])
+                yield from out.flush()
+                yield from known.flush()
+
+        for b in batches:
+            ids, fps = (np.array(b.column(k).to_pylist(), np.int64) for k in (0, 1))
+            h, at = C.hash_words(b.column(2).to_pylist())
+            start, doc, ah = _anchors(at, h, period, anchor, cover)
+            if len(ah):
+                part.append([ah & ~SHARED, fps.view(np.uint64)[doc], ids[doc], start - at[doc]])
+                size += 28 * len(ah)
+            if size >= C.PACK_BYTES:
+                yield from flush()
+        yield from flush()
+
+    def find(blobs: list[bytes], kind: int) -> Iterator[pa.RecordBatch]:
+        if kind:
+            yield from _on(blobs, n)
+            return
+        ah, fp, who, pos = C.unpack(blobs, types)
+        if len(ah):
+            order = np.argsort(ah >> SHARED, kind="stable")
+            ah, fp, who, pos = ah[order], fp[order], who[order], pos[order]
+            first = np.flatnonzero(np.r_[True, ah[1:] >> SHARED != ah[:-1] >> SHARED])
+            count = np.diff(np.r_[first, len(ah)])
+            two = (count > 1) & ((np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)) | (np.bitwise_or.reduceat(ah, first) & SHARED == SHARED))
+            hit = np.repeat(two, count)
+            out = C.Packer(n, PLACES)
+            _to_document(out, fp[hit], who[hit], pos[hit])
+            yield from out.flush()
+
+    return _gather(C.exchange(rows.mapInArrow(send, C.Packer.schema), n, find, C.Packer.schema, kinds=2), n, "anchors")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, anchor: int = ANCHOR, cover: tuple = COVER) -> DataFrame:
     """``(doc_id, fp, starts)``: starts (packed int32) of windows that also start in a smaller doc_id.
 
@@ -65,100 +153,76 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     spark = docs.sparkSession
     C.tune(spark)
     n = C.partitions(spark)
-    rows = C.text_bytes(docs, C.doc_id_col()).where("doc_id is not null")
-    a_types, w_types, d_types = ["u8", "i8", "i8"], ["u8", "u8", "i8", "i4", "u8"], ["u8", "i8", "i4"]
-
-    def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = C.Packer(n, a_types)
-        for b in batches:
-            ids, (h, at) = b.column(0).to_pylist(), C.hash_words(b.column(1).to_pylist())
-            _, doc, ah = _anchors(at, h, period, anchor, cover)
-            if len(ah):
-                who = np.array(ids, np.int64)[doc]
-                order = np.argsort(ah, kind="stable")
-                ah, who = ah[order], who[order]
-                first = np.flatnonzero(np.r_[True, ah[1:] != ah[:-1]])
-                out.add(ah[first], ah[first], np.minimum.reduceat(who, first), np.maximum.reduceat(who, first))
-            if out.full():
+    rows = fingerprinted(docs).where("doc_id is not null")
+    marked = C.cut(shared_anchors(rows, n, period, anchor, cover))
+    types = ["u8", "u8", "i8", "i4", "u8"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, known, part, size = C.Packer(n, types), C.Packer(n, PLACES, 1), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if part:
+                w1, w2, who, pos, fp = (np.concatenate(c) for c in zip(*part))
+                part.clear()
+                size = 0
+                order = np.lexsort((who, w2, w1))
+                new = np.r_[True, (np.diff(w1[order]) != 0) | (np.diff(w2[order]) != 0)]
+                gone = np.empty(len(order), bool)
+                gone[order] = who[order] > who[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+                _to_document(known, fp[gone], who[gone], pos[gone])
+                out.add(w1[~gone], *(x[~gone] for x in (w1, w2, who, pos, fp)))
                 yield from out.flush()
-        yield from out.flush()
-
-    def shared(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        h, lo, hi = C.unpack(blobs, a_types)
-        order = np.argsort(h, kind="stable")
-        h, lo, hi = h[order], lo[order], hi[order]
-        if len(h):
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            two = np.minimum.reduceat(lo, first) != np.maximum.reduceat(hi, first)
-            got = h[first][two]
-            if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array([len(got)], pa.int64()), pa.array([got.tobytes()], pa.binary())], ["n", "payload"])
-
-    hashes = C.cut(C.exchange(rows.mapInArrow(send_anchors, C.Packer.schema), n, shared, "n long, payload binary"))
-    count = hashes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = C.bloom_build(hashes, count)
-
-    def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = C.Packer(n, w_types)
+                yield from known.flush()
+
         for b in batches:
-            ids, (h, at) = b.column(0).to_pylist(), C.hash_words(b.column(1).to_pylist())
-            start, doc, ah = _anchors(at, h, period, anchor, cover)
-            hit = C.bloom_probe(ah, bits.value) if len(ah) else np.empty(0, bool)
-            start, doc = start[hit], doc[hit]
-            if len(start):
-                # windows that hold a marked anchor: starts from anchor end - window to anchor start
-                lo = np.maximum(start + anchor - window, at[doc])
-                hi = np.minimum(start, at[doc + 1] - window)
+            ids, fps = (np.array(b.column(k).to_pylist(), np.int64) for k in (0, 1))
+            h, at = C.hash_words(b.column(2).to_pylist())
+            places = [np.frombuffer(x, "i4") for x in b.column(3).to_pylist()]
+            doc = np.repeat(np.arange(len(places)), [len(x) for x in places])
+            if len(doc):
+                start = np.concatenate(places) + at[doc]
+                # windows that hold a shared anchor: starts from anchor end - window to anchor start
+                lo, hi = np.maximum(start + anchor - window, at[doc]), np.minimum(start, at[doc + 1] - window)
                 ok = hi >= lo
                 mark = np.zeros(len(h) + 1, np.int32)
                 np.add.at(mark, lo[ok], 1)
                 np.add.at(mark, hi[ok] + 1, -1)
-                at_w = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                if len(at_w):
-                    d = np.searchsorted(at, at_w, side="right") - 1
-                    w1, w2 = C.window_hashes(h, window)[at_w], C.window_hashes(C.mix(h, 3), window)[at_w]
-                    texts = b.column(1)
-                    fp = np.zeros(len(ids), np.uint64)
-                    for i in np.unique(d):
-                        fp[i] = xxhash.xxh64_intdigest(texts[int(i)].as_py())
-                    out.add(w1, w1, w2, np.array(ids, np.int64)[d], at_w - at[d], fp[d])
-            if out.full():
-                yield from out.flush()
-        yield from out.flush()
-
-    def judge(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        w1, w2, who, pos, fp = C.unpack(blobs, w_types)
-        order = np.lexsort((who, w2, w1))
-        w1, w2, who, pos, fp = (x[order] for x in (w1, w2, who, pos, fp))
-        new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])] if len(w1) else np.empty(0, bool)
-        least = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = np.flatnonzero(who > least)
-        out = C.Packer(n, d_types)
-        out.add(C.mix(who[gone].view(np.uint64) ^ fp[gone]), fp[gone], who[gone], pos[gone])
-        yield from out.flush()
-
-    def by_document(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        fp, who, pos = C.unpack(blobs, d_types)
-        order = np.lexsort((pos, fp, who))
-        fp, who, pos = fp[order], who[order], pos[order]
-        if len(who):
-            cuts = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (fp[1:] != fp[:-1]), True])
-            blob = [np.unique(pos[i:j]).astype("i4").tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(who[cuts[:-1]], pa.int64()), pa.array(fp[cuts[:-1]].view(np.int64), pa.int64()), pa.array(blob, pa.binary())], ["doc_id", "fp", "starts"])
-
-    dup = C.exchange(rows.mapInArrow(send_windows, C.Packer.schema), n, judge, C.Packer.schema)
-    return C.cut(C.exchange(dup, n, by_document, "doc_id long, fp long, starts binary"))
+                w = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+                if len(w):
+                    d = np.searchsorted(at, w, side="right") - 1
+                    part.append([C.window_hashes(h, window)[w], C.window_hashes(C.mix(h, 3), window)[w], ids[d], w - at[d], fps.view(np.uint64)[d]])
+                    size += 36 * len(w)
+            if size >= C.PACK_BYTES:
+                yield from flush()
+        yield from flush()
+
+    def judge(blobs: list[bytes], kind: int) -> Iterator[pa.RecordBatch]:
+        if kind:
+            yield from _on(blobs, n)
+            return
+        w1, w2, who, pos, fp = C.unpack(blobs, types)
+        if len(w1):
+            order = np.lexsort((who, w2, w1))
+            w1, w2, who, pos, fp = (x[order] for x in (w1, w2, who, pos, fp))
+            new = np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])]
+            gone = who > who[np.flatnonzero(new)][np.cumsum(new) - 1]
+            out = C.Packer(n, PLACES)
+            _to_document(out, fp[gone], who[gone], pos[gone])
+            yield from out.flush()
+
+    held = rows.join(marked, ["doc_id", "fp"]).select("doc_id", "fp", "text", "anchors")
+    dup = C.exchange(held.mapInArrow(send, C.Packer.schema), n, judge, C.Packer.schema, kinds=2)
+    return C.cut(_gather(dup, n, "starts"))
+
+
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    return C.text_bytes(docs, C.doc_id_col()).select("doc_id", F.xxhash64("text").alias("fp"), "text")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, text`` with ``text`` the kept words joined by one space."""
     starts = repeated_windows(docs, window)
-    rows = C.text_bytes(docs, C.doc_id_col())
-
-    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([xxhash.xxh64_intdigest(t or b"") for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "text", "fp"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,8 +240,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["doc_id", "n_words", "n_removed", "text"])
 
-    full = rows.mapInArrow(fingerprint, "doc_id long, text binary, fp long")
-    full = full.join(starts, ["doc_id", "fp"], "left").select("doc_id", "text", "starts")
+    full = fingerprinted(docs).join(starts, ["doc_id", "fp"], "left").select("doc_id", "text", "starts")
     return full.mapInArrow(apply, "doc_id long, n_words long, n_removed long, text binary")
 
 
