@@ -63,10 +63,10 @@ def replay(rows: pd.DataFrame) -> list:
 
 def removed(cat: DataFrame, cfg: DedupConfig) -> DataFrame:
     """``id`` of the rows that go."""
-    pairs = candidate_pairs(cat, cfg)
+    pairs = cut(candidate_pairs(cat, cfg))
     ids = pairs.select(F.col("id_i").alias("id"), F.col("id_j").alias("other")).unionByName(pairs.select(F.col("id_j").alias("id"), F.col("id_i").alias("other")))
     degree = ids.groupBy("id").agg(F.count("*").alias("n"))
-    tagged = pairs.join(degree.select(F.col("id").alias("id_i"), F.col("n").alias("ni")), "id_i").join(degree.select(F.col("id").alias("id_j"), F.col("n").alias("nj")), "id_j")
+    tagged = cut(pairs.join(degree.select(F.col("id").alias("id_i"), F.col("n").alias("ni")), "id_i").join(degree.select(F.col("id").alias("id_j"), F.col("n").alias("nj")), "id_j"))
     # a pair whose rows have no other pair is decided at once
     lone = tagged.where("ni = 1 and nj = 1").select(F.expr("if(npix_i >= npix_j, id_j, id_i)").alias("id"))
     rest = tagged.where("ni > 1 or nj > 1").drop("ni", "nj")
@@ -88,9 +88,9 @@ def roots(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
         jump = lab.select(F.col("id").alias("mid"), F.col("root").alias("far"))
         nxt = cut(step.join(jump, "mid", "left").select("id", "old", F.coalesce(F.least("mid", "far"), F.col("mid")).alias("root")))
         if not nxt.where("root <> old").limit(1).count():
-            break
+            return lab
         lab = nxt.select("id", "root")
-    return lab
+    raise RuntimeError(f"components of pairs did not settle in {max_rounds} rounds")
 
 
 def chains(pairs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.scalar import brick_name
 from ..operators.dedup import deduplicate
 from ..sources import fits, images
 from . import tile
-from .durable import cut
+from .durable import cut, tune
 
 CATALOG = "brick string, label int, npix int, x double, y double, ra double, dec double, a double, b double, theta double, ellipticity double, kron_radius double, flux_iso double, flux_auto double, flags short, peak_snr double, peak_row int, peak_col int, rmin int, rmax int, cmin int, cmax int"
 COLUMNS = [c.split()[0] for c in CATALOG.split(", ")]
@@ -59,7 +59,7 @@ def _frame(brick: str, cols: dict[str, np.ndarray]) -> pd.DataFrame:
 
 def catalog_of_tiles(tiles: DataFrame, bcfg: BackgroundConfig = BackgroundConfig(), dcfg: DetectConfig = DetectConfig(), mcfg: MeasureConfig = MeasureConfig()) -> DataFrame:
     """Catalog rows of ``tiles(brick, nrows, ncols, wcs, data)``: an image a task, no shuffle."""
-    tiles.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    tune(tiles.sparkSession)
     good = tiles.where("data is not null").select("brick", "nrows", "ncols", "wcs", "data")
 
     def run(batches):
@@ -87,7 +87,7 @@ def catalog_of_files(files: DataFrame, bcfg: BackgroundConfig = BackgroundConfig
 
     A file that cannot be read gives one row with ``error_kind`` and ``error`` and no source.
     """
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    tune(files.sparkSession)
     named = files.select("path", brick_name(F.col("path"), F.lit("unknown")).alias("brick"), "content")
 
     def run(batches):
@@ -124,7 +124,7 @@ def run(spark: SparkSession, data_dir: str, band: str = "r", dedup_arcsec: float
     out, or raise with ``on_error="fail"``.  Images are measured once: the raw catalog is written
     before de-duplication reads it.
     """
-    files = images.find_bricks(spark, data_dir, band)
+    files = images._files(spark, data_dir, f"legacysurvey-*-image-{band}.fits.fz")
     if not files.select("path").limit(1).count():
         raise ValueError(f"no images of band {band} in {data_dir}")
     rows = cut(catalog_of_files(files.repartition(max(1, len(files.inputFiles())), "path"), **cfg))

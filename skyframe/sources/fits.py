@@ -173,23 +173,40 @@ def _tiles(h: dict, raw: bytes, nr: int, nc: int) -> np.ndarray:
         # the element size of a variable-length column follows its letter, bytes here
         return raw[heap + off : heap + off + n]
 
-    for t in range(rows):
+    size, block = names.get("BYTEPIX") or 4, names.get("BLOCKSIZE") or 32
+    packed: dict[int, list[int]] = {}  # RICE tiles by their number of pixels, decoded together
+    streams = [stream("COMPRESSED_DATA", t) for t in range(rows)]
+
+    def place(t: int) -> tuple[int, int, int, int]:
         r0, c0 = t // across * th, t % across * tw
-        hh, ww = min(th, nr - r0), min(tw, nc - c0)
-        data, count = stream("COMPRESSED_DATA", t), hh * ww
+        return r0, c0, min(th, nr - r0), min(tw, nc - c0)
+
+    def fill(t: int, x: np.ndarray) -> None:
+        r0, c0, hh, ww = place(t)
+        out[r0 : r0 + hh, c0 : c0 + ww] = np.asarray(x, np.float32).reshape(hh, ww)
+
+    for t, data in enumerate(streams):
+        _, _, hh, ww = place(t)
+        count = hh * ww
         if not data and (data := stream("GZIP_COMPRESSED_DATA", t)):
-            x = np.frombuffer(_unzip(data), PIXEL[zbit], count).astype(np.float64)
+            fill(t, np.frombuffer(_unzip(data), PIXEL[zbit], count).astype(np.float64))
         elif kind in ("RICE_1", "RICE_ONE"):
-            size = names.get("BYTEPIX") or 4
-            x = rice.decode(data, count, names.get("BLOCKSIZE") or 32, size)
-            x = _unquantised(h, x, cell, t, zbit)
+            packed.setdefault(count, []).append(t)
         elif kind == "GZIP_1":
             form = PIXEL[zbit] if zbit > 0 or "ZSCALE" not in cols else ">i4"
             x = np.frombuffer(_unzip(data), form, count)
-            x = _unquantised(h, x.astype(x.dtype.newbyteorder("=")), cell, t, zbit)
+            fill(t, _unquantised(h, x.astype(x.dtype.newbyteorder("=")), cell, t, zbit))
         else:
             raise FitsError("fits", f"compression {kind}")
-        out[r0 : r0 + hh, c0 : c0 + ww] = np.asarray(x, np.float32).reshape(hh, ww)
+    for count, some in packed.items():
+        for i in range(0, len(some), rice.TILES):
+            part = some[i : i + rice.TILES]
+            try:
+                values = rice.decode_tiles([streams[t] for t in part], count, block, size)
+            except rice.RiceError as e:
+                raise FitsError("fits", str(e)) from e
+            for t, x in zip(part, values):
+                fill(t, _unquantised(h, x, cell, t, zbit))
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
 from ..functions.scalar import brick_name, finite
+from ..plans.durable import tune
 from . import fits
 
 WCS_TYPE = StructType([StructField(k.lower(), DoubleType()) for k in fits.WCS_KEYS])
@@ -19,18 +20,22 @@ TILE = StructType([
 ])
 
 
+def _files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+
+
 def find_bricks(spark: SparkSession, folder: str, band: str = "r") -> DataFrame:
-    """``path, content``: image files of a band in a folder (not below it), read through Spark's file system."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", f"legacysurvey-*-image-{band}.fits.fz").load(folder)
+    """``path, content``: image files of a band in a folder (not below it), by path, read through Spark's file system."""
+    return _files(spark, folder, f"legacysurvey-*-image-{band}.fits.fz").orderBy("path")
 
 
 def read_images(spark: SparkSession, folder: str, band: str = "r", glob: str | None = None) -> DataFrame:
     """One row a file with decoded pixels, or with the error that stopped it.
 
-    Files are decoded where they are read; a batch is one file, as an image fills tens of MB.
+    Files are decoded where they are read; a batch is bounded in bytes, so an image has one for itself.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder) if glob else find_bricks(spark, folder, band)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    files = _files(spark, folder, glob or f"legacysurvey-*-image-{band}.fits.fz")  # sorting would shuffle the files' contents
+    tune(spark)
     named = files.select("path", brick_name(F.col("path"), F.lit("unknown")).alias("brick"), "content")
 
     def decode(batches):
