@@ -41,6 +41,7 @@ def main(args: list[str]) -> int:
         cat = pipeline.run(spark, path, band, same_brick=False).cache()
         sinks.write_fits(cat, f"{stem}.fits", band)
         sinks.write_csv(cat, f"{stem}.csv", band)
+        report("bricks", cat.groupBy("brick").agg(F.count("*").alias("sources")).orderBy("brick"))
         report("catalog", summaries.flux_stats(cat))
         return 0
     folder, _, name = path.rpartition("/")

@@ -9,7 +9,7 @@ replayed, each by itself.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DedupConfig
@@ -100,6 +100,20 @@ def chains(pairs: DataFrame) -> DataFrame:
     return grouped.groupBy("root").applyInPandas(lambda g: pd.DataFrame({"id": replay(g)}), f"id {kind}")
 
 
+def by_position(cat: DataFrame) -> DataFrame:
+    """``cat`` in right-ascension order (NULL last), ties by id."""
+    return cat.orderBy(F.asc_nulls_last("ra"), "id")
+
+
+def numbered(cat: DataFrame) -> DataFrame:
+    """``cat`` with ``place``, its number in right-ascension order from 1, without gathering it in one task."""
+    rows = cut(by_position(cat).withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("i").alias("first"))  # a row for each partition of the sort
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(sizes, "part").withColumn("place", F.col("before") + F.col("i") - F.col("first") + 1).drop("part", "i", "first", "before")
+
+
 def deduplicate(cat: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
     """``cat`` without removed rows, in right-ascension order (NULL last)."""
-    return cat.join(removed(cat, cfg), "id", "left_anti").orderBy(F.asc_nulls_last("ra"), "id")
+    return by_position(cat.join(removed(cat, cfg), "id", "left_anti"))

@@ -127,7 +127,12 @@ def run(spark: SparkSession, data_dir: str, band: str = "r", dedup_arcsec: float
     files = images._files(spark, data_dir, f"legacysurvey-*-image-{band}.fits.fz")
     if not files.select("path").limit(1).count():
         raise ValueError(f"no images of band {band} in {data_dir}")
-    rows = cut(catalog_of_files(files.repartition(max(1, len(files.inputFiles())), "path"), **cfg))
+    return combined(files.repartition(max(1, len(files.inputFiles())), "path"), dedup_arcsec, same_brick, on_error, **cfg)
+
+
+def combined(files: DataFrame, dedup_arcsec: float = 1.0, same_brick: bool = True, on_error: str = "skip", **cfg) -> DataFrame:
+    """``run`` over given files ``(path, content)``."""
+    rows = cut(catalog_of_files(files, **cfg))
     if on_error == "fail":
         _raise(rows)
     # rows keep the order of files and detections on ties

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
-from .functions.scalar import brick_name, is_brick, megapixels, pix_to_sky, plate_scale, q
+from .functions.scalar import brick_name, finite, is_brick, megapixels, pix_to_sky, plate_scale, q
 from .operators import background, convolve, dedup, detect, measure, summaries, viewer
 from .plans import pipeline
 from .plans.durable import cut
@@ -131,10 +131,64 @@ def _brick_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cat_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Right-ascension order with missing positions last."""
-    from pyspark.sql import Window
+    c = views.sky(spark, sf_dir).withColumn("ra", F.expr("if(id % 70 = 0, null, ra)"))
+    return dedup.numbered(c).select("id", F.col("place").cast("long").alias("place"))
 
-    c = views.sky(spark, sf_dir).where("id % 10 = 0").withColumn("ra", F.expr("if(id % 70 = 0, null, ra)"))
-    return c.select("id", F.row_number().over(Window.orderBy(F.asc_nulls_last("ra"), "id")).cast("long").alias("place"))
+
+def _null_px(s: Stages) -> DataFrame:
+    """Pixels of which one in eleven is no number."""
+    bad = F.when(F.col("row") % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
+    return s.px.withColumn("v", finite(F.when((F.col("row") * 7 + F.col("col") * 3) % 11 == 0, bad).otherwise(F.col("v"))))
+
+
+def _files(s: Stages) -> DataFrame:
+    """The bricks as compressed image files, and one file that is broken."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_dict("records"):
+                w = r["wcs"] if isinstance(r["wcs"], dict) and all(v is not None for v in r["wcs"].values()) else None
+                image = fits.write_rice_image(np.asarray(r["data"], np.float64).reshape(r["nrows"], r["ncols"]), w)
+                yield pd.DataFrame({"path": [f"/data/legacysurvey-{r['brick']}-image-r.fits.fz"], "content": [image]})
+
+    good = pipeline.to_tiles(s.px, s.dims, s.wcs).select("brick", "nrows", "ncols", "data", "wcs").mapInPandas(run, "path string, content binary")
+    return good.unionByName(s.spark.createDataFrame([("/data/legacysurvey-bad-image-r.fits.fz", bytearray(b"broken"))], good.schema))
+
+
+def _run_files(s: Stages) -> DataFrame:
+    """The whole run from files to a combined catalog; no two sources of these bricks lie within the tolerance."""
+    return _q(pipeline.combined(_files(s), dedup_arcsec=1e-3, bcfg=BG, dcfg=DET, mcfg=MES).select(*SOURCE_COLS), *FLOATS)
+
+
+def _file_errors(s: Stages) -> DataFrame:
+    rows = pipeline.catalog_of_files(_files(s), BG, DET, MES)
+    return rows.where("error is not null").select("path", "error_kind").unionByName(rows.where("error is null").select("path", F.lit("none").alias("error_kind")).distinct())
+
+
+HEADER_WCS = {k.lower(): v for k, v in zip(fits.WCS_KEYS, (32.5, 31.5, 187.25, 12.5, -0.0001, 0.00002, 0.00003, 0.0001))}
+
+
+def _wcs_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates from the headers of all three kinds of units, whole or with one key missing."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for kind, missing in zip(b["kind"], b["missing"]):
+                coords = {k: v for k, v in HEADER_WCS.items() if k != missing}
+                x = np.arange(12).reshape(3, 4)
+                data = fits.write_rice_image(x, coords) if kind == "tiles" else fits.write_image(x, -32, coords, leading_empty=kind == "extension")
+                image, w = fits.read_image(data)
+                rows.append((kind, missing, int(image.sum()), *(w or dict.fromkeys(HEADER_WCS)).values()))
+            yield pd.DataFrame(rows, columns=["kind", "missing", "total", *HEADER_WCS]).astype(dict.fromkeys(HEADER_WCS, float))
+
+    cases = spark.createDataFrame([(kind, key) for kind in ("primary", "extension", "tiles") for key in ("", *HEADER_WCS)], "kind string, missing string")
+    out = cases.mapInPandas(run, "kind string, missing string, total long, " + ", ".join(f"{k} double" for k in HEADER_WCS))
+    return out.select("kind", "missing", "total", *[F.nanvl(F.col(k), F.lit(None)).alias(k) for k in HEADER_WCS])
+
+
+def _csv_single(s: Stages) -> DataFrame:
+    return sinks.csv_lines(s.catalog, False).select("brick", "label", "line")
 
 
 def _pairs(same: bool) -> Callable[[SparkSession, str], DataFrame]:
@@ -202,6 +256,26 @@ def _image_roundtrip(encode) -> Callable[[Stages], DataFrame]:
     return f
 
 
+TABLE_FLOATS = {"flux_iso": "FLUX_ISO", "flux_auto": "FLUX_AUTO", "a": "A_IMAGE", "b": "B_IMAGE", "theta": "THETA", "ellipticity": "ELLIP", "kron_radius": "KRON_RAD"}
+
+
+def _single_table(s: Stages) -> DataFrame:
+    """The catalog of each brick written as its own FITS table and read back, all columns."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.astype(object).where(group.notna(), None).to_dict("records")
+        brick = rows[0]["brick"]
+        data = fits.table_header(len(rows), False, "r", brick) + fits.table_rows(rows, False)
+        t, first = fits.read_table(data), next(fits.hdus(data))[0]
+        out = {c: t[n].astype(float) for c, n in {"x": "X_IMAGE", "y": "Y_IMAGE", "ra": "RA", "dec": "DEC", **TABLE_FLOATS}.items()}
+        return pd.DataFrame({"brick": str(first["OBJECT"]).strip(), "band": str(first["FILTER"]).strip(), **out, "npix": t["NPIX"].astype(np.int32), "flags": t["FLAGS"].astype(np.int16)})
+
+    kinds = "brick string, band string, x double, y double, ra double, dec double, " + ", ".join(f"{c} double" for c in TABLE_FLOATS) + ", npix int, flags short"
+    out = s.catalog.groupBy("brick").applyInPandas(run, kinds)
+    out = out.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in ("ra", "dec")})
+    return _q(_q(out, "x", "y", "ra", "dec"), *TABLE_FLOATS, digits=2)
+
+
 def _catalog_roundtrip(s: Stages) -> DataFrame:
     """The catalog written as a FITS table and read back."""
 
@@ -263,6 +337,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fits_roundtrip": _lin(_image_roundtrip(lambda x: fits.write_image(x, -32))),
     "rice_roundtrip": _lin(_image_roundtrip(fits.write_rice_image)),
     "catalog_roundtrip": _lin(_catalog_roundtrip),
+    "single_table": _lin(_single_table),
+    "csv_single": _lin(_csv_single),
+    "run_files": _lin(_run_files),
+    "file_errors": _lin(_file_errors),
+    "wcs_headers": _wcs_headers,
+    "null_stats": _lin(lambda s: _q(summaries.image_stats(_null_px(s)), "vmean")),
+    "null_grid": _lin(lambda s: _q(background.grid(_null_px(s), BG).withColumn("n", F.col("n").cast("long")), "bg", "rms")),
+    "null_smooth": _lin(lambda s: _q(convolve.smooth(_null_px(s), "v", DET.sigma).select(*PIXEL, "f"), "f")),
 }
 
 
@@ -369,6 +451,8 @@ def _with(select: str, ctes: dict[str, str] | None = None) -> str:
 
 
 _LIN_CTES = _ctes(LIN, SIDE, SIDE, BG.mesh)
+_NULL_PX = "SELECT brick, row, col, CASE WHEN (row * 7 + col * 3) % 11 <> 0 THEN v END AS v FROM ({0})".format(_LIN_CTES["px"])
+_NULL_CTES = _LIN_CTES | {"px": _NULL_PX, "cell": _LIN_CTES["cell"].replace("FROM px", "FROM px WHERE v IS NOT NULL")}
 _MED = "list_sort(list({x}))[CAST(count({x}) // 2 + 1 AS INT)]"
 
 
@@ -428,7 +512,7 @@ ORACLES: dict[str, str] = {
     "top15_flux": _with(f"SELECT brick, label, {_cols('flux_auto')} FROM (SELECT * FROM cat ORDER BY flux_auto DESC, brick, label LIMIT 15)"),
     "flux_stats": _with(f"SELECT count(*) AS n, count(*) FILTER (flags & 1 <> 0) AS n_edge, {_sql_q('coalesce(avg(flux_auto), 0)')} AS flux_mean, {_sql_q('coalesce(' + _MED.format(x='flux_auto') + ', 0)')} AS flux_median, {_sql_q('coalesce(max(flux_auto), 0)')} AS flux_max FROM cat"),
     "brick_names": "SELECT '/data/' || n AS path, starts_with(n, 'legacysurvey-') AND ends_with(n, '-image-r.fits.fz') AS chosen, coalesce(nullif(split_part(regexp_replace(n, '\\.[^.]*$', ''), '-', 2), ''), 'unknown') AS brick FROM (SELECT unnest([" + ", ".join(f"'{a}' || event_type || '{b}'" for a, b in views.FILE_FORMS) + "]) AS n FROM (SELECT DISTINCT event_type FROM events))",
-    "ra_sorted": f"SELECT id, row_number() OVER (ORDER BY CASE WHEN id % 70 = 0 THEN NULL ELSE ra END NULLS LAST, id) AS place FROM ({SKY}) WHERE id % 10 = 0",
+    "ra_sorted": f"SELECT id, row_number() OVER (ORDER BY CASE WHEN id % 70 = 0 THEN NULL ELSE ra END NULLS LAST, id) AS place FROM ({SKY})",
     "dedup_pairs": f"WITH sky AS ({SKY}), {_pairs_sql(False)} SELECT id_i, id_j, {_cols('sep')} FROM pairs",
     "dedup_pairs_any": f"WITH sky AS ({SKY}), {_pairs_sql(True)} SELECT id_i, id_j, {_cols('sep')} FROM pairs",
     "dedup_removed": _dedup_sql(False, "SELECT id FROM bad"),
@@ -445,4 +529,12 @@ ORACLES: dict[str, str] = {
     "fits_roundtrip": _with("SELECT * FROM px"),
     "rice_roundtrip": _with("SELECT * FROM px"),
     "catalog_roundtrip": _with(f"SELECT brick, {_cols('x', 'y', 'ra')}, npix, flags FROM cat"),
+    "single_table": _with("SELECT brick, 'r' AS band, npix, flags, " + _cols("x", "y", "ra", "dec") + ", " + ", ".join(f"{_sql_q(f'CAST(CAST({c} AS FLOAT) AS DOUBLE)', 2)} AS {c}" for c in TABLE_FLOATS) + " FROM cat"),
+    "csv_single": _with("SELECT brick, label, concat_ws(',', " + ", ".join(f"CAST({f} AS VARCHAR)" if d is None else f"coalesce(printf('%.{d}f', CAST({f} AS DOUBLE)), 'nan')" for _, f, d in sinks.CSV) + ") AS line FROM cat"),
+    "run_files": _with(f"SELECT brick, label, npix, {_cols(*FLOATS)}, flags FROM cat"),
+    "file_errors": _with("SELECT '/data/legacysurvey-' || brick || '-image-r.fits.fz' AS path, 'none' AS error_kind FROM (SELECT DISTINCT brick FROM raw) UNION ALL SELECT '/data/legacysurvey-bad-image-r.fits.fz', 'fits'"),
+    "wcs_headers": "SELECT kind, missing, CAST(66 AS BIGINT) AS total, " + ", ".join(f"CASE WHEN missing = '' THEN CAST('{v!r}' AS DOUBLE) END AS {k}" for k, v in HEADER_WCS.items()) + " FROM (VALUES ('primary'), ('extension'), ('tiles')) a(kind), (VALUES (''), " + ", ".join(f"('{k}')" for k in HEADER_WCS) + ") b(missing)",
+    "null_stats": _with(f"SELECT brick, count(v) AS n_valid, count(*) - count(v) AS n_bad, min(v) AS vmin, max(v) AS vmax, {_sql_q('avg(v)')} AS vmean, list_sort(list(v) FILTER (v IS NOT NULL))[CAST(count(v) // 2 + 1 AS INT)] AS vmedian FROM px GROUP BY brick", _NULL_CTES),
+    "null_grid": _with(f"SELECT brick, gr, gc, n, {_cols('bg', 'rms')} FROM g", _NULL_CTES),
+    "null_smooth": _with(f"SELECT brick, row, col, {_cols('f')} FROM ({_taps('h', 'col', 'row').format(out='f', src='(' + _taps('v', 'row', 'col').format(out='h', src='(SELECT brick, row, col, coalesce(v, 0e0) AS v FROM px)') + ')')})", _NULL_CTES),
 }

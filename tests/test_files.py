@@ -50,6 +50,73 @@ def test_dithering_follows_the_convention():
     assert seed == 1043618065 and len(t) == 10_000 and 0 < t.min() and t.max() < 1
 
 
+def test_rice_stream_by_hand():
+    """First value 5, a block of split width 0 with the differences 0, 1, -1, and a block of zeros."""
+    bits = f"{5:032b}" + f"{1:05b}" + "1" + "001" + "01" + f"{0:05b}"
+    data = np.packbits([int(b) for b in bits.ljust(-(-len(bits) // 8) * 8, "0")]).tobytes()
+    assert rice.decode(data, 6, block=3).tolist() == [5, 6, 5, 5, 5, 5]
+    raw = f"{7:032b}" + f"{26:05b}" + "".join(f"{x:032b}" for x in (0, 2 * 2**20, 1))
+    assert rice.decode(np.packbits([int(b) for b in raw.ljust(-(-len(raw) // 8) * 8, "0")]).tobytes(), 3, block=3).tolist() == [7, 7 + 2**20, 6 + 2**20]
+    long_run = f"{0:032b}" + f"{1:05b}" + "1" + "0" * 300 + "1"
+    assert rice.decode(np.packbits([int(b) for b in long_run.ljust(-(-len(long_run) // 8) * 8, "0")]).tobytes(), 2).tolist() == [0, 150]
+    with pytest.raises(rice.RiceError):
+        rice.decode(data[:5], 200)
+
+
+def tile_file(tiles, extra, column="COMPRESSED_DATA", kind="RICE_1", shape=(1, 3)):
+    """A compressed image made card by card: one tile a row, scale 0.5 and zero 10."""
+    off, rows = 0, b""
+    for t in tiles:
+        rows += np.array([len(t), off], ">i4").tobytes() + np.array([0.5, 10.0], ">f8").tobytes()
+        off += len(t)
+    c = fits.card
+    cards = [c("XTENSION", "BINTABLE"), c("BITPIX", 8), c("NAXIS", 2), c("NAXIS1", 24), c("NAXIS2", len(tiles)), c("PCOUNT", off), c("GCOUNT", 1), c("TFIELDS", 3)]
+    for k, (name, form) in enumerate(((column, "1PB"), ("ZSCALE", "1D"), ("ZZERO", "1D")), 1):
+        cards += [c(f"TTYPE{k}", name), c(f"TFORM{k}", form)]
+    cards += [c("ZIMAGE", True), c("ZBITPIX", -32), c("ZNAXIS1", shape[1]), c("ZNAXIS2", shape[0]), c("ZTILE1", shape[1]), c("ZTILE2", 1), c("ZCMPTYPE", kind), *extra]
+    data = rows + b"".join(tiles)
+    return fits.header_block([c("SIMPLE", True), c("BITPIX", 8), c("NAXIS", 0)]) + fits.header_block(cards) + data + bytes(-len(data) % 2880)
+
+
+def test_dithered_and_gzip_tiles():
+    import gzip
+
+    x, c = np.array([4, 9, -2147483646]), fits.card
+    table = fits.dither_table()
+    noise = table[int(table[1] * 500) :][:3]
+    tile = rice.encode(x)
+    one, two = ([c("ZQUANTIZ", f"SUBTRACTIVE_DITHER_{k}"), c("ZDITHER0", 2)] for k in (1, 2))
+    want = (x - noise + 0.5) * 0.5 + 10
+    assert np.allclose(fits.read_image(tile_file([tile], one))[0][0], want)
+    assert np.allclose(fits.read_image(tile_file([tile], two))[0][0], [*want[:2], 0.0])
+    packed = gzip.compress(x.astype(">i4").tobytes())
+    assert np.allclose(fits.read_image(tile_file([packed], [], kind="GZIP_1"))[0][0], x * 0.5 + 10)
+    plain = gzip.compress(np.array([1.5, 2.5, np.nan], ">f4").tobytes())
+    got = fits.read_image(tile_file([plain], [], column="GZIP_COMPRESSED_DATA"))[0][0]
+    assert got[:2].tolist() == [1.5, 2.5] and np.isnan(got[2])
+
+
+def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
+    from skyframe import __main__ as cli
+
+    monkeypatch.chdir(tmp_path)
+    image = f"{folder}/legacysurvey-0001m002-image-r.fits.fz"
+    assert cli.main([]) == 1 and cli.main(["other", image]) == 1
+    assert cli.main(["detect", f"{folder}/legacysurvey-0003m002-image-r.fits.fz"]) == 1
+    assert cli.argument(["x"], 0, 1.6) == 1.6 and cli.argument(["2"], 0, 1.6) == 2.0 and cli.argument([], 0, 5) == 5
+    for args in (["inspect", image], ["background", image, "16", "x"], ["detect", image, "1.6", "0.5"], ["catalog", image, "one"], ["run", folder, "r", "all"]):
+        assert cli.main(args) == 0, args
+    assert "bricks" in capsys.readouterr().out
+    assert len(sinks.read_catalog("one.fits")) == len((tmp_path / "one.csv").read_text().splitlines()) - 4
+    header = (tmp_path / "all.fits").read_bytes()[:2880]
+    assert header[:30] == b"SIMPLE  =                    T" and header[80:110] == b"BITPIX  =                    8" and b"FILTER  = 'r       '" in header and len(header.rstrip()) % 80 <= 80
+
+
+def test_discovery_is_sorted(spark, folder):
+    paths = [r.path for r in images.find_bricks(spark, folder).select("path").collect()]
+    assert len(paths) == 3 and paths == sorted(paths)
+
+
 def test_bad_files():
     for data, kind in ((b"", "fits"), (b"x" * 3000, "fits"), (fits.write_image(np.zeros(5), -32), "no_image"), (fits.write_image(np.zeros((2, 3, 4)), -32), "bad_shape")):
         with pytest.raises(fits.FitsError) as e:
