@@ -6,12 +6,7 @@ the six ASCII white-space bytes, so it yields the words ``[^\\x20\\x09-\\x0D]+``
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,69 +15,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import cut, tune  # noqa: F401  operators use them from here
+
 WS = b" \t\n\r\x0b\x0c"
 MEMO_LIMIT = 300_000  # distinct words remembered by one Python worker before the memo restarts
-ARROW_ROWS = 500  # rows in an Arrow batch: a few MB of ordinary texts
-ARROW_BYTES = 8 << 20  # and bytes, for long texts and packed blobs
 PACK_BYTES = 12 << 20  # payload that a map task gathers before it sends packed blocks
 BLOOM_MAX_BITS = 1 << 28  # 32 MB: the largest filter that is ever broadcast
 
 
-# ---------------------------------------------------------------- session
-
-
-def tune(spark: SparkSession) -> None:
-    """Bound an Arrow batch, so that memory in Python does not follow the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
-_own: dict[str, str] = {}  # by application, where no folder is named
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the whole application is one process (``local``, as in tests) does a temporary
-    folder stand in for it, which goes when that process ends.
-    """
-    d, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if d:
-        return d
-    if sc.master != "local" and not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _own:
-        _own[sc.applicationId] = tempfile.mkdtemp(prefix="skyframe-")
-        atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
-    return _own[sc.applicationId]
-
-
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go when their query has ended
-
-
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for the time of an action."""
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
-
-
-def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs one task and not the whole plan; the shuffle
-    files of the finished plan go at once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skyframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    w = df.write
-    with setting(spark, CLEAN, "true"):
-        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# ---------------------------------------------------------------- samples
 
 
 def sampled(docs: DataFrame, bound: int, total: int | None = None, more: tuple[str, ...] = ()) -> DataFrame:
