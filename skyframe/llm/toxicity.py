@@ -55,7 +55,7 @@ LEET = {
 }
 MARKS = frozenset(".,-_~'`^*\"!|#$%&;:/\\")  # may stand for nothing
 EDGE = "".join(MARKS) + "?()[]{}<>=…«»“”’"
-THREE_SHORT = re.compile(r"(?<!\S)\S{1,3}\s+\S{1,3}\s+\S{1,3}(?!\S)")
+SINGLES = re.compile(b"\x02[\x01\x02]+\x02")  # over the kinds of a text's strings
 TRIPLE = re.compile(r"(.)\1\1")
 ELSE = "ɐ"
 
@@ -167,16 +167,14 @@ def spaced_lattice(tokens: list[str]) -> list[list[tuple[str, float]]]:
 
 
 class Kinds(dict):
-    """Of a string: 2 a single letter or digit with or without marks (``d``, ``d.``, ``dd``), 1 marks alone, 0 others."""
+    """Of a string of up to three characters: 2 a single letter or digit with or without marks (``d``, ``d.``, ``dd``), 1 marks alone, 0 others."""
 
     def __missing__(self, s: str) -> int:
         letters = {c for c in s if c.isalnum() or (c in LEET and c not in MARKS)}
         rest = all(c in MARKS or c in EDGE for c in s if c not in letters)
-        kind = 0 if len(s) > 3 or not rest or len(letters) > 1 else 2 if letters else 1
         if len(self) > MEMO:
             self.clear()
-        if len(s) <= 64:
-            self[s] = kind
+        kind = self[s] = 0 if not rest or len(letters) > 1 else 2 if letters else 1
         return kind
 
 
@@ -210,25 +208,19 @@ class Restorer(dict):
         Blanks hide where words end, so a run of single letters gives its decoded words and the
         parts of them all in one.
         """
-        raw, more = text.split(), []
-        if THREE_SHORT.search(text):
-            run: list[str] = []
-            for w in [*raw, "...."]:
-                if self.kinds[w]:
-                    run.append(w)
-                elif run:
-                    more += self.hidden(run)
-                    run = []
+        raw, more, kinds = text.split(), [], self.kinds
+        kind = bytes([kinds[w] if len(w) < 4 else 0 for w in raw])
+        if kind.count(2) > 2:
+            for m in SINGLES.finditer(kind):
+                if m.group().count(2) > 2:
+                    more += self.hidden(raw[m.start() : m.end()])
         return raw, more
 
     def hidden(self, run: list[str]) -> list[str]:
-        while run and self.kinds[run[-1]] == 1:
-            run.pop()
-        first = next((i for i, w in enumerate(run) if self.kinds[w] == 2), len(run))
-        run = run[first:]
-        if sum(self.kinds[w] == 2 for w in run) < 3 or not any(c.isalpha() for w in run for c in w):
-            return []
+        """Words that a run of single letters hides, and all parts of them together."""
         s = " ".join(run).lower()
+        if not any(map(str.isalpha, s)):
+            return []
         if (out := self.spaced.get(s)) is None:
             out = paths(spaced_lattice(s.split(" ")), self.model)[1].split()
             whole = "".join(out)
@@ -343,8 +335,13 @@ class Evidence(dict):
         return best
 
     def __missing__(self, s: str) -> float:
-        w = s.lower().strip(EDGE)
-        x = self.of([w]) if w.isalpha() and not TRIPLE.search(w) else self.of(self.restore[s].split())
+        w = s.lower()
+        if not w.isalpha():
+            w = w.strip(EDGE)
+        if w.isalpha() and not TRIPLE.search(w):
+            x = self.of([w]) if w[:4] in self.starts else 0.0
+        else:
+            x = self.of(self.restore[s].split())
         if len(self) > MEMO:
             self.clear()
         self[s] = x
