@@ -4,10 +4,15 @@ The published rule is greedy along right ascension: a row that is already gone s
 and a row that loses ends its own scan.  Each decision touches one candidate pair, so the outcome
 factorises over connected components of pairs: only components (two rows, rarely more) are
 replayed, each by itself.
+
+Components span a few tolerances.  Pairs go to cells of ``CELL`` tolerances with a halo, where whole
+components are seen and replayed in one pass; a component wider than half the halo is seen as wide from
+each of its rows, and only such ones are joined across cells in rounds.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +20,8 @@ from pyspark.sql import functions as F
 from ..config import DedupConfig
 from ..plans.durable import cut
 
+CELL, HALO = 96, 32  # in tolerances
+
 
 def candidate_pairs(cat: DataFrame, cfg: DedupConfig) -> DataFrame:
     """Pairs ``i, j`` (in right-ascension order) within the tolerance.
@@ -29,14 +36,14 @@ def candidate_pairs(cat: DataFrame, cfg: DedupConfig) -> DataFrame:
     c = c.withColumn("slice", F.floor(F.col("ra") / (tol / cfg.min_cos_dec)).cast("long"))
     left = c.select(*[F.col(x).alias(f"{x}_i") for x in ("id", "brick", "ra", "dec", "npix", "cosd")], F.explode(F.expr("sequence(zone - 1, zone + 1)")).alias("zone"), "slice")
     left = left.select("*", F.explode(F.expr("array(0L, 1L)")).alias("d")).withColumn("slice", F.col("slice") + F.col("d")).drop("d")
-    right = c.select(*[F.col(x).alias(f"{x}_j") for x in ("id", "brick", "ra", "dec", "npix")], "zone", "slice")
+    right = c.select(*[F.col(x).alias(f"{x}_j") for x in ("id", "brick", "ra", "dec", "npix", "cosd")], "zone", "slice")
     p = left.join(right, ["zone", "slice"]).where("(ra_i < ra_j or (ra_i = ra_j and id_i < id_j))")
     if not cfg.same_brick:
         p = p.where("brick_i <> brick_j")
     d = F.expr("ra_j - ra_i")
     p = p.where(d <= F.lit(tol) / F.col("cosd_i"))
     sep = F.sqrt((d * F.col("cosd_i")) * (d * F.col("cosd_i")) + F.expr("(dec_j - dec_i) * (dec_j - dec_i)")) * 3600.0
-    return p.withColumn("sep", sep).where(F.col("sep") < cfg.tolerance_arcsec).select("id_i", "id_j", "ra_i", "ra_j", "npix_i", "npix_j", "sep")
+    return p.withColumn("sep", sep).where(F.col("sep") < cfg.tolerance_arcsec).select("id_i", "id_j", "ra_i", "ra_j", "dec_i", "dec_j", "cosd_i", "cosd_j", "npix_i", "npix_j", "sep")
 
 
 def replay(rows: pd.DataFrame) -> list:
@@ -61,23 +68,95 @@ def replay(rows: pd.DataFrame) -> list:
     return sorted(gone)
 
 
+def dealt(pairs: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """``pairs`` at every cell ``band, slot`` that sees their first row; slots of a band are as wide as its poleward edge asks for."""
+    tol = cfg.tolerance_arcsec / 3600.0
+    size, halo = CELL * tol, HALO * tol
+    bands = pairs.withColumn("band", F.explode(F.expr(f"sequence(cast(floor((dec_i - {halo!r}D) / {size!r}D) as long), cast(floor((dec_i + {halo!r}D) / {size!r}D) as long))")))
+    far = F.greatest(F.abs(F.col("band") * size - halo), F.abs((F.col("band") + 1) * size + halo))
+    narrow = F.greatest(F.cos(F.radians(F.least(far, F.lit(90.0)))), F.lit(cfg.min_cos_dec))
+    wide = bands.withColumn("width", F.lit(size) / narrow)
+    share = HALO / CELL
+    return wide.withColumn("slot", F.explode(F.expr(f"sequence(cast(floor(ra_i / width - {share!r}D) as long), cast(floor(ra_i / width + {share!r}D) as long))")))
+
+
+def solve(cells: pd.DataFrame, cfg: DedupConfig) -> pd.DataFrame:
+    """Of whole cells: a row ``id, root, gone, low, high`` for each home row of a small component, and the home pairs of wide ones."""
+    tol = cfg.tolerance_arcsec / 3600.0
+    bound, m = HALO * tol / 2, len(cells)
+    ends = pd.concat([cells[["band", "slot", f"id_{k}"]].set_axis(["band", "slot", "id"], axis=1) for k in "ij"], ignore_index=True)
+    node = ends.groupby(["band", "slot", "id"], sort=False).ngroup().to_numpy()
+    lab = np.arange(node.max() + 1)
+    a, b = node[:m], node[m:]
+    while not (lab[a] == lab[b]).all():
+        low, high = np.minimum(lab[a], lab[b]), np.maximum(lab[a], lab[b])
+        np.minimum.at(lab, high, low)
+        while not np.array_equal(lab, lab[lab]):
+            lab = lab[lab]
+    comp = lab[node]
+    spread = pd.DataFrame({"c": comp, "ra": np.r_[cells.ra_i, cells.ra_j], "dec": np.r_[cells.dec_i, cells.dec_j], "cos": np.r_[cells.cosd_i, cells.cosd_j], "id": ends.id}).groupby("c").agg(x0=("ra", "min"), x1=("ra", "max"), low=("dec", "min"), high=("dec", "max"), cos=("cos", "min"), root=("id", "min"))
+    wide = ((spread.high - spread.low > bound) | ((spread.x1 - spread.x0) * spread.cos > bound)).reindex(comp[:m]).to_numpy()
+    small = cells[~wide].assign(c=comp[:m][~wide])
+    home = lambda k: (np.floor(small[f"dec_{k}"] / (CELL * tol)) == small.band) & (np.floor(small[f"ra_{k}"] / small.width) == small.slot)
+    mine = pd.concat([pd.DataFrame({"c": small.c, "id": small[f"id_{k}"]})[home(k)] for k in "ij"]).drop_duplicates()
+    alone = small.groupby("c").size().reindex(small.c).to_numpy() == 1
+    one = small[alone]
+    gone = {(c, i) for c, i in zip(one.c, np.where(one.npix_i >= one.npix_j, one.id_j, one.id_i))}
+    for c, rows in small[~alone].groupby("c"):
+        gone |= {(c, i) for i in replay(rows)}
+    mine["gone"] = [x in gone for x in zip(mine.c, mine.id)]
+    done = mine.join(spread[["root", "low", "high"]], "c")[["id", "root", "gone", "low", "high"]]
+    own = wide & (np.floor(cells.dec_i / (CELL * tol)) == cells.band).to_numpy() & (np.floor(cells.ra_i / cells.width) == cells.slot).to_numpy()
+    return pd.concat([done.astype(object), cells.loc[own, PAIR].astype(object)], ignore_index=True)  # objects: no id passes through a float
+
+
+PAIR = ["id_i", "id_j", "ra_i", "ra_j", "dec_i", "dec_j", "npix_i", "npix_j"]
+
+
+def decisions(cat: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """``id, root, gone, low, high`` of every row that has a pair: least id and declination span of its component, and its fate."""
+    kind, n = dict(cat.dtypes)["id"], int(cat.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = f"id {kind}, root {kind}, gone boolean, low double, high double, id_i {kind}, id_j {kind}, ra_i double, ra_j double, dec_i double, dec_j double, npix_i int, npix_j int"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            last = ((b.band == b.band.iloc[-1]) & (b["slot"] == b["slot"].iloc[-1])).to_numpy()
+            if held and not last.all() or held and (held[-1].band.iloc[-1], held[-1]["slot"].iloc[-1]) != (b.band.iloc[-1], b["slot"].iloc[-1]):
+                yield tidy(pd.concat([*held, b[~last]], ignore_index=True))
+                held = [b[last]]
+            elif not held and not last.all():
+                yield tidy(b[~last].reset_index(drop=True))
+                held = [b[last]]
+            else:
+                held.append(b)
+        if held:
+            yield tidy(pd.concat(held, ignore_index=True))
+
+    def tidy(rows: pd.DataFrame) -> pd.DataFrame:
+        out = solve(rows, cfg).reindex(columns=names)
+        return out.where(out.notna(), None)
+
+    cells = dealt(candidate_pairs(cat, cfg), cfg).drop("sep").withColumn("npix_i", F.col("npix_i").cast("int")).withColumn("npix_j", F.col("npix_j").cast("int"))
+    first = cut(cells.repartition(n, "band", "slot").sortWithinPartitions("band", "slot").mapInPandas(run, schema))
+    done, rest = first.where("gone is not null").select(names[:5]), first.where("gone is null").select(PAIR)
+    if not rest.limit(1).count():
+        return done
+    return done.unionByName(chains(rest))
+
+
 def removed(cat: DataFrame, cfg: DedupConfig) -> DataFrame:
     """``id`` of the rows that go."""
-    pairs = cut(candidate_pairs(cat, cfg))
-    ids = pairs.select(F.col("id_i").alias("id"), F.col("id_j").alias("other")).unionByName(pairs.select(F.col("id_j").alias("id"), F.col("id_i").alias("other")))
-    degree = ids.groupBy("id").agg(F.count("*").alias("n"))
-    tagged = cut(pairs.join(degree.select(F.col("id").alias("id_i"), F.col("n").alias("ni")), "id_i").join(degree.select(F.col("id").alias("id_j"), F.col("n").alias("nj")), "id_j"))
-    # a pair whose rows have no other pair is decided at once
-    lone = tagged.where("ni = 1 and nj = 1").select(F.expr("if(npix_i >= npix_j, id_j, id_i)").alias("id"))
-    rest = tagged.where("ni > 1 or nj > 1").drop("ni", "nj")
-    return lone.unionByName(chains(rest))
+    return decisions(cat, cfg).where("gone").select("id")
 
 
 def roots(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``id, root``: least id of each component of ``pairs``, by propagation with pointer jumping.
 
-    Only pairs that share a row with another pair come here, and components span a few tolerances,
-    so this is a handful of rounds over few rows.
+    Only components that leave the halo of a cell come here.
     """
     both = pairs.select(F.col("id_i").alias("a"), F.col("id_j").alias("b"))
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -94,10 +173,16 @@ def roots(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def chains(pairs: DataFrame) -> DataFrame:
-    """Replay of every component with more than one pair."""
+    """``decisions`` of wide components, each replayed by itself."""
     kind = dict(pairs.dtypes)["id_i"]
+
+    def play(g: pd.DataFrame) -> pd.DataFrame:
+        ids, dec = sorted({*g.id_i, *g.id_j}), np.r_[g.dec_i, g.dec_j]
+        gone = set(replay(g))
+        return pd.DataFrame({"id": ids, "root": ids[0], "gone": [i in gone for i in ids], "low": dec.min(), "high": dec.max()})
+
     grouped = pairs.join(roots(pairs), F.col("id_i") == F.col("id")).drop("id")
-    return grouped.groupBy("root").applyInPandas(lambda g: pd.DataFrame({"id": replay(g)}), f"id {kind}")
+    return grouped.groupBy("root").applyInPandas(play, f"id {kind}, root {kind}, gone boolean, low double, high double")
 
 
 def by_position(cat: DataFrame) -> DataFrame:

@@ -186,3 +186,19 @@ def test_dedup_equals_greedy_scan(spark, same):
     assert sorted(r.id for r in dedup.removed(cat, DedupConfig(1.0, same)).collect()) == greedy(rows, 1.0, same)
     left = dedup.deduplicate(cat, DedupConfig(1.0, same)).collect()
     assert left[-1].id == 999 and [r.ra for r in left[:-1]] == sorted(r.ra for r in left[:-1])
+
+
+@pytest.mark.parametrize("dec", [0.0, 5.0, -72.0, 89.999])
+def test_dedup_of_wide_components(spark, dec):
+    """Chains that leave the halo of a cell, beside small groups, at all declinations; ids beyond the floats' integers."""
+    rng, t = np.random.default_rng(3), 0.8 / 3600
+    stretch = 1 / max(math.cos(math.radians(dec)), 0.01)
+    spots = [(10 + k * t * stretch, dec) for k in range(150)] + [(10.2 + 0.1 * t * k, dec - t * k) for k in range(90)]
+    spots += [(10.4 + rng.random() * 0.004 * stretch, dec - rng.random() * 0.004) for _ in range(300)]
+    rows = [((1 << 60) + i, f"b{rng.integers(3)}", x, min(y, 90.0), int(rng.integers(5, 9))) for i, (x, y) in enumerate(spots)]
+    cat = spark.createDataFrame(rows, "id long, brick string, ra double, dec double, npix int").repartition(3)
+    found = dedup.decisions(cat, DedupConfig(1.0, True)).collect()
+    assert sorted(r.id for r in found if r.gone) == greedy(rows, 1.0, True)
+    assert len({r.id for r in found}) == len(found) and all(r.low <= r.high and r.root <= r.id for r in found)
+    wide = [r for r in found if r.root == 1 << 60]
+    assert len(wide) >= (150 if dec != 89.999 else 2)
