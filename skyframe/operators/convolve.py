@@ -16,9 +16,9 @@ def gaussian_kernel(sigma: float, truncate: float = 3.0) -> list[float]:
     return [t / total for t in taps]
 
 
-def convolve_axis(pixels: DataFrame, value: str, line: str, along: str, taps: list[float], out: str) -> DataFrame:
+def convolve_axis(pixels: DataFrame, value: str, line: str | tuple[str, ...], along: str, taps: list[float], out: str) -> DataFrame:
     """One pass along ``along`` in each ``line``; edges repeat the border pixel, NULL counts as 0."""
-    w = Window.partitionBy("brick", line).orderBy(along)
+    w = Window.partitionBy("brick", *((line,) if isinstance(line, str) else line)).orderBy(along)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x, r, total = F.coalesce(F.col(value), F.lit(0.0)), len(taps) // 2, None
     p = pixels.withColumn("x_", x).withColumn("lo_", F.first("x_").over(whole)).withColumn("hi_", F.last("x_").over(whole))

@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DedupConfig
 from ..plans.durable import cut
+from . import unions
+from .unions import roots
 
 CELL, HALO = 96, 32  # in tolerances
 
@@ -153,25 +155,6 @@ def removed(cat: DataFrame, cfg: DedupConfig) -> DataFrame:
     return decisions(cat, cfg).where("gone").select("id")
 
 
-def roots(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``id, root``: least id of each component of ``pairs``, by propagation with pointer jumping.
-
-    Only components that leave the halo of a cell come here.
-    """
-    both = pairs.select(F.col("id_i").alias("a"), F.col("id_j").alias("b"))
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    lab = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
-    for _ in range(max_rounds):
-        near = both.join(lab.select(F.col("id").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
-        step = lab.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "r").alias("mid"))
-        jump = lab.select(F.col("id").alias("mid"), F.col("root").alias("far"))
-        nxt = cut(step.join(jump, "mid", "left").select("id", "old", F.coalesce(F.least("mid", "far"), F.col("mid")).alias("root")))
-        if not nxt.where("root <> old").limit(1).count():
-            return lab
-        lab = nxt.select("id", "root")
-    raise RuntimeError(f"components of pairs did not settle in {max_rounds} rounds")
-
-
 def chains(pairs: DataFrame) -> DataFrame:
     """``decisions`` of wide components, each replayed by itself."""
     kind = dict(pairs.dtypes)["id_i"]
@@ -181,7 +164,8 @@ def chains(pairs: DataFrame) -> DataFrame:
         gone = set(replay(g))
         return pd.DataFrame({"id": ids, "root": ids[0], "gone": [i in gone for i in ids], "low": dec.min(), "high": dec.max()})
 
-    grouped = pairs.join(roots(pairs), F.col("id_i") == F.col("id")).drop("id")
+    root = roots(pairs.select(F.col("id_i").alias("a"), F.col("id_j").alias("b")))
+    grouped = pairs.join(root, F.col("id_i") == F.col("id")).drop("id")
     return grouped.groupBy("root").applyInPandas(play, f"id {kind}, root {kind}, gone boolean, low double, high double")
 
 
@@ -191,12 +175,8 @@ def by_position(cat: DataFrame) -> DataFrame:
 
 
 def numbered(cat: DataFrame) -> DataFrame:
-    """``cat`` with ``place``, its number in right-ascension order from 1, without gathering it in one task."""
-    rows = cut(by_position(cat).withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("i").alias("first"))  # a row for each partition of the sort
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(sizes, "part").withColumn("place", F.col("before") + F.col("i") - F.col("first") + 1).drop("part", "i", "first", "before")
+    """``cat`` with ``place``, its number in right-ascension order from 1."""
+    return unions.numbered(cat, F.asc_nulls_last("ra"), "id")
 
 
 def deduplicate(cat: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:

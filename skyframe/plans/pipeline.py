@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
-from ..operators import background, convolve, detect, measure
+from ..operators import background, convolve, detect, measure, mosaic
 from ..functions.scalar import brick_name
 from ..operators.dedup import deduplicate
 from ..sources import fits, images
@@ -23,24 +23,31 @@ def dimensions(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("brick").agg((F.max("row") + 1).alias("nrows"), (F.max("col") + 1).alias("ncols"))
 
 
-def filtered(pixels: DataFrame, bcfg: BackgroundConfig, dcfg: DetectConfig) -> DataFrame:
-    """``pixels`` with ``bg, rms, res, f, snr``."""
+def filtered(pixels: DataFrame, bcfg: BackgroundConfig, dcfg: DetectConfig, tile: int | None = None) -> DataFrame:
+    """``pixels`` with ``bg, rms, res, f, snr``; with ``tile``, filtered a sub-tile at a time."""
     full = background.residual(background.interpolate(pixels, background.grid(pixels, bcfg), bcfg.mesh))
-    return detect.snr_map(convolve.smooth(full, "res", dcfg.sigma, dcfg.truncate))
+    return detect.snr_map(mosaic.smooth(full, "res", dcfg.sigma, tile, dcfg.truncate) if tile else convolve.smooth(full, "res", dcfg.sigma, dcfg.truncate))
 
 
-def measured(pixels: DataFrame, dims: DataFrame, wcs: DataFrame, bcfg: BackgroundConfig, dcfg: DetectConfig, mcfg: MeasureConfig) -> DataFrame:
+def labelled(px: DataFrame, dcfg: DetectConfig, tile: int | None = None) -> DataFrame:
+    """Mask pixels of filtered ``px`` with ``label``."""
+    masked = detect.mask(px, dcfg.thresh)
+    return mosaic.label_components(masked, tile) if tile else detect.label_components(masked)
+
+
+def measured(pixels: DataFrame, dims: DataFrame, wcs: DataFrame, bcfg: BackgroundConfig, dcfg: DetectConfig, mcfg: MeasureConfig, tile: int | None = None) -> DataFrame:
     """The catalog of a dense pixel relation, in DataFrame operations except for labelling.
 
     The filtered pixels feed mask, moments and aperture, so they are written once; so are the labels.
+    Images that do not fit a task are cut into sub-tiles of ``tile`` pixels.
     """
-    px = cut(filtered(pixels, bcfg, dcfg))
-    return measured_from(px, dims, wcs, dcfg, mcfg)
+    px = cut(filtered(pixels, bcfg, dcfg, tile))
+    return measured_from(px, dims, wcs, dcfg, mcfg, tile)
 
 
-def measured_from(px: DataFrame, dims: DataFrame, wcs: DataFrame, dcfg: DetectConfig, mcfg: MeasureConfig) -> DataFrame:
+def measured_from(px: DataFrame, dims: DataFrame, wcs: DataFrame, dcfg: DetectConfig, mcfg: MeasureConfig, tile: int | None = None) -> DataFrame:
     """``measured`` from filtered pixels that are cheap to read again."""
-    labels = cut(detect.label_components(detect.mask(px, dcfg.thresh)))
+    labels = cut(labelled(px, dcfg, tile))
     found = detect.detections(labels, dcfg)
     foot = measure.footprint(labels, found)
     shape = measure.kron_radius(foot, measure.moments(foot), mcfg)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .config import BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
 from .functions.scalar import brick_name, finite, is_brick, megapixels, pix_to_sky, plate_scale, q
-from .operators import background, convolve, dedup, detect, measure, summaries, viewer
+from .operators import background, convolve, dedup, detect, measure, mosaic, summaries, viewer
 from .plans import pipeline
 from .plans.durable import cut
 from .sources import fits, sinks, views
@@ -288,6 +288,13 @@ def _catalog_roundtrip(s: Stages) -> DataFrame:
     return _q(s.catalog.mapInPandas(run, "brick string, x double, y double, ra double, npix int, flags short"), "x", "y", "ra")
 
 
+TILE = SIDE // 4  # each brick as 16 sub-tiles
+
+
+def _mosaic_catalog(s: Stages) -> DataFrame:
+    return _q(pipeline.measured(s.px, s.dims, s.wcs, BG, DET, MES, TILE).select(*SOURCE_COLS), *FLOATS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_pixels": _lin(lambda s: s.px),
     "image_stats": _lin(lambda s: _q(summaries.image_stats(s.px), "vmean")),
@@ -317,6 +324,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edge_flags": _lin(_edge_flags),
     "measurements": _lin(_catalog),
     "measurements_tile": _lin(_tile_catalog),
+    "smooth_mosaic": _lin(lambda s: _q(mosaic.smooth(s.px, "v", DET.sigma, TILE).select(*PIXEL, "f"), "f")),
+    "labels_mosaic": _lin(lambda s: mosaic.label_components(s.mask, TILE).select(*PIXEL, "label")),
+    "measurements_mosaic": _lin(_mosaic_catalog),
     "top15_flux": _lin(lambda s: _q(summaries.top(s.catalog, "flux_auto", 15).select("brick", "label", "flux_auto"), "flux_auto")),
     "flux_stats": _lin(lambda s: _q(summaries.flux_stats(s.catalog), "flux_mean", "flux_median", "flux_max")),
     "brick_names": _brick_names,
@@ -538,3 +548,4 @@ ORACLES: dict[str, str] = {
     "null_grid": _with(f"SELECT brick, gr, gc, n, {_cols('bg', 'rms')} FROM g", _NULL_CTES),
     "null_smooth": _with(f"SELECT brick, row, col, {_cols('f')} FROM ({_taps('h', 'col', 'row').format(out='f', src='(' + _taps('v', 'row', 'col').format(out='h', src='(SELECT brick, row, col, coalesce(v, 0e0) AS v FROM px)') + ')')})", _NULL_CTES),
 }
+ORACLES |= {"smooth_mosaic": ORACLES["conv_hv"], "labels_mosaic": ORACLES["labels"], "measurements_mosaic": ORACLES["measurements"]}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyframe.config import BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
-from skyframe.operators import background, convolve, dedup, detect
+from skyframe.operators import background, convolve, dedup, detect, mosaic
 from skyframe.plans import pipeline, tile
 
 
@@ -202,3 +202,20 @@ def test_dedup_of_wide_components(spark, dec):
     assert len({r.id for r in found}) == len(found) and all(r.low <= r.high and r.root <= r.id for r in found)
     wide = [r for r in found if r.root == 1 << 60]
     assert len(wide) >= (150 if dec != 89.999 else 2)
+
+
+@pytest.mark.parametrize("tile", [1, 3, 8, 100])
+def test_mosaic_labels_and_filter(spark, tile):
+    """Spirals, diagonals, rings and noise across tile borders are labelled and smoothed as in the whole image."""
+    rng = np.random.default_rng(tile)
+    image = (rng.random((26, 31)) < 0.35).astype(float)
+    image[3, :] = image[:, 5] = 1
+    image[10:20, 8:25] = 0
+    image[np.arange(10, 20), np.arange(8, 18)] = image[10, 8:25] = image[10:20, 24] = image[19, 12:25] = 1
+    px = frame(spark, image, "a").unionByName(frame(spark, image[::-1], "b"))
+    masked = px.where("v > 0").withColumn("snr", F.col("v"))
+    want = {tuple(r) for r in detect.label_components(masked).select("brick", "row", "col", "label").collect()}
+    assert {tuple(r) for r in mosaic.label_components(masked, tile).select("brick", "row", "col", "label").collect()} == want
+    assert mosaic.label_components(masked.limit(0), tile).count() == 0
+    a, b = (d.orderBy("brick", "row", "col").toPandas().f.to_numpy() for d in (convolve.smooth(px, "v", 1.6), mosaic.smooth(px, "v", 1.6, tile)))
+    assert np.allclose(a, b, atol=1e-12) and len(a) == 2 * image.size
