@@ -76,33 +76,50 @@ def doc_id_col() -> Column:
 
 
 _SPAN = 1 << 18  # bytes hashed together; a longer word extends its span
-_ODD = 0x9E3779B97F4A7C15
-_LETTERS = np.frombuffer(b"".join(xxhash.xxh64_digest(bytes([i])) for i in range(256)), ">u8").astype(np.uint64) | np.uint64(1)
+_LONG_SPAN = 1 << 22  # from here on, products are reduced before they are summed
+_PRIMES = (2_147_483_647, 2_147_483_629)  # the two greatest below 2^31
+_BASES = tuple(xxhash.xxh64_intdigest(f"base {k}") % (p - 2) + 2 for k, p in enumerate(_PRIMES))
+_LETTERS = np.arange(1, 257, dtype=np.uint64)
 _LETTERS_LOWER = _LETTERS[[i + 32 if 65 <= i <= 90 else i for i in range(256)]]
 _IS_WS = np.isin(np.arange(256), list(WS))
 _IS_MARK = _IS_WS | ((np.arange(256) < 128) & ~np.array([chr(i).isalnum() for i in range(256)]))  # ASCII marks as well
-_powers: list[np.ndarray] = []
+_powers: list[list[np.ndarray]] = []
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64, kept at the greatest length asked for."""
-    if not _powers or len(_powers[0]) < n:
-        inverse = pow(_ODD, -1, 1 << 64)
-        _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_ODD, inverse)]
+def _power_tables(n: int) -> list[list[np.ndarray]]:
+    """For each prime the powers of its base and of the base's inverse, kept at the greatest length asked for."""
+    if not _powers or len(_powers[0][0]) < n:
+
+        def table(x: int, p: int) -> np.ndarray:
+            out = np.ones(1, np.uint64)
+            while len(out) < n:
+                out = np.r_[out, out * np.uint64(pow(x, len(out), p)) % np.uint64(p)]
+            return out
+
+        _powers[:] = [[table(b, p), table(pow(b, -1, p), p)] for b, p in zip(_BASES, _PRIMES)]
     return _powers
 
 
 def _hash_span(span: bytes, lower: bool, blanks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, 64-bit hash (from prefix sums of a polynomial), length, first and last byte of every word of a span."""
+    """Start, 62-bit hash, length, first and last byte of every word of a span.
+
+    The hash joins polynomials in two bases modulo two primes, from prefix sums of 40-bit products.
+    A prime modulus matters: modulo a power of two, words after the Thue-Morse sequence agree in any base.
+    """
     x = np.frombuffer(span, np.uint8)
     blank = blanks[x]
     edge = np.flatnonzero(np.diff(np.r_[True, blank, True].astype(np.int8)))
     start, end = edge[::2], edge[1::2]
+    letters = (_LETTERS_LOWER if lower else _LETTERS)[x]
+    sums, both = np.zeros(len(x) + 1, np.uint64), np.zeros(len(start), np.uint64)
+    for (up, down), p in zip(_power_tables(max(len(x), _SPAN)), map(np.uint64, _PRIMES)):
+        product = letters * up[: len(x)]
+        if len(x) > _LONG_SPAN:
+            product %= p
+        np.cumsum(product, out=sums[1:])
+        both = (both << np.uint64(31)) + (sums[end] - sums[start]) % p * down[start] % p
     with np.errstate(over="ignore"):
-        up, down = _power_tables(max(len(x), _SPAN))
-        sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum((_LETTERS_LOWER if lower else _LETTERS)[x] * up[: len(x)], out=sums[1:])
-        return start, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64), 5), end - start, x[start], x[end - 1]
+        return start, mix(both + ((end - start).astype(np.uint64) << np.uint64(40)), 5), end - start, x[start], x[end - 1]
 
 
 def hash_words(texts: list[bytes | None], lower: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,8 @@
 """PII with a skip-chain conditional random field.
 
 Base patterns (e-mail, IP, card, phone) give spans that always stay, and weak labels.  The
-variables of the field are a text's *mentions*: strings around an ``@`` and digit groups with
-their separators.  All other words are observed as context of the mentions beside them.
+variables of the field are a text's *mentions*: strings around an ``@`` (not a bare one) and digit
+groups with their separators.  All other words are observed as context of the mentions beside them.
 Potentials: features of a mention; the labels of neighbouring mentions (chain); and equal labels
 of mentions that repeat or resemble each other, however far apart.  These skip edges lead from
 every occurrence of a key to one hub of that key, a variable without features of its own, so a
@@ -47,11 +47,12 @@ HASHED = 64  # context buckets on each side
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # a start inside a run of digits fares as its first digit
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-AROUND_AT = re.compile(r"[^\s@<>()\[\],;:\"']*@[^\s@<>()\[\],;:\"']*")
+STOPS = frozenset("@<>()[],;:\"'")
+AFTER_AT = re.compile(r"[^\s@<>()\[\],;:\"']*")
 GROUP = re.compile(r"\+?\(?[0-9](?:[0-9().-]|\x20(?=[0-9(]))*[0-9]|[0-9]")
 
 
@@ -106,8 +107,22 @@ WIDTH = OWN + 2 * HASHED + 1
 SLOTS = 12
 
 
+def around_at(text: str) -> Iterator[tuple[int, int]]:
+    """Strings without white space and brackets around each ``@`` that has a neighbour: each character is walked over once."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and (c := text[start - 1]) not in STOPS and not c.isspace():
+            start -= 1
+        done = AFTER_AT.match(text, at + 1).end()
+        if done - start > 1:
+            yield start, done
+        at = text.find("@", done)
+
+
 def mentions(text: str) -> list[tuple[int, int]]:
-    out = [m.span() for m in AROUND_AT.finditer(text)] if "@" in text else []
+    """In time that is linear in the text."""
+    out = list(around_at(text))
     if DIGIT.search(text):
         taken = list(out)
         k = 0
@@ -196,8 +211,12 @@ class Field:
         self.link = np.zeros((self.LABELS, self.LABELS))
         self.same = np.array(0.5)
 
-    def beliefs(self, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Marginals of mentions and hubs, chain edges and skip edges by loopy sum-product."""
+    def beliefs(self, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marginals of mentions and hubs, chain edges and skip edges by loopy sum-product.
+
+        ``text`` numbers the text of each node: the messages of a text rest once they have settled,
+        whatever the texts beside it do.
+        """
         unary = self.node[feats].sum(1)
         unary -= unary.max(1, keepdims=True)
         edge, n = np.concatenate([chain, skip]), len(chain)
@@ -211,6 +230,9 @@ class Field:
             x = np.concatenate([x[:n] @ pot, x[n:] * more + x[n:].sum(1, keepdims=True)])
             return np.log(x / x.sum(1, keepdims=True))
 
+        of = np.zeros(len(edge), np.int64) if text is None else text[a]
+        moving = np.ones(len(edge), bool)
+
         def totals() -> np.ndarray:
             total = unary.copy()
             np.add.at(total, b, to_b)
@@ -220,10 +242,12 @@ class Field:
         for k in range(ROUNDS if len(edge) else 0):
             total = totals()
             new_b, new_a = sent(total[a] - to_a, link), sent(total[b] - to_b, link.T)
-            moved = max(np.abs(new_b - to_b).max(), np.abs(new_a - to_a).max())
-            w = 1.0 if k < UNDAMPED else 0.5
+            moved = np.zeros(of.max() + 1)
+            np.maximum.at(moved, of, np.maximum(np.abs(new_b - to_b), np.abs(new_a - to_a)).max(1))
+            w = (1.0 if k < UNDAMPED else 0.5) * moving[:, None]
             to_b, to_a = to_b + w * (new_b - to_b), to_a + w * (new_a - to_a)
-            if moved < SETTLED:
+            moving &= moved[of] >= SETTLED
+            if not moving.any():
                 break
         total = totals()
         p = np.exp(total - total.max(1, keepdims=True))
@@ -299,7 +323,7 @@ def label_texts(texts: list[str], field: Field | None, least: float = LEAST) ->
         for i, t in enumerate(texts):
             g.add(i, t, base[i])
         if g.label:
-            p, _, _ = field.beliefs(np.array(g.feature), _edges(g.chain), _edges(g.skip))
+            p, _, _ = field.beliefs(np.array(g.feature), _edges(g.chain), _edges(g.skip), np.array([t for t, _, _ in g.place]))
             best = p[:, 1:].argmax(1)
             for m in np.flatnonzero(p[np.arange(len(p)), best + 1] >= least):
                 i, s, e = g.place[m]
