@@ -361,13 +361,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # ---------------------------------------------------------------- DuckDB
 
 TAPS = convolve.gaussian_kernel(DET.sigma)
-R = len(TAPS) // 2
 
 
-def _taps(value: str, part: str, order: str) -> str:
+def _taps(value: str, part: str, order: str, taps: list[float] = TAPS) -> str:
     terms = []
-    for k, t in enumerate(TAPS):
-        d = k - R
+    for k, t in enumerate(taps):
+        d = k - len(taps) // 2
         x = value if d == 0 else f"coalesce({'lag' if d < 0 else 'lead'}({value}, {abs(d)}) OVER w, {'first_value' if d < 0 else 'last_value'}({value}) OVER a)"
         terms.append(f"{t!r}e0 * {x}")
     return f"SELECT *, {' + '.join(terms)} AS {{out}} FROM {{src}} WINDOW w AS (PARTITION BY brick, {part} ORDER BY {order}), a AS (PARTITION BY brick, {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
@@ -377,7 +376,9 @@ def _sql_q(x: str, digits: int = 6) -> str:
     return f"floor(({x}) * 1e{digits} + 0.5e0) / 1e{digits}"
 
 
-def _ctes(source: str, nrows: int, ncols: int, mesh: int) -> dict[str, str]:
+def _ctes(source: str, nrows: int | str, ncols: int, mesh: int, det: DetectConfig = DET) -> dict[str, str]:
+    """The steps over the pixels of ``source``; ``nrows`` may be a scalar subquery."""
+    taps = convolve.gaussian_kernel(det.sigma)
     corner = lambda g, dr, dc: f"JOIN g g{dr}{dc} ON g{dr}{dc}.brick = p.brick AND g{dr}{dc}.gr = least(greatest(p.r0 + {dr}, 0), p.mr) AND g{dr}{dc}.gc = least(greatest(p.c0 + {dc}, 0), p.mc)"
     blend = lambda c: f"g00.{c} * (1 - p.dr) * (1 - p.dc) + g01.{c} * (1 - p.dr) * p.dc + g10.{c} * p.dr * (1 - p.dc) + g11.{c} * p.dr * p.dc"
     ell = "(({u}) / a) * (({u}) / a) + (({w}) / b) * (({w}) / b)".format(u="(k.col - s.x) * cos(radians(theta)) + (k.row - s.y) * sin(radians(theta))", w="(k.row - s.y) * cos(radians(theta)) - (k.col - s.x) * sin(radians(theta))")
@@ -399,16 +400,16 @@ def _ctes(source: str, nrows: int, ncols: int, mesh: int) -> dict[str, str]:
             JOIN (SELECT brick, max(gr) AS mr, max(gc) AS mc FROM g GROUP BY brick) m USING (brick)""",
         "full_": f"SELECT p.brick, p.row, p.col, p.v, {blend('bg')} AS bg, {blend('rms')} AS rms FROM place p " + " ".join(corner("g", a, b) for a in (0, 1) for b in (0, 1)),
         "res": "SELECT *, v - bg AS res FROM full_",
-        "hh": _taps("res", "row", "col").format(out="h", src="res"),
-        "sm": _taps("h", "col", "row").format(out="f", src="hh"),
+        "hh": _taps("res", "row", "col", taps).format(out="h", src="res"),
+        "sm": _taps("h", "col", "row", taps).format(out="f", src="hh"),
         "snr": "SELECT *, CASE WHEN rms > 0 THEN f / rms ELSE 0e0 END AS snr FROM sm",
-        "mask": f"SELECT * FROM snr WHERE snr > {DET.thresh}e0",
+        "mask": f"SELECT * FROM snr WHERE snr > {det.thresh}e0",
         "reach": f"SELECT brick, row, col, row * {ncols} + col AS root FROM mask UNION SELECT m.brick, m.row, m.col, r.root FROM reach r JOIN mask m ON m.brick = r.brick AND m.row BETWEEN r.row - 1 AND r.row + 1 AND m.col BETWEEN r.col - 1 AND r.col + 1 WHERE r.root < m.row * {ncols} + m.col",
         "rooted": "SELECT brick, row, col, min(root) AS root FROM reach GROUP BY ALL",
         "lab": "SELECT mask.*, CAST(dense_rank() OVER (PARTITION BY brick ORDER BY root) AS INT) AS label FROM mask JOIN rooted USING (brick, row, col)",
         "comp": """SELECT brick, label, CAST(count(*) AS INT) AS npix, min(row) AS rmin, max(row) AS rmax, min(col) AS cmin, max(col) AS cmax, max(snr) AS peak_snr,
             arg_max(row, struct_pack(s := snr, r := -row, c := -col)) AS peak_row, arg_max(col, struct_pack(s := snr, r := -row, c := -col)) AS peak_col FROM lab GROUP BY brick, label""",
-        "det": f"SELECT * FROM comp WHERE npix >= {DET.minarea}",
+        "det": f"SELECT * FROM comp WHERE npix >= {det.minarea}",
         "foot": "SELECT lab.*, npix, rmin, rmax, cmin, cmax FROM lab JOIN det USING (brick, label)",
         "cen": """SELECT brick, label, npix, rmin, rmax, cmin, cmax, sum(res) AS flux_iso, sum(greatest(res, 0)) AS sw,
             CASE WHEN sum(greatest(res, 0)) > 0 THEN sum(greatest(res, 0) * col) / sum(greatest(res, 0)) ELSE (cmin + cmax) / 2e0 END AS x,
@@ -430,7 +431,7 @@ def _ctes(source: str, nrows: int, ncols: int, mesh: int) -> dict[str, str]:
             v1 - t * (x + 1 - p) AS ra, v2 + t * (y + 1 - p) AS dec
             FROM kron JOIN flux USING (brick, label) JOIN comp USING (brick, label) LEFT JOIN wcs USING (brick)""",
         "zs": f"""SELECT brick, s[len(s) // 200 + 1] AS z1, s[least(len(s) * 199 // 200, len(s) - 1) + 1] AS z2
-            FROM (SELECT brick, list_sort(list(v)) AS s FROM px WHERE (row * {ncols} + col) % greatest({nrows * ncols} // {viewer.MAX_SAMPLES}, 1) = 0 GROUP BY brick)""",
+            FROM (SELECT brick, list_sort(list(v)) AS s FROM px WHERE (row * {ncols} + col) % greatest({nrows} * {ncols} // {viewer.MAX_SAMPLES}, 1) = 0 GROUP BY brick)""",
     }
 
 

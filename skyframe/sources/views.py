@@ -57,7 +57,12 @@ def wcs(spark: SparkSession, bricks: int = LIN_BRICKS, side: int = LIN_SIDE) ->
 
 
 def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
+    return sky_of(table(spark, sf_dir, "orders"))
+
+
+def sky_of(orders: DataFrame) -> DataFrame:
+    """Orders as sources on a patch of sky; a stream or a table."""
+    return orders.selectExpr(
         "o_orderkey as id", "o_orderpriority as brick", "187.0D + ((o_orderkey * 7919) % 108000) / 360000.0D as ra",
         "12.0D + ((o_orderkey * 104729 + o_custkey * 31) % 108000) / 360000.0D as dec", "cast(cast(floor(o_totalprice) as bigint) % 40 + 5 as int) as npix",
     )
