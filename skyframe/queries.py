@@ -6,6 +6,8 @@ quantised with ``floor(x * 1e6 + 0.5) / 1e6`` on both sides.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -18,7 +20,7 @@ from .config import BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
 from .functions.scalar import brick_name, finite, is_brick, megapixels, pix_to_sky, plate_scale, q
 from .operators import background, convolve, dedup, detect, measure, mosaic, summaries, viewer
 from .plans import pipeline
-from .plans.durable import cut
+from .plans.durable import cut, shared_dir
 from .sources import fits, sinks, views
 
 BG, DET, MES = BackgroundConfig(mesh=16), DetectConfig(thresh=0.5), MeasureConfig()
@@ -288,6 +290,22 @@ def _catalog_roundtrip(s: Stages) -> DataFrame:
     return _q(s.catalog.mapInPandas(run, "brick string, x double, y double, ra double, npix int, flags short"), "x", "y", "ra")
 
 
+def _fits_file(s: Stages) -> DataFrame:
+    """The catalog as one FITS file that its tasks write, read back in the order of the file."""
+    path = f"{shared_dir(s.spark)}/skyframe/files/{uuid.uuid4().hex}.fits"
+    os.makedirs(os.path.dirname(sinks.whole_file.mounted(path)), exist_ok=True)
+    sinks.write_fits(s.catalog.orderBy("brick", "label"), path)
+    out = sinks.read_fits(s.spark, path).select("place", "brick", "x", "y", "ra", "dec", *TABLE_FLOATS, "npix", "flags")
+    return _q(_q(out, "x", "y", "ra", "dec"), *TABLE_FLOATS, digits=2)
+
+
+def _csv_file(s: Stages) -> DataFrame:
+    path = f"{shared_dir(s.spark)}/skyframe/files/{uuid.uuid4().hex}.csv"
+    os.makedirs(os.path.dirname(sinks.whole_file.mounted(path)), exist_ok=True)
+    sinks.write_csv(s.catalog.orderBy("brick", "label"), path)
+    return sinks.read_csv(s.spark, path).select(F.col("value").alias("line"))
+
+
 TILE = SIDE // 4  # each brick as 16 sub-tiles
 
 
@@ -349,6 +367,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_roundtrip": _lin(_catalog_roundtrip),
     "single_table": _lin(_single_table),
     "csv_single": _lin(_csv_single),
+    "fits_file": _lin(_fits_file),
+    "csv_file": _lin(_csv_file),
     "run_files": _lin(_run_files),
     "file_errors": _lin(_file_errors),
     "wcs_headers": _wcs_headers,
@@ -550,3 +570,7 @@ ORACLES: dict[str, str] = {
     "null_smooth": _with(f"SELECT brick, row, col, {_cols('f')} FROM ({_taps('h', 'col', 'row').format(out='f', src='(' + _taps('v', 'row', 'col').format(out='h', src='(SELECT brick, row, col, coalesce(v, 0e0) AS v FROM px)') + ')')})", _NULL_CTES),
 }
 ORACLES |= {"smooth_mosaic": ORACLES["conv_hv"], "labels_mosaic": ORACLES["labels"], "measurements_mosaic": ORACLES["measurements"]}
+ORACLES |= {
+    "fits_file": _with("SELECT row_number() OVER (ORDER BY brick, label) AS place, brick, npix, CAST(flags AS INT) AS flags, " + _cols("x", "y", "ra", "dec") + ", " + ", ".join(f"{_sql_q(f'CAST(CAST({c} AS FLOAT) AS DOUBLE)', 2)} AS {c}" for c in TABLE_FLOATS) + " FROM cat"),
+    "csv_file": f"SELECT line FROM ({ORACLES['csv_rows']})",
+}

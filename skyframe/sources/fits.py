@@ -247,14 +247,12 @@ def _unquantised(h: dict, x: np.ndarray, cell, tile: int, zbit: int) -> np.ndarr
 
 
 def card(name: str, value=None, comment: str = "") -> bytes:
+    """One 80-byte card: value to column 30 (strings from column 11), then a comment if there is one."""
     if value is None:
         text = name
-    elif isinstance(value, bool):
-        text = f"{name:<8}= {'T' if value else 'F':>20} / {comment}"
-    elif isinstance(value, (int, float)):
-        text = f"{name:<8}= {value!r:>20} / {comment}"
     else:
-        text = f"{name:<8}= " + f"'{value:<8}'".ljust(20) + f" / {comment}"
+        shown = f"{'T' if value else 'F':>20}" if isinstance(value, bool) else f"{value!r:>20}" if isinstance(value, (int, float)) else f"'{value:<8}'"
+        text = f"{name:<8}= {shown:<20} / {comment}" if comment else f"{name:<8}= {shown}"
     return text.encode("ascii", "replace")[:CARD].ljust(CARD)
 
 
@@ -317,13 +315,13 @@ def table_rows(rows, multi: bool) -> bytes:
 
 
 def table_header(n: int, multi: bool, band: str, brick: str = "") -> bytes:
-    first = [card("SIMPLE", True, "Standard FITS"), card("BITPIX", 8), card("NAXIS", 0, "No image"), card("EXTEND", True), card("ORIGIN", "skyframe"), card("FILTER", band, "Photometric band")]
+    first = [card("SIMPLE", True), card("BITPIX", 8), card("NAXIS", 0), card("EXTEND", True), card("ORIGIN", "skyframe"), card("FILTER", band)]
     cols = ([("BRICK", "12A", "")] if multi else []) + [c[:3] for c in CATALOG]
     cards = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", table_dtype(multi).itemsize, "Bytes in a row"), card("NAXIS2", n, "Rows"), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(cols))]
     if not multi:
         first.append(card("OBJECT", brick, "Brick"))
         cards.append(card("OBJECT", brick, "Brick"))
-    cards.append(card("FILTER", band, "Photometric band"))
+    cards.append(card("FILTER", band))
     for k, (name, form, unit) in enumerate(cols, 1):
         cards += [card(f"TTYPE{k}", name), card(f"TFORM{k}", form)] + ([card(f"TUNIT{k}", unit)] if unit else [])
     return header_block(first) + header_block(cards)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fits
+from . import fits, whole_file
 
 #: Fixed values of the CSV format: column, catalog field, decimals (None: as it is).
 CSV = (
@@ -32,35 +34,66 @@ def csv_header(multi: bool, band: str, brick: str = "") -> list[str]:
 
 
 def write_csv(catalog: DataFrame, path: str, band: str = "r", brick: str | None = None) -> int:
-    """One CSV file, rows in the catalog's order, streamed a partition at a time through the driver."""
-    multi, n = brick is None, 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(csv_header(multi, band, brick or "")) + "\n")
-        for r in csv_lines(catalog, multi).select("line").toLocalIterator():
-            f.write(r.line + "\n")
-            n += 1
+    """One CSV file, rows in the catalog's order, written by the tasks; the number of rows."""
+    multi = brick is None
+    head = ("\n".join(csv_header(multi, band, brick or "")) + "\n").encode()
+    lines = csv_lines(catalog, multi).select(F.encode(F.concat("line", F.lit("\n")), "utf-8").alias("content"))
+    pieces, end, n = whole_file.placed(lines, len(head))
+    whole_file.save(pieces, path, head, end)
     return n
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the lines of a catalog without its head."""
+    names = [",".join((["brick"] if multi else []) + [c[0] for c in CSV]) for multi in (False, True)]
+    return spark.read.text(path).where(~F.col("value").startswith("#") & ~F.col("value").isin(names))
+
+
+def table_pieces(catalog: DataFrame, multi: bool) -> DataFrame:
+    """``content``: each row of the catalog as the bytes of a table row, in its order."""
+    fields = (["brick"] if multi else []) + [c[3] for c in fits.CATALOG]
+    width = fits.table_dtype(multi).itemsize
+
+    def run(batches):
+        for b in batches:
+            data = fits.table_rows(b.to_pylist(), multi)
+            yield pa.RecordBatch.from_arrays([pa.array([data[i : i + width] for i in range(0, len(data), width)], pa.binary())], ["content"])
+
+    return catalog.select(*fields).mapInArrow(run, "content binary")
+
+
 def write_fits(catalog: DataFrame, path: str, band: str = "r", brick: str | None = None) -> int:
-    """One FITS table; rows stream through the driver in chunks and the row count is set at the end."""
-    multi, n, chunk = brick is None, 0, []
-    with open(path, "wb") as f:
-        f.write(fits.table_header(0, multi, band, brick or ""))
-        for r in catalog.toLocalIterator():
-            chunk.append(r)
-            if len(chunk) == 10_000:
-                f.write(fits.table_rows(chunk, multi))
-                n += len(chunk)
-                chunk = []
-        f.write(fits.table_rows(chunk, multi))
-        n += len(chunk)
-        f.write(b"\0" * (-n * fits.table_dtype(multi).itemsize % fits.BLOCK))
-        f.seek(0)
-        f.write(fits.table_header(n, multi, band, brick or ""))
+    """One FITS table, rows in the catalog's order, written by the tasks; the number of rows."""
+    multi = brick is None
+    start = len(fits.table_header(0, multi, band, brick or ""))
+    pieces, end, n = whole_file.placed(table_pieces(catalog, multi), start)
+    whole_file.save(pieces, path, fits.table_header(n, multi, band, brick or ""), start - (start - end) // fits.BLOCK * fits.BLOCK)
     return n
 
 
+def read_fits(spark: SparkSession, path: str) -> DataFrame:
+    """``place`` (from 1) and the columns of a written FITS table, by their catalog names."""
+    folder, _, name = path.rpartition("/")
+    numbers = {"f": "double", "i": "int"}
+    schema = "place long, brick string, " + ", ".join(f"{c[3]} {numbers[c[4][1]]}" for c in fits.CATALOG)
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                t = fits.read_table(content)
+                for at in range(0, len(t), 10_000):
+                    x = t[at : at + 10_000]
+                    brick = [v.decode("utf-8", "replace").strip() for v in x["BRICK"]] if "BRICK" in t.dtype.names else [None] * len(x)
+                    cols = [pa.array(np.arange(at + 1, at + 1 + len(x)), pa.int64()), pa.array(brick, pa.string())]
+                    for name, _, _, _, kind in fits.CATALOG:
+                        v = x[name].astype(float if kind[1] == "f" else np.int32)
+                        cols.append(pa.array(v, from_pandas=True))  # NaN is a missing value
+                    yield pa.RecordBatch.from_arrays(cols, ["place", "brick", *(c[3] for c in fits.CATALOG)])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder)
+    return files.select("content").mapInArrow(run, schema)
+
+
 def write_csv_parts(catalog: DataFrame, path: str, multi: bool = True) -> None:
     """Part files written by the executors, for catalogs too large for one file."""
     csv_lines(catalog, multi).select("line").write.text(path)

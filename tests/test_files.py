@@ -1,5 +1,7 @@
 """Image and catalog files: codecs, discovery, sinks, pipelines over folders, the stream."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -168,3 +170,106 @@ def test_stream_of_images(spark, folder, tmp_path):
     q = incremental.grow_catalog(spark, folder, f"{tmp_path}/cat", f"{tmp_path}/ckpt", CFG["bcfg"], CFG["dcfg"])
     q.awaitTermination(120)
     assert incremental.current_catalog(spark, f"{tmp_path}/cat").select("brick").distinct().count() == 2  # two images of one brick, one of another
+
+
+def card(text):
+    return text.encode().ljust(80)
+
+
+def test_cards_by_their_bytes():
+    """Values right-justified to column 30, strings quoted from column 11 and padded to eight, comments only where given."""
+    assert fits.card("SIMPLE", True) == card("SIMPLE  =                    T")
+    assert fits.card("EXTEND", False, "no") == card("EXTEND  =                    F / no")
+    assert fits.card("NAXIS1", 96, "Bytes in a row") == card("NAXIS1  =                   96 / Bytes in a row")
+    assert fits.card("FILTER", "r") == card("FILTER  = 'r       '")
+    assert fits.card("OBJECT", "1234p567-long", "Brick") == card("OBJECT  = '1234p567-long'      / Brick")
+    assert fits.card("CRVAL1", 187.25) == card("CRVAL1  =               187.25") and fits.card("END") == card("END")
+    assert len(fits.card("COMMENT", "x" * 200)) == 80
+
+
+def test_a_table_by_its_bytes(spark, tmp_path):
+    """The whole file of a two-row catalog, put together by hand."""
+    import struct
+
+    names = "brick string, ra double, dec double, x double, y double, flux_iso double, flux_auto double, a double, b double, theta double, ellipticity double, kron_radius double, npix int, flags short"
+    rows = [("b1", 187.5, -2.25, 3.0, 4.5, 1.25, 2.5, 0.75, 0.5, -30.0, 0.25, 3.5, 12, 1), ("a-brick-of-many-letters", None, None, 1.0, 2.0, -1.0, 0.0, 1.0, 1.0, 0.0, 0.0, 3.5, 5, 0)]
+    cat = spark.createDataFrame(rows, names)
+    assert sinks.write_fits(cat, f"{tmp_path}/t.fits", "g") == 2
+    data = (tmp_path / "t.fits").read_bytes()
+    first = b"".join(map(card, ("SIMPLE  =                    T", "BITPIX  =                    8", "NAXIS   =                    0", "EXTEND  =                    T")))
+    assert data.startswith(first) and len(data) % 2880 == 0 and set(data[len(data) - 2880 + 2 * 78 :]) == {0}
+    at = data.index(b"XTENSION")
+    assert at == 2880 and data[at : at + 80] == card("XTENSION= 'BINTABLE'")
+    for text in ("NAXIS1  =                   78", "NAXIS2  =                    2", "TFIELDS =                   14", "TTYPE1  = 'BRICK   '", "TFORM1  = '12A     '", "TTYPE2  = 'RA      '", "TFORM2  = '1D      '", "TUNIT2  = 'deg     '", "TTYPE14 = 'FLAGS   '", "TFORM14 = '1I      '"):
+        assert text.encode() in data[at:], text
+    body = b"".join(r[0].encode()[:12].ljust(12) + struct.pack(">4d7fih", *(float("nan") if v is None else v for v in r[1:5]), *r[5:12], r[12], r[13]) for r in rows)
+    assert data[-2880:][: len(body)] == body
+    assert sinks.write_fits(cat.where("brick = 'b1'"), f"{tmp_path}/one.fits", "g", "b1") == 1 and b"OBJECT  = 'b1      '" in (tmp_path / "one.fits").read_bytes()
+    assert sinks.write_fits(cat.limit(0), f"{tmp_path}/none.fits") == 0 and len(sinks.read_catalog(f"{tmp_path}/none.fits")) == 0
+    assert sinks.write_csv(cat.limit(0), f"{tmp_path}/none.csv") == 0 and len((tmp_path / "none.csv").read_text().splitlines()) == 4
+    with pytest.raises(ValueError, match="part files"):
+        sinks.write_fits(cat, "s3a://bucket/t.fits")
+
+
+def test_tasks_write_at_their_places(tmp_path):
+    """A piece that is written in part, again, or twice over leaves the same file; a stopped write leaves none."""
+    import pyarrow as pa
+
+    from skyframe.sources.whole_file import PieceWriter
+
+    w = PieceWriter(f"{tmp_path}/f", b"head", 22)
+    batch = lambda *rows: pa.RecordBatch.from_pylist([{"base": b, "content": c} for b, c in rows])
+    (tmp_path / "f").write_bytes(b"old")
+
+    def broken():
+        yield batch((10, b"6789"))
+        raise OSError("executor lost")
+
+    with pytest.raises(OSError, match="lost"):
+        w.write(broken())
+    assert (tmp_path / "f").read_bytes() == b"old"
+    again = [w.write(iter([batch((10, b"6789"), (10, b"ab")), batch((10, b"cd"))])), w.write(iter([batch((4, b"012"), (4, b"345"))])), w.write(iter([]))]
+    w.commit(again)
+    assert (tmp_path / "f").read_bytes() == b"head0123456789abcd\0\0\0\0"
+    w.write(iter([batch((4, b"zzz"))]))
+    w.abort([])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["f"] and (tmp_path / "f").read_bytes().startswith(b"head01")
+
+
+RETRIED = """
+import sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from skyframe.sources import whole_file
+
+folder = sys.argv[1]
+spark = SparkSession.builder.master("local[3,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").config("spark.checkpoint.dir", folder + "/shared").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+lines = spark.range(0, 5000, 1, 7).selectExpr("encode(concat(id, '\\n'), 'utf-8') as content")
+pieces, end, n = whole_file.placed(lines, 5)
+
+
+def fails_once(batches):
+    for k, b in enumerate(batches):
+        yield b
+        if k == 1 and TaskContext.get().partitionId() == 1 and TaskContext.get().attemptNumber() == 0:
+            open(folder + "/failed", "w").close()
+            raise RuntimeError("lost")
+
+
+spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+whole_file.save(pieces.mapInArrow(fails_once, "base long, content binary"), folder + "/out.txt", b"head\\n", end)
+assert n == 5000
+"""
+
+
+def test_a_failed_task_writes_again(tmp_path):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "job.py").write_text(RETRIED)
+    done = subprocess.run([sys.executable, str(tmp_path / "job.py"), str(tmp_path)], env=os.environ | {"PYTHONPATH": root, "SPARK_LOCAL_IP": "127.0.0.1"}, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-1500:]
+    assert (tmp_path / "failed").exists() and not (tmp_path / "out.txt.draft").exists()
+    assert (tmp_path / "out.txt").read_text() == "head\n" + "".join(f"{i}\n" for i in range(5000))
