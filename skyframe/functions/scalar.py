@@ -18,11 +18,6 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def upper_median(x: str) -> Column:
-    """``sorted[n / 2]``: the upper of the middle two for even counts."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC)")
-
-
 def pix_to_sky(wcs: str, x: Column, y: Column) -> tuple[Column, Column]:
     """Linear projection of a 0-based pixel position; NULL without coordinates."""
     f = lambda name: F.col(f"{wcs}.{name}")

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import upper_median
+from .selection import with_median
 
 
 def image_stats(pixels: DataFrame) -> DataFrame:
-    return pixels.groupBy("brick").agg(
-        F.count("v").alias("n_valid"), F.count_if(F.col("v").isNull()).alias("n_bad"), F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.avg("v").alias("vmean"), upper_median("v").alias("vmedian")
-    )
+    s = pixels.groupBy("brick").agg(F.count("v").alias("n_valid"), F.count_if(F.col("v").isNull()).alias("n_bad"), F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.avg("v").alias("vmean"))
+    return with_median(s, pixels, ["brick"], "v", "vmedian")
 
 
 def sky_patch(pixels: DataFrame, dims: DataFrame) -> DataFrame:
     """Upper median of the central patch, half-width min(100, nrows / 4); NULL if it has no finite pixel."""
     p = pixels.join(dims, "brick").withColumn("h", F.expr("least(100, nrows div 4)"))
-    inside = F.expr("row >= nrows div 2 - h and row < nrows div 2 + h and col >= ncols div 2 - h and col < ncols div 2 + h")
-    return p.where(inside).groupBy("brick").agg(upper_median("v").alias("sky"))
+    inside = p.where(F.expr("row >= nrows div 2 - h and row < nrows div 2 + h and col >= ncols div 2 - h and col < ncols div 2 + h"))
+    return with_median(inside.select("brick").distinct(), inside, ["brick"], "v", "sky")
 
 
 def grid_summary(grid: DataFrame) -> DataFrame:
@@ -28,21 +27,22 @@ def grid_summary(grid: DataFrame) -> DataFrame:
 
 
 def residual_stats(residual: DataFrame) -> DataFrame:
-    return residual.groupBy("brick").agg(F.avg("res").alias("res_mean"), upper_median("res").alias("res_median"), F.stddev_pop("res").alias("res_rms"))
+    s = residual.groupBy("brick").agg(F.avg("res").alias("res_mean"), F.stddev_pop("res").alias("res_rms"))
+    return with_median(s, residual, ["brick"], "res", "res_median")
 
 
 def detection_summary(found: DataFrame) -> DataFrame:
-    return found.groupBy("brick").agg(
-        F.count("*").alias("n"), F.min("npix").alias("npix_min"), F.max("npix").alias("npix_max"), upper_median("npix").alias("npix_median"), F.avg("npix").alias("npix_mean"), F.min("peak_snr").alias("snr_min"), F.max("peak_snr").alias("snr_max"), F.avg("peak_snr").alias("snr_mean")
+    s = found.groupBy("brick").agg(
+        F.count("*").alias("n"), F.min("npix").alias("npix_min"), F.max("npix").alias("npix_max"), F.avg("npix").alias("npix_mean"), F.min("peak_snr").alias("snr_min"), F.max("peak_snr").alias("snr_max"), F.avg("peak_snr").alias("snr_mean")
     )
+    return with_median(s, found, ["brick"], "npix", "npix_median").withColumn("npix_median", F.col("npix_median").cast("int"))
 
 
 def flux_stats(catalog: DataFrame) -> DataFrame:
     """Count, edge-flagged count, mean, upper median and maximum of ``flux_auto`` (0 for none)."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return catalog.agg(
-        F.count("*").alias("n"), F.count_if(F.expr("(flags & 1) <> 0")).alias("n_edge"), zero(F.avg("flux_auto")).alias("flux_mean"), zero(upper_median("flux_auto")).alias("flux_median"), zero(F.max("flux_auto")).alias("flux_max")
-    )
+    s = catalog.agg(F.count("*").alias("n"), F.count_if(F.expr("(flags & 1) <> 0")).alias("n_edge"), zero(F.avg("flux_auto")).alias("flux_mean"), zero(F.max("flux_auto")).alias("flux_max"))
+    return with_median(s, catalog, [], "flux_auto", "flux_median").withColumn("flux_median", zero(F.col("flux_median")))
 
 
 def top(frame: DataFrame, column: str, n: int) -> DataFrame:

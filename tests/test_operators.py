@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyframe.config import BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
-from skyframe.operators import background, convolve, dedup, detect, mosaic
+from skyframe.operators import background, convolve, dedup, detect, mosaic, selection, summaries
 from skyframe.plans import pipeline, tile
 
 
@@ -219,3 +219,28 @@ def test_mosaic_labels_and_filter(spark, tile):
     assert mosaic.label_components(masked.limit(0), tile).count() == 0
     a, b = (d.orderBy("brick", "row", "col").toPandas().f.to_numpy() for d in (convolve.smooth(px, "v", 1.6), mosaic.smooth(px, "v", 1.6, tile)))
     assert np.allclose(a, b, atol=1e-12) and len(a) == 2 * image.size
+
+
+def test_medians_by_radix_selection(spark):
+    """Signs, zeros, subnormals, huge and equal values, even and odd counts, groups of nothing but NULL, a null key."""
+    rng = np.random.default_rng(1)
+    groups = {
+        "normal": rng.normal(0, 1, 501), "even": rng.normal(5, 3, 400), "wide": rng.choice([-1.0, 1.0], 301) * 10.0 ** rng.integers(-308, 308, 301), "tiny": np.r_[5e-324, -5e-324, 1e-310, -1e-310],
+        "zeros": np.r_[0.0, -0.0, 0.0], "equal": np.full(1000, 2.5), "one": np.r_[-7.25], "near": 1 + np.arange(300) * 2.0**-52, "ends": np.r_[-1.7e308, 1.7e308], "null": np.r_[3.0, 1.0], None: np.r_[9.0, 8.0, 1.0],
+    }
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [(g, None) for g in ("normal", "none", "none")]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r.m for r in selection.with_median(df.groupBy("g").agg(F.count("*").alias("n")), df, ["g"], "v", "m").collect()}
+    assert got == {g: sorted(v)[len(v) // 2] for g, v in groups.items()} | {"none": None}
+    assert summaries.flux_stats(df.limit(0).selectExpr("v as flux_auto", "0 as flags")).first().flux_median == 0
+    assert [r.m for r in selection.upper_medians(df.where("g = 'wide'"), [], "v", "m").collect()] == [got["wide"]]
+
+
+def test_median_of_ten_million_values(spark):
+    """Every count is made before the shuffle: no task takes more rows than there are buckets."""
+    n = 10_000_000
+    df = spark.range(0, n, 1, 8).selectExpr("cast(id * 7919 % 10000019 as double) / 3 - 1e6 as v")
+    m = selection.upper_medians(df, [], "v", "m")
+    assert m.first().m == sorted((i * 7919 % 10_000_019) / 3 - 1e6 for i in range(n))[n // 2]
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect" not in plan.lower() and plan.count("partial_count") >= 4
