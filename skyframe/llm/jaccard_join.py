@@ -27,7 +27,12 @@ every round skips pairs whose ends are linked already:
    more: in ``FINE`` times as many segments, costs by the tokens that are popular among these sets
    (counted exactly), and only buckets that hold different components.  Sets that merely share a
    passage part here;
-4. what is still hot then is compared in blocks of bounded size, only across components and
+4. what is still hot then is indexed by its rarest tokens: sets of sizes n and m that are linked
+   share ``3 (n + m) / 7`` tokens, so they share one of the ``n - 3 (n + m) / 7 + 1`` rarest of the
+   one and of the like number of the other (``prefixes``), whatever order stands for rarity.  Sizes
+   go by narrow classes, so that this is a seventh of a set for partners of its size: pages of one
+   template, each with more than a seventh of its own, never meet;
+5. what is hot even then is compared in blocks of bounded size, only across components and
    never inside the largest component of a group.
 
 A sender folds a signature that it meets more than ``FOLD`` times to one member and pairs with it,
@@ -64,6 +69,8 @@ CELLS = 128
 SAMPLE_DOCS = 20_000  # documents whose tokens are counted to find popular ones at first
 POPULAR_DOCS = 4  # a token in so many sampled sets is popular
 FINE = 4  # segments of the second indexing, as a multiple of the first's
+RARE = 0  # the third indexing: by rarest tokens instead of segments
+SIDE, LOW_BITS = np.uint64(3), np.uint64(7)  # a signature's three lowest bits are flags: folded by its sender, side of a prefix
 
 
 @lru_cache(maxsize=None)
@@ -117,6 +124,34 @@ def signatures(tokens: np.ndarray, rare: np.ndarray, fine: int = 1) -> np.ndarra
     return np.concatenate(out)
 
 
+@lru_cache(maxsize=1)
+def size_classes() -> np.ndarray:
+    """Least size of each class of sizes: bounds grow by a twentieth, by one at least."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 21 // 20))
+    return np.array(out)
+
+
+def prefixes(tokens: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """The rarest tokens of one set for partners of each class of sizes, hashed with both classes.
+
+    Any order of tokens that is the same for all sets will do: popular ones come last, ties by hash.
+    ``SIDE`` tells whether the set is of the lesser (1) or greater (2) class, or both are one (0).
+    """
+    n, low = len(tokens), size_classes()
+    order = tokens[np.lexsort((tokens, ~rare))]
+    least, most = -(-3 * n // 4), 4 * n // 3
+    own, first, last = (int(np.searchsorted(low, x, side="right")) - 1 for x in (n, least, most))
+    out = []
+    for c in range(first, last + 1):
+        shared = -(-3 * (n + max(least, int(low[c]))) // 7)
+        name = np.array([(min(own, c) << 32) + max(own, c)], np.uint64)
+        side = np.uint64(0 if c == own else 2 if c < own else 4)  # bits 1 and 2
+        out.append(C.mix(order[: n - shared + 1] ^ C.mix(name, 24), 25) & ~LOW_BITS | side)
+    return np.concatenate(out)
+
+
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """Sorted distinct token hashes of each text."""
     h, at = C.hash_words(texts, lower=True)
@@ -178,6 +213,57 @@ PAIRS = "a string, b string, star boolean, hot boolean"
 HOT_BIT = np.uint64(1)  # the lowest bit of a signature: its sender has folded it
 
 
+def _shared_prefixes(sets: DataFrame, n: int, popular):
+    """A broadcast filter of the prefix keys that sets of both classes hold, or two sets where that is one class.
+
+    Senders fold a key to the sides and the least and greatest set that they met, so a token of a
+    whole template costs a row a sender.
+    """
+    types = ["u8", "u1", "u8", "u8"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, part, size = C.Packer(n, types), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if part:
+                out.add(*(lambda k, *x: (k, k, *x))(*fold(*(np.concatenate(c) for c in zip(*part)))))
+                part.clear()
+                size = 0
+                yield from out.flush()
+
+        for b in batches:
+            sets_ = shingle_sets(b.column(0).to_pylist())
+            rare = ~C.bloom_probe(np.concatenate([*sets_, np.empty(0, np.uint64)]), popular.value)
+            at = C.offsets([len(s) for s in sets_])
+            for i, s in enumerate(sets_):
+                if len(s):
+                    sig, lo = prefixes(s, rare[at[i] : at[i + 1]]), node_id(s)[1]
+                    who = np.full(len(sig), lo, np.uint64)
+                    part.append((sig >> SIDE, (np.uint64(1) << ((sig >> HOT_BIT) & np.uint64(3))).astype(np.uint8), who, who))
+                    size += len(sig) * 25
+                if size >= C.PACK_BYTES:
+                    yield from flush()
+        yield from flush()
+
+    def fold(key: np.ndarray, sides: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        return key[first], np.bitwise_or.reduceat(sides[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+    def both(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        cols = C.unpack(blobs, types)
+        if len(cols[0]):
+            key, sides, low, high = fold(*cols)
+            key = C.mix(key[(sides == 6) | ((sides == 1) & (low != high))], 26)
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array([len(key)], pa.int64()), pa.array([key.tobytes()], pa.binary())], ["n", "payload"])
+
+    got = C.cut(C.exchange(sets.select("text").mapInArrow(send, C.Packer.schema), n, both, "n long, payload binary"))
+    return C.bloom_build(got, got.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+
 def _candidates(sets: DataFrame, n: int, popular, fine: int = 1) -> DataFrame:
     """``(a, b, star, hot)``: pairs of node ids that share a signature.
 
@@ -187,6 +273,7 @@ def _candidates(sets: DataFrame, n: int, popular, fine: int = 1) -> DataFrame:
     """
     rooted = "root" in sets.columns
     types, star_types = ["u8"] * (4 if rooted else 3), ["u8"] * 4
+    met = None if fine else _shared_prefixes(sets, n, popular)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, stars, part, size = C.Packer(n, types), C.Packer(n, star_types, 1), [], 0
@@ -210,7 +297,7 @@ def _candidates(sets: DataFrame, n: int, popular, fine: int = 1) -> DataFrame:
                     stay = np.ones(len(s), bool)
                     stay[away] = False
                     cols = [c[stay] for c in cols]  # in the order of sets, whose ids then compress
-                out.add(cols[0] >> HOT_BIT, *cols)
+                out.add(cols[0] >> SIDE, *cols)
                 yield from out.flush()
                 yield from stars.flush()
 
@@ -225,7 +312,11 @@ def _candidates(sets: DataFrame, n: int, popular, fine: int = 1) -> DataFrame:
                     hi, lo = node_id(s)
                     if (hi, lo) not in seen:
                         seen.add((hi, lo))
-                        sig = signatures(s, rare[at[i] : at[i + 1]], fine) & ~HOT_BIT
+                        if fine:
+                            sig = signatures(s, rare[at[i] : at[i + 1]], fine) & ~LOW_BITS
+                        else:
+                            sig = prefixes(s, rare[at[i] : at[i + 1]])
+                            sig = sig[C.bloom_probe(C.mix(sig >> SIDE, 26), met.value)]
                         part.append([sig, *(np.full(len(sig), x, np.uint64) for x in ((hi, lo, roots[i]) if rooted else (hi, lo)))])
                         size += len(sig) * 8 * len(types)
                 if size >= C.PACK_BYTES:
@@ -246,28 +337,29 @@ def _candidates(sets: DataFrame, n: int, popular, fine: int = 1) -> DataFrame:
             yield from named(pairs, np.ones(len(pairs), bool), np.ones(len(pairs), bool))
             return
         cols = C.unpack(blobs, types)
-        order = np.argsort(cols[0] >> HOT_BIT, kind="stable")
-        sig = cols[0][order] >> HOT_BIT
+        order = np.argsort(cols[0] >> SIDE, kind="stable")
+        sig = cols[0][order] >> SIDE
         twin = np.zeros(len(sig), bool)  # only rows whose signature repeats go on
         same = sig[1:] == sig[:-1]
         twin[1:] |= same
         twin[:-1] |= same
         order, sig = order[twin], sig[twin]
         flag, hi, lo = cols[0][order] & HOT_BIT == HOT_BIT, cols[1][order], cols[2][order]
+        side = (cols[0][order] & LOW_BITS) >> HOT_BIT
         root = cols[3][order] if rooted else None
         del cols
         order = np.lexsort((~flag, lo, hi, sig))  # of equal rows the flagged one comes first
-        sig, hi, lo, flag = sig[order], hi[order], lo[order], flag[order]
+        sig, hi, lo, flag, side = sig[order], hi[order], lo[order], flag[order], side[order]
         root = root[order] if rooted else lo
         if len(sig):
             new = np.r_[True, (sig[1:] != sig[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]
-            sig, hi, lo, flag, root = (x[new] for x in (sig, hi, lo, flag, root))
+            sig, hi, lo, flag, root, side = (x[new] for x in (sig, hi, lo, flag, root, side))
             first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             count = np.diff(np.r_[first, len(sig)])
             apart = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
             hot = np.maximum.reduceat(flag, first) | (count > SMALL_BUCKET)
             keep = np.repeat((count > 1) & (apart | (hot & np.maximum.reduceat(flag, first))), count)
-            sig, hi, lo, root, hot = sig[keep], hi[keep], lo[keep], root[keep], np.repeat(hot, count)[keep]
+            sig, hi, lo, root, side, hot = sig[keep], hi[keep], lo[keep], root[keep], side[keep], np.repeat(hot, count)[keep]
         if len(sig) < 2:
             return
         order = np.lexsort((lo, hi))
@@ -279,13 +371,13 @@ def _candidates(sets: DataFrame, n: int, popular, fine: int = 1) -> DataFrame:
         k, head = np.int64(len(ids)), np.repeat(node[first], count)
         del hi, lo, order
         big = np.unique((head * k + node)[hot & (head != node)])
-        star = np.unique((head * k + node)[~hot & (head != node) & (np.repeat(root[first], count) != root)])
+        star = np.unique((head * k + node)[~hot & (head != node) & (np.repeat(root[first], count) != root) & ((side == 0) | (np.repeat(side[first], count) != side))])
         codes = [np.empty(0, np.int64)]
         for d in range(1, SMALL_BUCKET):  # node ids rise inside a bucket
             i = np.flatnonzero(~hot[:-d] & (sig[:-d] == sig[d:]))
             if not len(i):
                 break
-            i = i[root[i] != root[i + d]]
+            i = i[(root[i] != root[i + d]) & ((side[i] == 0) | (side[i] != side[i + d]))]
             codes.append(np.unique(node[i] * k + node[i + d]))
         code = np.unique(np.concatenate(codes))
         code = np.setdiff1d(np.setdiff1d(code, big, assume_unique=True), star, assume_unique=True)
@@ -460,18 +552,19 @@ def _blocks(sets: DataFrame, groups: DataFrame, roots: DataFrame, table: DataFra
     return C.cut(dealt.mapInArrow(run, "a string, b string"))
 
 
-def _second_index(hot: DataFrame, sets: DataFrame, roots: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    """Components after hot buckets have been indexed anew."""
-    nodes = hot.select(F.col("a").alias("id")).unionByName(hot.select(F.col("b").alias("id"))).distinct()
-    who = sets.select("id", "uid").join(nodes, "id", "left_semi").join(roots, "id", "left").select("uid", F.coalesce("root", "id").alias("root"))
-    again = C.cut(table.where("text is not null").select("uid", "text").join(who, "uid").select("text", "root"))
-    pairs = _candidates(again, n, _popular(again, n, SMALL_BUCKET + 1), FINE)
-    links = _linked(_close(pairs.where("not hot"), sets), table)
-    roots = _merged(roots, links)
-    still = pairs.where("hot").select("a", "b")
-    if still.limit(1).count():
-        roots = _merged(roots, _blocks(sets, C.components(still), roots, table))
-    return roots
+def _index_again(hot: DataFrame, sets: DataFrame, roots: DataFrame, table: DataFrame, n: int) -> DataFrame:
+    """Components after hot buckets have been indexed anew, in finer segments and then by rarest tokens."""
+    for fine in (FINE, RARE):
+        nodes = hot.select(F.col("a").alias("id")).unionByName(hot.select(F.col("b").alias("id"))).distinct()
+        who = sets.select("id", "uid").join(nodes, "id", "left_semi").join(roots, "id", "left").select("uid", F.coalesce("root", "id").alias("root"))
+        again = C.cut(table.where("text is not null").select("uid", "text").join(who, "uid").select("text", "root"))
+        pairs = _candidates(again, n, _popular(again, n, SMALL_BUCKET + 1), fine)
+        links = _linked(_close(pairs.where("not hot"), sets, None if fine else roots), table)
+        roots = _merged(roots, links)
+        hot = pairs.where("hot").select("a", "b")
+        if not hot.limit(1).count():
+            return roots
+    return _merged(roots, _blocks(sets, C.components(hot), roots, table))
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -503,7 +596,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     for side in "ab":
         ends = ends.join(roots.select(F.col("id").alias(side), F.col("root").alias("r" + side)), side, "left")
     if ends.where("coalesce(ra, a) <> coalesce(rb, b)").limit(1).count():
-        roots = _second_index(hot, sets, roots, table, n)
+        roots = _index_again(hot, sets, roots, table, n)
     slim = table.select("doc_id", "n", "id")
     least = C.cut(slim.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("m")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     first = C.cut(least.groupBy("root").agg(F.min("m").alias("component_id")))  # written, so that Spark may split a large component's rows in the join

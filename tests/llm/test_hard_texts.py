@@ -112,3 +112,58 @@ def test_marginals_do_not_depend_on_the_texts_beside():
 
     for t, p in zip(texts, marginals(texts)):
         assert np.abs(marginals([t])[0] - p).max(initial=0) < 1e-12
+
+
+def test_prefixes_keep_every_link():
+    """Two sets within the bound share one of their rarest tokens, whatever is popular and whatever their sizes."""
+    rng = np.random.default_rng(9)
+    for trial in range(400):
+        n = int(rng.integers(1, 260))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        drop = int(rng.integers(0, n // 4 + 1))
+        add = int(rng.integers(0, max(1, (n // 3 - drop) + 1)))
+        b = np.concatenate([a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)])
+        a, b = common.distinct(a), common.distinct(b)
+        if len(b) and 7 * len(np.intersect1d(a, b)) >= 3 * (len(a) + len(b)):
+            cut = rng.integers(1, 1 << 62)
+            x, y = jaccard_join.prefixes(a, a > cut), jaccard_join.prefixes(b, b > cut)
+            key, i, j = np.intersect1d(x >> jaccard_join.SIDE, y >> jaccard_join.SIDE, return_indices=True)
+            sides = {frozenset(p) for p in zip((x[i] & np.uint64(6)).tolist(), (y[j] & np.uint64(6)).tolist())}
+            assert sides & {frozenset([0]), frozenset([2, 4])}
+
+
+def template(n, shared, words=200, spread=1):
+    """Pages of a template and ``words - shared`` own words, or up to ``spread`` times as many."""
+    own = words - shared
+    head = prose(800 + shared, shared)
+    return [f"{head} " + " ".join(f"w{k}x{i}" for i in range(own + (own * (spread - 1) * (k % 7)) // 7)) for k in range(n)]
+
+
+@pytest.mark.parametrize("spread", [1, 3])
+@pytest.mark.parametrize("shared", [120, 160, 164])
+def test_pages_of_a_template_never_meet(spark, shared, spread):
+    """A template with own words from 18 per cent: the third index makes no pair at all, at any number of pages."""
+    for n in (500, 1000):
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(template(n, shared, spread=spread))], SCHEMA).repartition(4)
+        again = common.text_bytes(docs).selectExpr("text", "md5(text) as root")
+        pairs = jaccard_join._candidates(again, 4, jaccard_join._popular(again, 4, jaccard_join.SMALL_BUCKET + 1), jaccard_join.RARE)
+        assert pairs.count() == 0
+
+
+def test_templates_and_their_copies(spark, monkeypatch):
+    """Pages of a template stay apart; near copies among them are found, and no block is compared."""
+    rows = template(700, 165)
+    for k in range(0, 60, 3):
+        w = rows[k].split()
+        w[30] = "changed"
+        w[190] = f"also{k}"
+        rows.append(" ".join(w))
+    rows = [(i, t, None, None, None) for i, t in enumerate(rows)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+
+    def never(*_):
+        raise AssertionError("blocks")
+
+    monkeypatch.setattr(jaccard_join, "_blocks", never)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similarity_components(docs).collect()}
+    assert got == {i: i if i < 700 else 3 * (i - 700) for i in range(len(rows))}
