@@ -24,15 +24,13 @@ every round skips pairs whose ends are linked already:
 1. the pairs of every bucket with its least set: most groups of copies are whole after these;
 2. the other pairs of buckets of up to ``SMALL_BUCKET`` sets whose ends are still apart;
 3. sets of larger (hot) buckets, if any of their pairs of round 1 is no link, are indexed once
-   more: in ``FINE`` times as many segments, costs by the tokens that are popular among these sets
-   (counted exactly), and only buckets that hold different components.  Sets that merely share a
-   passage part here;
-4. what is still hot then is indexed by its rarest tokens: sets of sizes n and m that are linked
-   share ``3 (n + m) / 7`` tokens, so they share one of the ``n - 3 (n + m) / 7 + 1`` rarest of the
-   one and of the like number of the other (``prefixes``), whatever order stands for rarity.  Sizes
-   go by narrow classes, so that this is a seventh of a set for partners of its size: pages of one
-   template, each with more than a seventh of its own, never meet;
-5. what is hot even then is compared in blocks of bounded size, only across components and
+   more, by their rarest tokens: sets of sizes n and m that are linked share ``3 (n + m) / 7``
+   tokens, so they share one of the ``n - 3 (n + m) / 7 + 1`` rarest of the one and of the like
+   number of the other (``prefixes``), whatever order stands for rarity (tokens that are popular
+   among these sets, counted exactly, come last).  Sizes go by narrow classes, so that this is a
+   seventh of a set for partners of its size: pages of one template, each with more than a
+   seventh of its own, never meet, nor do sets that merely share a passage;
+4. what is hot even then is compared in blocks of bounded size, only across components and
    never inside the largest component of a group.
 
 A sender folds a signature that it meets more than ``FOLD`` times to one member and pairs with it,
@@ -68,8 +66,6 @@ BLOCK_TOKENS = 1_500_000  # tokens in one block of the last round
 CELLS = 128
 SAMPLE_DOCS = 20_000  # documents whose tokens are counted to find popular ones at first
 POPULAR_DOCS = 4  # a token in so many sampled sets is popular
-FINE = 4  # segments of the second indexing, as a multiple of the first's
-RARE = 0  # the third indexing: by rarest tokens instead of segments
 SIDE, LOW_BITS = np.uint64(3), np.uint64(7)  # a signature's three lowest bits are flags: folded by its sender, side of a prefix
 
 
@@ -86,16 +82,16 @@ def band(n: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def plan(b: int, fine: int = 1) -> tuple[str, int, int]:
+def plan(b: int) -> tuple[str, int, int]:
     """Kind, number of segments and greatest difference for pairs whose larger set is in band ``b``."""
     top = int(band_bounds()[b + 1]) - 1
     d = 2 * top * NUM // DEN
-    if d <= 3 and fine == 1:
+    if d <= 3:
         return "delete", (d + 2) // 2, d
-    return "whole", int(1.6 * fine * (d + 1)) + 1, d
+    return "whole", int(1.6 * (d + 1)) + 1, d
 
 
-def signatures(tokens: np.ndarray, rare: np.ndarray, fine: int = 1) -> np.ndarray:
+def signatures(tokens: np.ndarray, rare: np.ndarray) -> np.ndarray:
     """Signatures of one set (sorted distinct token hashes) under its band's plan and the next one's.
 
     ``rare``: which tokens are not popular.
@@ -107,7 +103,7 @@ def signatures(tokens: np.ndarray, rare: np.ndarray, fine: int = 1) -> np.ndarra
         lo, hi = int(band_bounds()[b]), int(band_bounds()[b + 1]) - 1
         if b > own and 4 * n < 3 * lo:
             continue
-        kind, segs, _ = plan(b, fine)
+        kind, segs, _ = plan(b)
         at = ((tokens >> np.uint64(20)) % np.uint64(segs)).astype(np.int64)
         acc = np.zeros(segs, np.uint64)
         with np.errstate(over="ignore"):
@@ -264,7 +260,7 @@ def _shared_prefixes(sets: DataFrame, n: int, popular):
     return C.bloom_build(got, got.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
-def _candidates(sets: DataFrame, n: int, popular, fine: int = 1) -> DataFrame:
+def _candidates(sets: DataFrame, n: int, popular, rarest: bool = False) -> DataFrame:
     """``(a, b, star, hot)``: pairs of node ids that share a signature.
 
     ``sets`` has texts and, from the second indexing on, the component (``root``) of each; a bucket
@@ -273,7 +269,7 @@ def _candidates(sets: DataFrame, n: int, popular, fine: int = 1) -> DataFrame:
     """
     rooted = "root" in sets.columns
     types, star_types = ["u8"] * (4 if rooted else 3), ["u8"] * 4
-    met = None if fine else _shared_prefixes(sets, n, popular)
+    met = _shared_prefixes(sets, n, popular) if rarest else None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, stars, part, size = C.Packer(n, types), C.Packer(n, star_types, 1), [], 0
@@ -312,11 +308,11 @@ def _candidates(sets: DataFrame, n: int, popular, fine: int = 1) -> DataFrame:
                     hi, lo = node_id(s)
                     if (hi, lo) not in seen:
                         seen.add((hi, lo))
-                        if fine:
-                            sig = signatures(s, rare[at[i] : at[i + 1]], fine) & ~LOW_BITS
-                        else:
+                        if rarest:
                             sig = prefixes(s, rare[at[i] : at[i + 1]])
                             sig = sig[C.bloom_probe(C.mix(sig >> SIDE, 26), met.value)]
+                        else:
+                            sig = signatures(s, rare[at[i] : at[i + 1]]) & ~LOW_BITS
                         part.append([sig, *(np.full(len(sig), x, np.uint64) for x in ((hi, lo, roots[i]) if rooted else (hi, lo)))])
                         size += len(sig) * 8 * len(types)
                 if size >= C.PACK_BYTES:
@@ -553,18 +549,18 @@ def _blocks(sets: DataFrame, groups: DataFrame, roots: DataFrame, table: DataFra
 
 
 def _index_again(hot: DataFrame, sets: DataFrame, roots: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    """Components after hot buckets have been indexed anew, in finer segments and then by rarest tokens."""
-    for fine in (FINE, RARE):
-        nodes = hot.select(F.col("a").alias("id")).unionByName(hot.select(F.col("b").alias("id"))).distinct()
-        who = sets.select("id", "uid").join(nodes, "id", "left_semi").join(roots, "id", "left").select("uid", F.coalesce("root", "id").alias("root"))
-        again = C.cut(table.where("text is not null").select("uid", "text").join(who, "uid").select("text", "root"))
-        pairs = _candidates(again, n, _popular(again, n, SMALL_BUCKET + 1), fine)
-        links = _linked(_close(pairs.where("not hot"), sets, None if fine else roots), table)
+    """Components after hot buckets have been indexed anew by rarest tokens."""
+    nodes = hot.select(F.col("a").alias("id")).unionByName(hot.select(F.col("b").alias("id"))).distinct()
+    who = sets.select("id", "uid").join(nodes, "id", "left_semi").join(roots, "id", "left").select("uid", F.coalesce("root", "id").alias("root"))
+    again = C.cut(table.where("text is not null").select("uid", "text").join(who, "uid").select("text", "root"))
+    pairs = _candidates(again, n, _popular(again, n, SMALL_BUCKET + 1), rarest=True)
+    links = _linked(_close(pairs.where("not hot"), sets, roots), table)
+    if links.limit(1).count():
         roots = _merged(roots, links)
-        hot = pairs.where("hot").select("a", "b")
-        if not hot.limit(1).count():
-            return roots
-    return _merged(roots, _blocks(sets, C.components(hot), roots, table))
+    still = pairs.where("hot").select("a", "b")
+    if still.limit(1).count():
+        roots = _merged(roots, _blocks(sets, C.components(still), roots, table))
+    return roots
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -596,7 +592,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     for side in "ab":
         ends = ends.join(roots.select(F.col("id").alias(side), F.col("root").alias("r" + side)), side, "left")
     if ends.where("coalesce(ra, a) <> coalesce(rb, b)").limit(1).count():
-        roots = _index_again(hot, sets, roots, table, n)
+        roots = _index_again(hot, sets, roots, table, C.partitions(spark))
     slim = table.select("doc_id", "n", "id")
     least = C.cut(slim.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("m")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     first = C.cut(least.groupBy("root").agg(F.min("m").alias("component_id")))  # written, so that Spark may split a large component's rows in the join

@@ -139,8 +139,7 @@ def test_signatures_keep_every_link():
         inter = len(np.intersect1d(a, b))
         if len(b) and 7 * inter >= 3 * (len(a) + len(b)):
             cut = rng.integers(1, 1 << 62)
-            for fine in (1, jaccard_join.FINE):
-                assert len(np.intersect1d(jaccard_join.signatures(a, a > cut, fine), jaccard_join.signatures(b, b > cut, fine)))
+            assert len(np.intersect1d(jaccard_join.signatures(a, a > cut), jaccard_join.signatures(b, b > cut)))
 
 
 def test_hot_buckets_make_no_square_work(spark):
@@ -156,7 +155,7 @@ def test_hot_buckets_make_no_square_work(spark):
     first = jaccard_join._candidates(texts, 4, spark.sparkContext.broadcast(np.zeros(1 << 13, np.uint8)))  # nothing known as popular
     assert first.count() < 60_000
     again = texts.withColumn("root", F.md5("text"))
-    second = jaccard_join._candidates(again.where("length(text) > 200"), 4, jaccard_join._popular(again, 4, 33), jaccard_join.FINE)
+    second = jaccard_join._candidates(again.where("length(text) > 200"), 4, jaccard_join._popular(again, 4, 33), rarest=True)
     assert second.count() < 5_000
 
 
