@@ -38,7 +38,7 @@ def main(args: list[str]) -> int:
     spark = SparkSession.builder.appName("skyframe").getOrCreate()
     if command == "run":
         band, stem = argument(rest, 0, "r"), argument(rest, 1, "catalog")
-        cat = pipeline.run(spark, path, band, same_brick=False).cache()
+        cat = pipeline.run(spark, path, band, same_brick=False, say=print).cache()
         sinks.write_fits(cat, f"{stem}.fits", band)
         sinks.write_csv(cat, f"{stem}.csv", band)
         report("bricks", cat.groupBy("brick").agg(F.count("*").alias("sources")).orderBy("brick"))

@@ -33,5 +33,3 @@ class DedupConfig:
     same_brick: bool = False
     min_cos_dec: float = 0.01
 
-
-BLOCK = 32  # edge of a pixel block in the aperture join

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BLOCK, FLAG_EDGE, MeasureConfig
+from ..config import FLAG_EDGE, MeasureConfig
 from ..functions.scalar import pix_to_sky
 
 
@@ -71,20 +71,39 @@ def raw_kron_radius(foot: DataFrame, shape: DataFrame) -> DataFrame:
     return px.groupBy("brick", "label").agg((F.sum(F.sqrt(ellipse_radius2()) * F.col("res")) / F.sum("res")).alias("raw_kron"))
 
 
-def kron_flux(shape: DataFrame, pixels: DataFrame, dims: DataFrame, cfg: MeasureConfig) -> DataFrame:
-    """``shape`` with ``flux_auto``: sum of all finite residual pixels inside the Kron ellipse.
+def aperture_rows(shape: DataFrame, dims: DataFrame, cfg: MeasureConfig) -> DataFrame:
+    """``brick, label, row, lo, hi``: in each row the first and last pixel centre inside the Kron ellipse.
 
-    A source goes to the pixel blocks that its clipped box touches; the ellipse is then an equi-join
-    on blocks with a residual predicate, not a product.
+    An ellipse meets a row in one stretch; its ends are found among the columns of the clipped box by the
+    very test that a pixel is put to, so no pixel on the rim is decided otherwise.
     """
     ap = cfg.kron_factor * F.col("kron_radius")
     s = shape.join(dims, "brick").withColumn("ap2", ap * ap).withColumn("margin", (F.ceil(ap * F.greatest("a", "b")) + 1).cast("int"))
     s = s.withColumns({"r0": F.expr("greatest(rmin - margin, 0)"), "r1": F.expr("least(rmax + margin, nrows - 1)"), "c0": F.expr("greatest(cmin - margin, 0)"), "c1": F.expr("least(cmax + margin, ncols - 1)")})
-    s = s.select("brick", "label", "x", "y", "a", "b", "theta", "ap2", "r0", "r1", "c0", "c1")
-    s = s.withColumn("br", F.explode(F.expr(f"sequence(r0 div {BLOCK}, r1 div {BLOCK})"))).withColumn("bc", F.explode(F.expr(f"sequence(c0 div {BLOCK}, c1 div {BLOCK})")))
-    p = pixels.where("res is not null").select("brick", "row", "col", "res", F.expr(f"row div {BLOCK}").alias("br"), F.expr(f"col div {BLOCK}").alias("bc"))
-    hit = p.join(s, ["brick", "br", "bc"]).where((ellipse_radius2() <= F.col("ap2")) & F.expr("row between r0 and r1 and col between c0 and c1"))
-    flux = hit.groupBy("brick", "label").agg(F.sum("res").alias("flux_auto"))
+    s = s.select("brick", "label", "x", "y", "a", "b", "theta", "ap2", "c0", "c1", F.explode(F.expr("sequence(r0, r1)")).alias("row"))
+    inside = F.filter(F.expr("sequence(c0, c1)"), lambda c: _inside(c))
+    s = s.withColumn("inside", inside).where("size(inside) > 0")
+    return s.select("brick", "label", "row", F.element_at("inside", 1).alias("lo"), F.element_at("inside", -1).alias("hi"))
+
+
+def _inside(c: Column) -> Column:
+    dx, dy = c - F.col("x"), F.col("row") - F.col("y")
+    ct, st = F.cos(F.radians("theta")), F.sin(F.radians("theta"))
+    u, w = (dx * ct + dy * st) / F.col("a"), (dy * ct - dx * st) / F.col("b")
+    return u * u + w * w <= F.col("ap2")
+
+
+def kron_flux(shape: DataFrame, pixels: DataFrame, dims: DataFrame, cfg: MeasureConfig) -> DataFrame:
+    """``shape`` with ``flux_auto``: sum of all finite residual pixels inside the Kron ellipse.
+
+    Pixels become running sums along their row, so a source asks for two of them a row, by an
+    equi-join, instead of for every pixel that it covers.
+    """
+    along = Window.partitionBy("brick", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    upto = pixels.select("brick", "row", "col", F.sum(F.coalesce("res", F.lit(0.0))).over(along).alias("upto"))
+    ends = F.explode(F.array(F.struct(F.col("hi").alias("col"), F.lit(1.0).alias("sign")), F.struct((F.col("lo") - 1).alias("col"), F.lit(-1.0).alias("sign")))).alias("e")
+    asked = aperture_rows(shape, dims, cfg).select("brick", "label", "row", ends).select("brick", "label", "row", "e.col", "e.sign").where("col >= 0")
+    flux = asked.join(upto, ["brick", "row", "col"]).groupBy("brick", "label").agg(F.sum(F.col("sign") * F.col("upto")).alias("flux_auto"))
     return shape.join(flux, ["brick", "label"], "left").withColumn("flux_auto", F.coalesce("flux_auto", F.lit(0.0)))
 
 

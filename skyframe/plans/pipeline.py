@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from contextlib import nullcontext
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +18,7 @@ from ..operators.dedup import deduplicate
 from ..sources import fits, images
 from . import tile
 from .durable import cut, tune
+from .progress import Progress
 
 CATALOG = "brick string, label int, npix int, x double, y double, ra double, dec double, a double, b double, theta double, ellipticity double, kron_radius double, flux_iso double, flux_auto double, flags short, peak_snr double, peak_row int, peak_col int, rmin int, rmax int, cmin int, cmax int"
 COLUMNS = [c.split()[0] for c in CATALOG.split(", ")]
@@ -89,22 +94,28 @@ def to_tiles(pixels: DataFrame, dims: DataFrame, wcs: DataFrame | None = None) -
     return t.join(wcs.select("brick", "wcs"), "brick", "left")
 
 
-def catalog_of_files(files: DataFrame, bcfg: BackgroundConfig = BackgroundConfig(), dcfg: DetectConfig = DetectConfig(), mcfg: MeasureConfig = MeasureConfig()) -> DataFrame:
+def catalog_of_files(files: DataFrame, bcfg: BackgroundConfig = BackgroundConfig(), dcfg: DetectConfig = DetectConfig(), mcfg: MeasureConfig = MeasureConfig(), progress: Progress | None = None) -> DataFrame:
     """Catalog rows of image files ``(path, content)``: decoded and measured in the task that reads them.
 
     A file that cannot be read gives one row with ``error_kind`` and ``error`` and no source.
+    ``progress`` is told of every file.
     """
     tune(files.sparkSession)
+    seen = progress and progress.seen
     named = files.select("path", brick_name(F.col("path"), F.lit("unknown")).alias("brick"), "content")
 
     def run(batches):
         for b in batches:
             for path, brick, content in zip(b["path"], b["brick"], b["content"]):
+                began, failed = time.perf_counter(), None
                 try:
                     image, w = fits.read_image(bytes(content))
                     out = _frame(brick, tile.process(image, w, bcfg, dcfg, mcfg)).assign(path=path, error_kind=None, error=None)
                 except fits.FitsError as e:
-                    out = pd.DataFrame([{c: None for c in COLUMNS} | {"brick": brick, "path": path, "error_kind": e.kind, "error": str(e)}])
+                    failed = str(e)
+                    out = pd.DataFrame([{c: None for c in COLUMNS} | {"brick": brick, "path": path, "error_kind": e.kind, "error": failed}])
+                if seen is not None:
+                    seen.add({path: (brick, 0 if failed else len(out), time.perf_counter() - began, failed)})
                 yield out
 
     return named.mapInPandas(run, CATALOG + ", path string, error_kind string, error string")
@@ -124,22 +135,24 @@ def _raise(rows: DataFrame) -> None:
         raise OSError(f"{bad.path}: {bad.error}")
 
 
-def run(spark: SparkSession, data_dir: str, band: str = "r", dedup_arcsec: float = 1.0, same_brick: bool = True, on_error: str = "skip", **cfg) -> DataFrame:
-    """Combined, de-duplicated catalog of a folder in right-ascension order.
+def run(spark: SparkSession, data_dir: str, band: str = "r", dedup_arcsec: float = 1.0, same_brick: bool = True, on_error: str = "skip", say: Callable[[str], None] | None = None, **cfg) -> DataFrame:
+    """Combined, de-duplicated catalog of a folder in right-ascension order; ``say`` gets a line an image.
 
     ``same_brick`` also merges inside a brick.  A folder without images raises; bad files are left
     out, or raise with ``on_error="fail"``.  Images are measured once: the raw catalog is written
     before de-duplication reads it.
     """
     files = images._files(spark, data_dir, f"legacysurvey-*-image-{band}.fits.fz")
-    if not files.select("path").limit(1).count():
+    total = files.select("path").count()
+    if not total:
         raise ValueError(f"no images of band {band} in {data_dir}")
-    return combined(files.repartition(max(1, len(files.inputFiles())), "path"), dedup_arcsec, same_brick, on_error, **cfg)
+    return combined(files.repartition(total, "path"), dedup_arcsec, same_brick, on_error, say and Progress(spark, total, say), **cfg)
 
 
-def combined(files: DataFrame, dedup_arcsec: float = 1.0, same_brick: bool = True, on_error: str = "skip", **cfg) -> DataFrame:
+def combined(files: DataFrame, dedup_arcsec: float = 1.0, same_brick: bool = True, on_error: str = "skip", progress: Progress | None = None, **cfg) -> DataFrame:
     """``run`` over given files ``(path, content)``."""
-    rows = cut(catalog_of_files(files, **cfg))
+    with progress or nullcontext():
+        rows = cut(catalog_of_files(files, progress=progress, **cfg))
     if on_error == "fail":
         _raise(rows)
     # rows keep the order of files and detections on ties

@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
+from .functions import sql
 from .functions.scalar import brick_name, finite, is_brick, megapixels, pix_to_sky, plate_scale, q
 from .operators import background, convolve, dedup, detect, measure, mosaic, summaries, viewer
 from .plans import pipeline
 from .plans.durable import cut, shared_dir
-from .sources import fits, sinks, views
+from .sources import fits, sinks, strips, views
 
 BG, DET, MES = BackgroundConfig(mesh=16), DetectConfig(thresh=0.5), MeasureConfig()
 VIEW = {"cx": 400.0, "cy": 300.0, "pan_x": 32.0, "pan_y": 32.0, "zoom": 8.0}
@@ -71,19 +72,24 @@ SOURCE_COLS = ("brick", "label", "npix", "x", "y", "ra", "dec", "a", "b", "theta
 FLOATS = ("x", "y", "ra", "dec", "a", "b", "theta", "ellipticity", "kron_radius", "flux_iso", "flux_auto", "peak_snr")
 
 
-def _wcs_points(s: Stages) -> DataFrame:
-    pts = s.wcs.select("brick", "wcs", F.explode(F.array(*[F.struct(F.lit(n).alias("point"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for n, x, y in POINTS])).alias("p"))
+def _wcs_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners and centre of an image for each supplier's projection, some of them rotated and some missing."""
+    n = F.col("s_nationkey").cast("double")
+    pts = views.supplier_wcs(spark, sf_dir).select("s_suppkey", "s_nationkey", "wcs", F.explode(F.array(*[F.struct(F.lit(k).alias("point"), (n * a + b).alias("x"), (n * c + d).alias("y")) for k, a, b, c, d in POINTS])).alias("p"))
     ra, dec = pix_to_sky("wcs", F.col("p.x"), F.col("p.y"))
-    out = pts.select("brick", "p.point", ra.alias("ra"), dec.alias("dec"), plate_scale("wcs").alias("scale"), megapixels(F.lit(SIDE * 40), F.lit(SIDE * 40)).cast("long").alias("megapixels"))
-    return _q(out, "ra", "dec", "scale", digits=7)
+    side = F.col("s_nationkey").cast("int") * 100 + 500
+    return _q(pts.select("s_suppkey", "p.point", ra.alias("ra"), dec.alias("dec"), plate_scale("wcs").alias("scale"), megapixels(side, side + 17).cast("long").alias("megapixels")), "ra", "dec", "scale", digits=7)
 
 
-POINTS = (("centre", SIDE / 2 - 0.5, SIDE / 2 - 0.5), ("first", 0, 0), ("last", SIDE - 1, SIDE - 1), ("far", 100, -3))
+POINTS = (("first", 0, 0, 0, 0), ("centre", 0.5, 31.5, 0.5, 40.0), ("last", 1, 63, 1, 80), ("far", -3, 100, 7, -3))
 
 
-def _field_of_view(s: Stages) -> DataFrame:
-    a, b = pix_to_sky("wcs", F.lit(0.0), F.lit(0.0)), pix_to_sky("wcs", F.lit(float(SIDE - 1)), F.lit(float(SIDE - 1)))
-    return _q(s.wcs.select("brick", F.abs(b[0] - a[0]).alias("fov")), "fov", digits=7)
+def _field_of_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extent in right ascension of each supplier's image."""
+    w = views.supplier_wcs(spark, sf_dir)
+    last = F.col("s_nationkey").cast("double") + 63.0
+    a, b = pix_to_sky("wcs", F.lit(0.0), F.lit(0.0)), pix_to_sky("wcs", last, last)
+    return _q(w.select("s_suppkey", F.abs(b[0] - a[0]).alias("fov")), "fov", digits=7)
 
 
 def _first_pass(s: Stages) -> DataFrame:
@@ -93,8 +99,15 @@ def _first_pass(s: Stages) -> DataFrame:
 
 
 def _kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(sig, k - len(t) // 2, x) for sig in (0.5, 1.0, 1.6, 3.0) for t in [convolve.gaussian_kernel(sig)] for k, x in enumerate(t)]
-    return _q(spark.createDataFrame(rows, "sigma double, k int, tap double"), "tap", digits=9)
+    """The taps of a filter whose width grows with the key of a nation."""
+
+    def run(batches):
+        for b in batches:
+            for key in b["n_nationkey"]:
+                taps = convolve.gaussian_kernel(0.5 + int(key) / 8)
+                yield pd.DataFrame({"n_nationkey": int(key), "k": np.arange(len(taps), dtype=np.int32) - len(taps) // 2, "tap": taps})
+
+    return _q(views.table(spark, sf_dir, "nation").select("n_nationkey").mapInPandas(run, "n_nationkey long, k int, tap double"), "tap", digits=9)
 
 
 def _raw_kron(s: Stages) -> DataFrame:
@@ -167,26 +180,26 @@ def _file_errors(s: Stages) -> DataFrame:
     return rows.where("error is not null").select("path", "error_kind").unionByName(rows.where("error is null").select("path", F.lit("none").alias("error_kind")).distinct())
 
 
-HEADER_WCS = {k.lower(): v for k, v in zip(fits.WCS_KEYS, (32.5, 31.5, 187.25, 12.5, -0.0001, 0.00002, 0.00003, 0.0001))}
-
-
 def _wcs_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinates from the headers of all three kinds of units, whole or with one key missing."""
+    """Each supplier's projection written to the header of an image of one of three kinds, whole or with one key missing, and read back."""
+    keys = [k.lower() for k in fits.WCS_KEYS]
 
     def run(batches):
         for b in batches:
             rows = []
-            for kind, missing in zip(b["kind"], b["missing"]):
-                coords = {k: v for k, v in HEADER_WCS.items() if k != missing}
-                x = np.arange(12).reshape(3, 4)
-                data = fits.write_rice_image(x, coords) if kind == "tiles" else fits.write_image(x, -32, coords, leading_empty=kind == "extension")
+            for r in b.to_dict("records"):
+                given = r["wcs"] if isinstance(r["wcs"], dict) else dict.fromkeys(keys)
+                coords = {k: given[k] for k in keys if given[k] is not None and k != r["missing"]}
+                x = np.arange(12).reshape(3, 4) + int(r["s_nationkey"])
+                data = fits.write_rice_image(x, coords) if r["kind"] == "tiles" else fits.write_image(x, -32, coords, leading_empty=r["kind"] == "extension")
                 image, w = fits.read_image(data)
-                rows.append((kind, missing, int(image.sum()), *(w or dict.fromkeys(HEADER_WCS)).values()))
-            yield pd.DataFrame(rows, columns=["kind", "missing", "total", *HEADER_WCS]).astype(dict.fromkeys(HEADER_WCS, float))
+                rows.append((int(r["s_suppkey"]), r["kind"], int(image.sum()), *(w or dict.fromkeys(keys)).values()))
+            yield pd.DataFrame(rows, columns=["s_suppkey", "kind", "total", *keys]).astype(dict.fromkeys(keys, float))
 
-    cases = spark.createDataFrame([(kind, key) for kind in ("primary", "extension", "tiles") for key in ("", *HEADER_WCS)], "kind string, missing string")
-    out = cases.mapInPandas(run, "kind string, missing string, total long, " + ", ".join(f"{k} double" for k in HEADER_WCS))
-    return out.select("kind", "missing", "total", *[F.nanvl(F.col(k), F.lit(None)).alias(k) for k in HEADER_WCS])
+    kind, missing = F.expr("element_at(array('primary', 'extension', 'tiles'), cast(s_suppkey % 3 + 1 as int))"), F.get(F.array(*map(F.lit, keys)), (F.col("s_suppkey") % 13).cast("int"))
+    cases = views.supplier_wcs(spark, sf_dir).withColumn("kind", kind).withColumn("missing", missing)
+    out = cases.mapInPandas(run, "s_suppkey long, kind string, total long, " + ", ".join(f"{k} double" for k in keys))
+    return _q(out.select("s_suppkey", "kind", "total", *[F.nanvl(F.col(k), F.lit(None)).alias(k) for k in keys]), *keys, digits=9)
 
 
 def _csv_single(s: Stages) -> DataFrame:
@@ -306,6 +319,45 @@ def _csv_file(s: Stages) -> DataFrame:
     return sinks.read_csv(s.spark, path).select(F.col("value").alias("line"))
 
 
+def _sql_detect(s: Stages) -> DataFrame:
+    """The table function, an image a partition, over the pixels of the view."""
+    name = f"_{uuid.uuid4().hex}"
+    s.px.createOrReplaceTempView("pixel" + name)
+    sql.register(s.spark)
+    found = s.spark.sql(f"SELECT * FROM detect_sources(TABLE(pixel{name}) PARTITION BY brick, {BG.mesh}, {DET.thresh}D)")
+    cols = [c for c in SOURCE_COLS if c not in ("ra", "dec")]
+    return _q(found.select(*cols), *[c for c in FLOATS if c in cols])
+
+
+def _sql_views(s: Stages) -> DataFrame:
+    """A report in SQL over the views of one run."""
+    name = f"_{uuid.uuid4().hex}"
+    sql.create_views(s.px, s.dims, s.wcs, BG, DET, MES, name)
+    out = s.spark.sql(f"""SELECT p.brick, pixels, cells, level, found, sources, brightest, first_ra FROM (SELECT brick, count(*) AS pixels FROM pixel{name} GROUP BY brick) p
+        JOIN (SELECT brick, count(*) AS cells, avg(bg) AS level FROM bg_grid{name} GROUP BY brick) g ON g.brick = p.brick
+        LEFT JOIN (SELECT brick, count(*) AS found FROM detection{name} WHERE npix >= 10 GROUP BY brick) d ON d.brick = p.brick
+        LEFT JOIN (SELECT brick, count(*) AS sources, max(flux_auto) AS brightest, min(ra) AS first_ra FROM catalog{name} GROUP BY brick) c ON c.brick = p.brick""")
+    return _q(out, "level", "brightest", "first_ra")
+
+
+def _written(s: Stages) -> str:
+    """A folder of its own with the bricks as compressed image files."""
+    folder = f"{shared_dir(s.spark)}/skyframe/files/{uuid.uuid4().hex}"
+    sinks.write_files(_files(s).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), folder)
+    return folder
+
+
+def _strip_pixels(s: Stages) -> DataFrame:
+    """Each image decoded by four tasks, each from its own bytes."""
+    return strips.pixels(strips.read_strips(s.spark, _written(s), 4))
+
+
+def _headers(s: Stages) -> DataFrame:
+    """Sizes and coordinates from header blocks alone."""
+    h = strips.headers(s.spark, _written(s))
+    return _q(h.select("brick", "band", "nrows", "ncols", F.col("wcs.crval1").alias("crval1"), F.col("wcs.cd1_1").alias("cd1_1"), "error_kind"), "crval1", "cd1_1", digits=9)
+
+
 TILE = SIDE // 4  # each brick as 16 sub-tiles
 
 
@@ -317,8 +369,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_pixels": _lin(lambda s: s.px),
     "image_stats": _lin(lambda s: _q(summaries.image_stats(s.px), "vmean")),
     "sky_patch": _lin(lambda s: summaries.sky_patch(s.px, s.dims)),
-    "wcs_points": _lin(_wcs_points),
-    "field_of_view": _lin(_field_of_view),
+    "wcs_points": _wcs_points,
+    "field_of_view": _field_of_view,
     "clip_first_pass": _lin(_first_pass),
     "bg_grid": _lin(lambda s: _q(s.grid.withColumn("n", F.col("n").cast("long")), "bg", "rms")),
     "bg_summary": _lin(lambda s: _q(summaries.grid_summary(s.grid), "bg_min", "bg_max", "bg_mean", "rms_min", "rms_max", "rms_mean")),
@@ -342,6 +394,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edge_flags": _lin(_edge_flags),
     "measurements": _lin(_catalog),
     "measurements_tile": _lin(_tile_catalog),
+    "strips": _lin(_strip_pixels),
+    "headers": _lin(_headers),
+    "sql_detect": _lin(_sql_detect),
+    "sql_views": _lin(_sql_views),
     "smooth_mosaic": _lin(lambda s: _q(mosaic.smooth(s.px, "v", DET.sigma, TILE).select(*PIXEL, "f"), "f")),
     "labels_mosaic": _lin(lambda s: mosaic.label_components(s.mask, TILE).select(*PIXEL, "label")),
     "measurements_mosaic": _lin(_mosaic_catalog),
@@ -461,6 +517,11 @@ SKY = """SELECT o_orderkey AS id, o_orderpriority AS brick, 187e0 + ((o_orderkey
     CAST(CAST(floor(o_totalprice) AS BIGINT) % 40 + 5 AS INT) AS npix FROM orders"""
 
 
+WCS_SQL = """SELECT *, CASE WHEN has THEN 100.5e0 + s_suppkey % 50 END AS crpix1, CASE WHEN has THEN 80e0 + s_suppkey % 40 END AS crpix2, CASE WHEN has THEN 150e0 + s_nationkey * 2.5e0 END AS crval1, CASE WHEN has THEN s_suppkey % 60 - 30e0 END AS crval2,
+    CASE WHEN has THEN -1e-5 * (1 + s_suppkey % 7) END AS cd1_1, CASE WHEN has THEN 1e-6 * (s_suppkey % 5 - 2) END AS cd1_2, CASE WHEN has THEN 1e-6 * (s_suppkey % 3 - 1) END AS cd2_1, CASE WHEN has THEN 1e-5 * (1 + s_suppkey % 6) END AS cd2_2
+    FROM (SELECT s_suppkey, s_nationkey, s_suppkey % 11 <> 0 AS has FROM supplier)"""
+
+
 EMB = "SELECT 'emb' AS brick, CAST(vec_id AS INT) AS row, CAST(unnest(range(64)) AS INT) AS col, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"
 
 
@@ -515,15 +576,15 @@ ORACLES: dict[str, str] = {
     "scan_pixels": _with("SELECT * FROM px"),
     "image_stats": _with(f"SELECT brick, count(v) AS n_valid, count(*) - count(v) AS n_bad, min(v) AS vmin, max(v) AS vmax, {_sql_q('avg(v)')} AS vmean, {_MED.format(x='v')} AS vmedian FROM px GROUP BY brick"),
     "sky_patch": _with(f"SELECT brick, {_MED.format(x='v')} AS sky FROM px WHERE row >= {SIDE // 4} AND row < {3 * SIDE // 4} AND col >= {SIDE // 4} AND col < {3 * SIDE // 4} GROUP BY brick"),
-    "wcs_points": _with("SELECT brick, point, " + _sql_q("v1 - t * (x + 1 - p)", 7) + " AS ra, " + _sql_q("v2 + t * (y + 1 - p)", 7) + " AS dec, " + _sql_q("t * 3600", 7) + f" AS scale, CAST({SIDE * 40 * SIDE * 40} // 1000000 AS BIGINT) AS megapixels FROM wcs, (VALUES " + ", ".join(f"('{n}', {float(x)!r}e0, {float(y)!r}e0)" for n, x, y in POINTS) + ") pt(point, x, y)"),
-    "field_of_view": _with("SELECT brick, " + _sql_q(f"t * {SIDE - 1}", 7) + " AS fov FROM wcs"),
+    "wcs_points": "SELECT s_suppkey, point, " + _sql_q("crval1 + cd1_1 * (x + 1 - crpix1) + cd1_2 * (y + 1 - crpix2)", 7) + " AS ra, " + _sql_q("crval2 + cd2_1 * (x + 1 - crpix1) + cd2_2 * (y + 1 - crpix2)", 7) + " AS dec, " + _sql_q("sqrt(cd1_1 * cd1_1 + cd2_1 * cd2_1) * 3600", 7) + " AS scale, CAST((s_nationkey * 100 + 500) * (s_nationkey * 100 + 517) // 1000000 AS BIGINT) AS megapixels FROM (" + WCS_SQL + ") w, (SELECT s_suppkey AS key, unnest([" + ", ".join(f"{{'point': '{n}', 'x': {float(a)!r}e0 * s_nationkey + {float(b)!r}e0, 'y': {float(c)!r}e0 * s_nationkey + {float(d)!r}e0}}" for n, a, b, c, d in POINTS) + "], recursive := true) FROM supplier) p WHERE p.key = w.s_suppkey",
+    "field_of_view": "SELECT s_suppkey, " + _sql_q("abs((crval1 + cd1_1 * (s_nationkey + 63e0 + 1 - crpix1) + cd1_2 * (s_nationkey + 63e0 + 1 - crpix2)) - (crval1 + cd1_1 * (1 - crpix1) + cd1_2 * (1 - crpix2)))", 7) + " AS fov FROM (" + WCS_SQL + ")",
     "clip_first_pass": _with("SELECT brick, CAST(gr AS INT) AS gr, CAST(gc AS INT) AS gc, len(arg_max(px, it)) AS kept, arg_min(px, it)[len(arg_min(px, it)) // 2 + 1] AS median FROM clip WHERE it <= 1 GROUP BY brick, gr, gc"),
     "bg_grid": _with(f"SELECT brick, gr, gc, n, {_cols('bg', 'rms')} FROM g"),
     "bg_summary": _with("SELECT brick, max(gr) + 1 AS grid_rows, max(gc) + 1 AS grid_cols, " + ", ".join(f"{_sql_q(f'{f}({c})')} AS {c}_{n}" for c in ("bg", "rms") for f, n in (("min", "min"), ("max", "max"), ("avg", "mean"))) + " FROM g GROUP BY brick"),
     "bg_full": _with(f"SELECT brick, row, col, {_cols('bg', 'rms')} FROM full_"),
     "residual": _with(f"SELECT brick, row, col, {_cols('res')} FROM res"),
     "residual_stats": _with(f"SELECT brick, {_sql_q('avg(res)')} AS res_mean, {_sql_q(_MED.format(x='res'))} AS res_median, {_sql_q('stddev_pop(res)')} AS res_rms FROM res GROUP BY brick"),
-    "kernel": "WITH t AS (SELECT s AS sigma, CAST(unnest(range(-CAST(ceil(3 * s) AS BIGINT), CAST(ceil(3 * s) AS BIGINT) + 1)) AS INT) AS k FROM (VALUES (0.5e0), (1e0), (1.6e0), (3e0)) v(s)) SELECT sigma, k, " + _sql_q("exp(-(k * k) / (2 * sigma * sigma)) / sum(exp(-(k * k) / (2 * sigma * sigma))) OVER (PARTITION BY sigma)", 9) + " AS tap FROM t",
+    "kernel": "WITH t AS (SELECT n_nationkey, 0.5e0 + n_nationkey / 8e0 AS sigma, CAST(unnest(range(-CAST(ceil(3 * (0.5e0 + n_nationkey / 8e0)) AS BIGINT), CAST(ceil(3 * (0.5e0 + n_nationkey / 8e0)) AS BIGINT) + 1)) AS INT) AS k FROM nation) SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, k, " + _sql_q("exp(-(k * k) / (2 * sigma * sigma)) / sum(exp(-(k * k) / (2 * sigma * sigma))) OVER (PARTITION BY n_nationkey)", 9) + " AS tap FROM t",
     "conv_h": _with(f"SELECT brick, row, col, {_cols('f')} FROM ({_taps('v', 'row', 'col').format(out='f', src='px')})"),
     "conv_hv": _with(f"SELECT brick, row, col, {_cols('f')} FROM ({_taps('h', 'col', 'row').format(out='f', src='(' + _taps('v', 'row', 'col').format(out='h', src='px') + ')')})"),
     "snr_map": _with(f"SELECT brick, row, col, {_cols('snr')} FROM snr"),
@@ -564,7 +625,7 @@ ORACLES: dict[str, str] = {
     "csv_single": _with("SELECT brick, label, concat_ws(',', " + ", ".join(f"CAST({f} AS VARCHAR)" if d is None else f"coalesce(printf('%.{d}f', CAST({f} AS DOUBLE)), 'nan')" for _, f, d in sinks.CSV) + ") AS line FROM cat"),
     "run_files": _with(f"SELECT brick, label, npix, {_cols(*FLOATS)}, flags FROM cat"),
     "file_errors": _with("SELECT '/data/legacysurvey-' || brick || '-image-r.fits.fz' AS path, 'none' AS error_kind FROM (SELECT DISTINCT brick FROM raw) UNION ALL SELECT '/data/legacysurvey-bad-image-r.fits.fz', 'fits'"),
-    "wcs_headers": "SELECT kind, missing, CAST(66 AS BIGINT) AS total, " + ", ".join(f"CASE WHEN missing = '' THEN CAST('{v!r}' AS DOUBLE) END AS {k}" for k, v in HEADER_WCS.items()) + " FROM (VALUES ('primary'), ('extension'), ('tiles')) a(kind), (VALUES (''), " + ", ".join(f"('{k}')" for k in HEADER_WCS) + ") b(missing)",
+    "wcs_headers": "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, ['primary', 'extension', 'tiles'][s_suppkey % 3 + 1] AS kind, CAST(66 + 12 * s_nationkey AS BIGINT) AS total, " + ", ".join(f"CASE WHEN s_suppkey % 13 >= 8 THEN {_sql_q(k.lower(), 9)} END AS {k.lower()}" for k in fits.WCS_KEYS) + " FROM (" + WCS_SQL + ")",
     "null_stats": _with(f"SELECT brick, count(v) AS n_valid, count(*) - count(v) AS n_bad, min(v) AS vmin, max(v) AS vmax, {_sql_q('avg(v)')} AS vmean, list_sort(list(v) FILTER (v IS NOT NULL))[CAST(count(v) // 2 + 1 AS INT)] AS vmedian FROM px GROUP BY brick", _NULL_CTES),
     "null_grid": _with(f"SELECT brick, gr, gc, n, {_cols('bg', 'rms')} FROM g", _NULL_CTES),
     "null_smooth": _with(f"SELECT brick, row, col, {_cols('f')} FROM ({_taps('h', 'col', 'row').format(out='f', src='(' + _taps('v', 'row', 'col').format(out='h', src='(SELECT brick, row, col, coalesce(v, 0e0) AS v FROM px)') + ')')})", _NULL_CTES),
@@ -574,3 +635,13 @@ ORACLES |= {
     "fits_file": _with("SELECT row_number() OVER (ORDER BY brick, label) AS place, brick, npix, CAST(flags AS INT) AS flags, " + _cols("x", "y", "ra", "dec") + ", " + ", ".join(f"{_sql_q(f'CAST(CAST({c} AS FLOAT) AS DOUBLE)', 2)} AS {c}" for c in TABLE_FLOATS) + " FROM cat"),
     "csv_file": f"SELECT line FROM ({ORACLES['csv_rows']})",
 }
+ORACLES |= {
+    "sql_detect": _with("SELECT brick, label, npix, flags, " + _cols(*[c for c in FLOATS if c not in ("ra", "dec")]) + " FROM cat"),
+    "sql_views": _with(f"""SELECT p.brick, pixels, cells, {_sql_q('level')} AS level, found, sources, {_sql_q('brightest')} AS brightest, {_sql_q('first_ra')} AS first_ra FROM (SELECT brick, count(*) AS pixels FROM px GROUP BY brick) p
+        JOIN (SELECT brick, count(*) AS cells, avg(bg) AS level FROM g GROUP BY brick) g_ USING (brick) LEFT JOIN (SELECT brick, count(*) AS found FROM det WHERE npix >= 10 GROUP BY brick) d USING (brick)
+        LEFT JOIN (SELECT brick, count(*) AS sources, max(flux_auto) AS brightest, min(ra) AS first_ra FROM cat GROUP BY brick) c USING (brick)"""),
+}
+ORACLES |= {
+    "strips": ORACLES["scan_pixels"],
+    "headers": _with(f"SELECT brick, 'r' AS band, {SIDE} AS nrows, {SIDE} AS ncols, {_sql_q('v1', 9)} AS crval1, {_sql_q('-t', 9)} AS cd1_1, CAST(NULL AS VARCHAR) AS error_kind FROM (SELECT DISTINCT brick FROM raw) LEFT JOIN wcs USING (brick) UNION ALL SELECT 'bad', 'r', NULL, NULL, NULL, NULL, 'fits'"),
+}

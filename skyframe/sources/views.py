@@ -56,6 +56,12 @@ def wcs(spark: SparkSession, bricks: int = LIN_BRICKS, side: int = LIN_SIDE) ->
     )
 
 
+def supplier_wcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear projection for each supplier, rotated by some, missing for one in eleven."""
+    terms = "100.5D + s_suppkey % 50 as crpix1, 80D + s_suppkey % 40 as crpix2, 150D + s_nationkey * 2.5D as crval1, s_suppkey % 60 - 30D as crval2, -1e-5D * (1 + s_suppkey % 7) as cd1_1, 1e-6D * (s_suppkey % 5 - 2) as cd1_2, 1e-6D * (s_suppkey % 3 - 1) as cd2_1, 1e-5D * (1 + s_suppkey % 6) as cd2_2"
+    return table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as long) as s_suppkey", "cast(s_nationkey as long) as s_nationkey", f"if(s_suppkey % 11 <> 0, struct({terms}), null) as wcs")
+
+
 def sky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sky_of(table(spark, sf_dir, "orders"))
 

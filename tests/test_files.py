@@ -273,3 +273,108 @@ def test_a_failed_task_writes_again(tmp_path):
     assert done.returncode == 0, done.stderr[-1500:]
     assert (tmp_path / "failed").exists() and not (tmp_path / "out.txt.draft").exists()
     assert (tmp_path / "out.txt").read_text() == "head\n" + "".join(f"{i}\n" for i in range(5000))
+
+
+def test_progress_of_a_retried_run(tmp_path):
+    """A task fails after its first image and runs again: each image is said once, the broken one as failed."""
+    import subprocess
+    import sys
+
+    for k in range(5):
+        (tmp_path / f"legacysurvey-000{k}m002-image-r.fits.fz").write_bytes(fits.write_image(noisy(k), -32, WCS))
+    (tmp_path / "legacysurvey-0009m002-image-r.fits.fz").write_bytes(b"broken")
+    script = f"""
+import os, sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from skyframe.config import BackgroundConfig, DetectConfig
+from skyframe.plans import pipeline
+from skyframe.plans.progress import Progress
+
+folder = {str(tmp_path)!r}
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", folder + "/shared").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+
+
+def fails_once(batches):
+    n = 0
+    for b in batches:
+        for k in range(len(b)):
+            yield b.iloc[k : k + 1]
+            n += 1
+            if n == 2 and TaskContext.get().attemptNumber() == 0:
+                open(f"{{folder}}/failed{{TaskContext.get().partitionId()}}", "w").close()
+                raise RuntimeError("lost")
+
+
+files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fz").load(folder).select("path", "content").coalesce(2)
+p = Progress(spark, 6)
+pipeline.combined(files.mapInPandas(fails_once, "path string, content binary"), progress=p, bcfg=BackgroundConfig(mesh=16), dcfg=DetectConfig(thresh=0.5)).count()
+"""
+    (tmp_path / "job.py").write_text(script)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, str(tmp_path / "job.py")], env=os.environ | {"PYTHONPATH": root, "SPARK_LOCAL_IP": "127.0.0.1"}, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-1500:]
+    said = [x for x in done.stdout.splitlines() if x.startswith("[")]
+    assert any(p.name.startswith("failed") for p in tmp_path.iterdir())
+    assert [x.split("]")[0] for x in said] == [f"[{k}/6" for k in range(1, 7)]
+    assert sorted(x.split()[1] for x in said) == [*(f"000{k}m002" for k in range(5)), "0009m002"]
+    assert sum("FAILED" in x for x in said) == 1 and sum("→" in x and "sources" in x for x in said) == 5
+
+
+def images_of_all_kinds(folder):
+    """Plain, behind an empty unit, RICE with odd sizes, and quantised tiles."""
+    rng, made = np.random.default_rng(8), {}
+    for k, (name, shape) in enumerate({"plain": (37, 21), "later": (12, 30), "rice": (41, 17), "quant": (23, 40), "tiny": (2, 3)}.items()):
+        x = np.round(rng.normal(100, 30, shape))
+        data = fits.write_rice_image(x, WCS, 0.5 if name == "quant" else None) if name in ("rice", "quant") else fits.write_image(x, (-32, 16, 0, 0, -64)[k], WCS, leading_empty=name == "later")
+        (folder / f"survey-{name}-image-{'rg'[k % 2]}.fits.fz").write_bytes(data)
+        made[name] = fits.read_image(data)[0]
+    return made
+
+
+@pytest.mark.parametrize("splits", [1, 4, 50])
+def test_strips_make_up_the_image(spark, tmp_path, splits):
+    """Shares of tiles and rows, more shares than rows too; each byte is read about once."""
+    from skyframe.sources import strips
+
+    made = images_of_all_kinds(tmp_path)
+    rows = strips.read_strips(spark, str(tmp_path), splits).collect()
+    assert len(rows) == splits * len(made)
+    for name, want in made.items():
+        mine = sorted((r for r in rows if r.brick == name and r.data), key=lambda r: r.row0)
+        got = np.concatenate([np.array(r.data, np.float32).reshape(-1, r.ncols) for r in mine])
+        assert np.array_equal(got, want, equal_nan=True) and (r := mine[0]).wcs.crval1 == 187.0 and (r.nrows, r.ncols) == want.shape
+    if splits == 4:
+        big = tmp_path / "big"
+        big.mkdir()
+        (big / "survey-big-image-r.fits.fz").write_bytes(fits.write_rice_image(np.round(np.random.default_rng(1).normal(0, 500, (800, 300))), WCS))
+        size = (big / "survey-big-image-r.fits.fz").stat().st_size
+        parts = strips.read_strips(spark, str(big), 4).collect()
+        assert sum(r.bytes_read for r in parts) < size + 4 * 4 * 2880 and max(r.bytes_read for r in parts) < 0.3 * size + 4 * 2880
+        assert {tuple(r) for r in strips.pixels(strips.read_strips(spark, str(big), 4)).where("row = 333").collect()} == {tuple(r) for r in images.pixels(images.read_images(spark, str(big), glob="*.fz")).where("row = 333").collect()}
+
+
+def test_headers_read_no_pixels(spark, tmp_path):
+    """A file whose pixels are gone still has a header; filters on names open no other file."""
+    from skyframe.plans.durable import setting
+    from skyframe.sources import strips
+
+    made = images_of_all_kinds(tmp_path)
+    whole = (tmp_path / "survey-rice-image-r.fits.fz").read_bytes()
+    (tmp_path / "survey-cut-image-r.fits.fz").write_bytes(whole[: 2880 * 3])
+    (tmp_path / "survey-bad-image-g.fits.fz").write_bytes(b"broken")
+    (tmp_path / "survey-none-image-g.fits.fz").write_bytes(fits.write_image(np.zeros(5), -32))
+    got = {r.brick: r for r in strips.headers(spark, str(tmp_path)).collect()}
+    assert {n: (got[n].nrows, got[n].ncols) for n in made} == {n: x.shape for n, x in made.items()}
+    assert (got["cut"].nrows, got["cut"].ncols) == made["rice"].shape and all(r.bytes_read <= 3 * 2880 for r in got.values())
+    assert (got["bad"].error_kind, got["none"].error_kind) == ("fits", "no_image")
+    with setting(spark, "spark.sql.python.filterPushdown.enabled", "true"):
+        for source in (strips.FitsHeaderSource, strips.FitsStripSource):
+            spark.dataSource.register(source)
+            load = lambda: spark.read.format(source.name()).option("pushdown", "true").load(str(tmp_path))  # noqa: E731, B023
+            one = load().where("brick = 'plain' and band = 'r' and nrows > 3")
+            assert {r.brick for r in one.collect()} == {"plain"}
+            assert one.rdd.getNumPartitions() == (1 if source is strips.FitsHeaderSource else 4)
+            assert {r.brick for r in load().where("brick in ('tiny', 'later', 'x')").collect()} == {"tiny", "later"}
+            assert load().where("brick = 'plain' and brick = 'rice'").count() == 0 and load().where("ncols = 21").select("brick").distinct().count() == 1
