@@ -1,6 +1,6 @@
 """The engine in SQL: a table function for detection and views over one set of images.
 
-    SELECT * FROM detect_sources(TABLE(pixel) PARTITION BY brick, 64, 1.5)
+    SELECT * FROM detect_sources(TABLE(pixel) PARTITION BY (brick), 64, 1.5D)
 
 takes each image of ``pixel(brick, row, col, v)`` to one task and gives its catalog in pixel
 coordinates.  ``create_views`` names the steps of the relational form: ``pixel, bg_grid, detection,

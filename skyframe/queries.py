@@ -324,7 +324,7 @@ def _sql_detect(s: Stages) -> DataFrame:
     name = f"_{uuid.uuid4().hex}"
     s.px.createOrReplaceTempView("pixel" + name)
     sql.register(s.spark)
-    found = s.spark.sql(f"SELECT * FROM detect_sources(TABLE(pixel{name}) PARTITION BY brick, {BG.mesh}, {DET.thresh}D)")
+    found = s.spark.sql(f"SELECT * FROM detect_sources(TABLE(pixel{name}) PARTITION BY (brick), {BG.mesh}, {DET.thresh}D)")
     cols = [c for c in SOURCE_COLS if c not in ("ra", "dec")]
     return _q(found.select(*cols), *[c for c in FLOATS if c in cols])
 
@@ -355,7 +355,7 @@ def _strip_pixels(s: Stages) -> DataFrame:
 def _headers(s: Stages) -> DataFrame:
     """Sizes and coordinates from header blocks alone."""
     h = strips.headers(s.spark, _written(s))
-    return _q(h.select("brick", "band", "nrows", "ncols", F.col("wcs.crval1").alias("crval1"), F.col("wcs.cd1_1").alias("cd1_1"), "error_kind"), "crval1", "cd1_1", digits=9)
+    return _q(h.select("brick", "band", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nrows", "ncols")], F.col("wcs.crval1").alias("crval1"), F.col("wcs.cd1_1").alias("cd1_1"), F.coalesce("error_kind", F.lit("none")).alias("error_kind")), "crval1", "cd1_1", digits=9)
 
 
 TILE = SIDE // 4  # each brick as 16 sub-tiles
@@ -643,5 +643,5 @@ ORACLES |= {
 }
 ORACLES |= {
     "strips": ORACLES["scan_pixels"],
-    "headers": _with(f"SELECT brick, 'r' AS band, {SIDE} AS nrows, {SIDE} AS ncols, {_sql_q('v1', 9)} AS crval1, {_sql_q('-t', 9)} AS cd1_1, CAST(NULL AS VARCHAR) AS error_kind FROM (SELECT DISTINCT brick FROM raw) LEFT JOIN wcs USING (brick) UNION ALL SELECT 'bad', 'r', NULL, NULL, NULL, NULL, 'fits'"),
+    "headers": _with(f"SELECT brick, 'r' AS band, {SIDE} AS nrows, {SIDE} AS ncols, {_sql_q('v1', 9)} AS crval1, {_sql_q('-t', 9)} AS cd1_1, 'none' AS error_kind FROM (SELECT DISTINCT brick FROM raw) LEFT JOIN wcs USING (brick) UNION ALL SELECT 'bad', 'r', 0, 0, NULL, NULL, 'fits'"),
 }
