@@ -175,6 +175,24 @@ def _run_files(s: Stages) -> DataFrame:
     return _q(pipeline.combined(_files(s), dedup_arcsec=1e-3, bcfg=BG, dcfg=DET, mcfg=MES).select(*SOURCE_COLS), *FLOATS)
 
 
+OVERLAP = 6.0  # seconds of arc between the corners of neighbouring bricks
+NEAR = DedupConfig(2.0, True)
+
+
+def _run_overlap(s: Stages) -> DataFrame:
+    """The whole run over bricks that lie over each other, so that de-duplication takes sources out."""
+    s.wcs = s.wcs.withColumn("wcs", F.col("wcs").withField("crval1", F.lit(187.0) + F.col("brick").cast("int") * (OVERLAP / 3600)))
+    return _q(pipeline.combined(_files(s), NEAR.tolerance_arcsec, NEAR.same_brick, bcfg=BG, dcfg=DET, mcfg=MES).select(*SOURCE_COLS), *FLOATS)
+
+
+def _forms_compared(s: Stages) -> DataFrame:
+    """Sources of the relational and of the tile form for each brick, and how many agree in place, size and flux."""
+    a = _q(s.catalog.select("brick", "npix", "x", "y", "flux_auto"), "x", "y", "flux_auto")
+    b = _q(pipeline.catalog_of_tiles(pipeline.to_tiles(s.px, s.dims, s.wcs), BG, DET, MES).select("brick", "npix", "x", "y", "flux_auto"), "x", "y", "flux_auto")
+    both = a.withColumn("form", F.lit(1)).unionByName(b.withColumn("form", F.lit(2))).groupBy("brick", "npix", "x", "y", "flux_auto").agg(F.count_if(F.col("form") == 1).alias("n1"), F.count_if(F.col("form") == 2).alias("n2"))
+    return both.groupBy("brick").agg(F.sum("n1").alias("relational"), F.sum("n2").alias("tile"), F.sum(F.least("n1", "n2")).alias("agreeing"))
+
+
 def _file_errors(s: Stages) -> DataFrame:
     rows = pipeline.catalog_of_files(_files(s), BG, DET, MES)
     return rows.where("error is not null").select("path", "error_kind").unionByName(rows.where("error is null").select("path", F.lit("none").alias("error_kind")).distinct())
@@ -426,6 +444,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fits_file": _lin(_fits_file),
     "csv_file": _lin(_csv_file),
     "run_files": _lin(_run_files),
+    "run_overlap": _lin(_run_overlap),
+    "forms_compared": _lin(_forms_compared),
     "file_errors": _lin(_file_errors),
     "wcs_headers": _wcs_headers,
     "null_stats": _lin(lambda s: _q(summaries.image_stats(_null_px(s)), "vmean")),
@@ -552,24 +572,27 @@ def _cols(*names: str, digits: int = 6) -> str:
     return ", ".join(f"{_sql_q(n, digits)} AS {n}" for n in names)
 
 
-def _pairs_sql(same: bool) -> str:
+def _pairs_sql(same: bool, tol: float = 1.0) -> str:
     brick = "" if same else "AND i.brick <> j.brick"
     return f"""pairs AS MATERIALIZED (SELECT i.id AS id_i, j.id AS id_j, i.ra AS ra_i, j.ra AS ra_j, i.npix AS npix_i, j.npix AS npix_j,
         sqrt(((j.ra - i.ra) * i.cd) * ((j.ra - i.ra) * i.cd) + (j.dec - i.dec) * (j.dec - i.dec)) * 3600e0 AS sep
-        FROM (SELECT *, greatest(abs(cos(radians(dec))), 0.01e0) AS cd, CAST(floor(dec * 3600) AS BIGINT) AS z FROM sky) i
-        JOIN (SELECT *, CAST(floor(dec * 3600) AS BIGINT) AS z FROM sky) j ON j.z BETWEEN i.z - 1 AND i.z + 1 AND (i.ra < j.ra OR i.ra = j.ra AND i.id < j.id) {brick}
-        AND j.ra - i.ra <= 1e0 / 3600e0 / i.cd WHERE sqrt(((j.ra - i.ra) * i.cd) * ((j.ra - i.ra) * i.cd) + (j.dec - i.dec) * (j.dec - i.dec)) * 3600e0 < 1)"""
+        FROM (SELECT *, greatest(abs(cos(radians(dec))), 0.01e0) AS cd, CAST(floor(dec * 3600 / {tol!r}e0) AS BIGINT) AS z FROM sky) i
+        JOIN (SELECT *, CAST(floor(dec * 3600 / {tol!r}e0) AS BIGINT) AS z FROM sky) j ON j.z BETWEEN i.z - 1 AND i.z + 1 AND (i.ra < j.ra OR i.ra = j.ra AND i.id < j.id) {brick}
+        AND j.ra - i.ra <= {tol!r}e0 / 3600e0 / i.cd WHERE sqrt(((j.ra - i.ra) * i.cd) * ((j.ra - i.ra) * i.cd) + (j.dec - i.dec) * (j.dec - i.dec)) * 3600e0 < {tol!r}e0)"""
 
 
-def _dedup_sql(same: bool, select: str) -> str:
-    """The greedy scan as a recursive list of removed rows over the pairs in scan order."""
-    return f"""WITH RECURSIVE sky AS ({SKY}), {_pairs_sql(same)},
+def _greedy_sql(sky: str, same: bool, tol: float, kind: str) -> str:
+    """The greedy scan as a recursive list of removed rows over the pairs in scan order: steps up to ``bad``."""
+    return f"""sky AS MATERIALIZED ({sky}), {_pairs_sql(same, tol)},
         o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ra_i, id_i, ra_j, id_j) AS k FROM pairs),
-        scan AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone UNION ALL
+        scan AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS {kind}[]) AS gone UNION ALL
             SELECT o.k, CASE WHEN list_contains(gone, id_i) OR list_contains(gone, id_j) THEN gone WHEN npix_i >= npix_j THEN list_append(gone, id_j) ELSE list_append(gone, id_i) END
             FROM scan JOIN o ON o.k = scan.k + 1),
-        bad AS MATERIALIZED (SELECT unnest(arg_max(gone, k)) AS id FROM scan)
-        {select}"""
+        bad AS MATERIALIZED (SELECT unnest(arg_max(gone, k)) AS id FROM scan)"""
+
+
+def _dedup_sql(same: bool, select: str) -> str:
+    return f"WITH RECURSIVE {_greedy_sql(SKY, same, 1.0, 'BIGINT')} {select}"
 
 
 ORACLES: dict[str, str] = {
@@ -645,3 +668,9 @@ ORACLES |= {
     "strips": ORACLES["scan_pixels"],
     "headers": _with(f"SELECT brick, 'r' AS band, {SIDE} AS nrows, {SIDE} AS ncols, {_sql_q('v1', 9)} AS crval1, {_sql_q('-t', 9)} AS cd1_1, 'none' AS error_kind FROM (SELECT DISTINCT brick FROM raw) LEFT JOIN wcs USING (brick) UNION ALL SELECT 'bad', 'r', 0, 0, NULL, NULL, 'fits'"),
 }
+_OVER_CTES = _LIN_CTES | {"wcs": _LIN_CTES["wcs"].replace("187e0 + i * 0.25e0", f"187e0 + i * ({OVERLAP!r}e0 / 3600)")}
+_OVER_SKY = "SELECT brick || '|' || label AS id, brick, ra, dec, npix FROM cat WHERE ra IS NOT NULL"
+ORACLES |= {
+    "run_overlap": _with("SELECT * FROM cat", _OVER_CTES).rsplit("SELECT * FROM cat", 1)[0].rstrip() + f",\n{_greedy_sql(_OVER_SKY, NEAR.same_brick, NEAR.tolerance_arcsec, 'VARCHAR')}\nSELECT brick, label, npix, {_cols(*FLOATS)}, flags FROM cat WHERE brick || '|' || label NOT IN (SELECT id FROM bad)",
+    "forms_compared": _with("SELECT brick, count(*) AS relational, count(*) AS tile, count(*) AS agreeing FROM det GROUP BY brick"),
+}

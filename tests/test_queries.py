@@ -17,7 +17,7 @@ def test_matches_duckdb(spark, duck, name):
 
 
 # the SQL closure is quadratic in the one large component that the smallest set has
-SLOW_AT_SMALLEST = {"labels", "labels_mosaic", "measurements_mosaic", "components", "detections", "detection_summary", "top10_snr", "iso_flux_centroid", "moments_axes", "kron_radius", "kron_flux", "edge_flags", "measurements", "measurements_tile", "top15_flux", "flux_stats", "csv_rows", "ellipse_points", "viewport_filter", "nearest_source", "single_table", "sql_detect", "sql_views", "csv_single", "fits_file", "csv_file", "run_files", "file_errors"}
+SLOW_AT_SMALLEST = {"labels", "labels_mosaic", "measurements_mosaic", "components", "detections", "detection_summary", "top10_snr", "iso_flux_centroid", "moments_axes", "kron_radius", "kron_flux", "edge_flags", "measurements", "measurements_tile", "top15_flux", "flux_stats", "csv_rows", "ellipse_points", "viewport_filter", "nearest_source", "single_table", "sql_detect", "sql_views", "run_overlap", "forms_compared", "csv_single", "fits_file", "csv_file", "run_files", "file_errors"}
 LARGER = "/root/testdata/sf0.01"
 _cons = {}
 
