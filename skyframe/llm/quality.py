@@ -34,6 +34,7 @@ LOW, GOOD, NONE = 0, 1, 2
 #: Before the data speak: the share of a labeller's votes that are low on low and on good documents.
 #: A labeller sees one kind of fault, so most low documents pass most labellers.
 PRIOR_LOW_ON_LOW, PRIOR_LOW_ON_GOOD, PRIOR_WEIGHT, PRIOR_GOOD = 0.3, 0.01, 50.0, 0.85
+PORTION = 1 << 20
 LABELLERS = ("symbols", "repeated_words", "repeated_lines", "capitals", "word_length", "variety", "sentences", "length", "marked_words")
 
 
@@ -69,6 +70,16 @@ class Measured:
         self.lines, self.own_lines = np.array([len(x) for x in lines], np.int64), np.array([len(set(x)) for x in lines], np.int64)
 
 
+def portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ends of consecutive texts of about ``PORTION`` bytes: what is measured at once, so that memory does not follow the batch."""
+    start = size = 0
+    for k, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= PORTION or k == len(texts):
+            yield start, k
+            start, size = k, 0
+
+
 def votes(m: Measured) -> np.ndarray:
     """A row of votes (one for each of ``LABELLERS``) for each text."""
     n, chars = np.maximum(m.n, 1), np.maximum(m.chars, 1)
@@ -161,7 +172,9 @@ def _pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Votes as a string of digits, counted over the task."""
     count: Counter = Counter()
     for b in batches:
-        count.update(map(tuple, votes(Measured([t or b"" for t in b.column(0).to_pylist()])).tolist()))
+        texts = [t or b"" for t in b.column(0).to_pylist()]
+        for start, end in portions(texts):
+            count.update(map(tuple, votes(Measured(texts[start:end])).tolist()))
     yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, k)) for k in count], pa.string()), pa.array(list(count.values()), pa.int64())], ["pattern", "n"])
 
 
@@ -173,10 +186,12 @@ def fit(docs: DataFrame) -> tuple[LabelModel, LinearScorer]:
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = Measured([t for t in b.column(0).to_pylist() if t and t.split()])
-            at, i, v = features(m)
-            part = lambda x, t: pa.array([x[a:z].astype(t).tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([part(i, "i4"), part(v, "f4"), pa.array(model.posterior(votes(m)), pa.float64())], ["i", "v", "q"])
+            texts = [t for t in b.column(0).to_pylist() if t and t.split()]
+            for start, end in portions(texts):
+                m = Measured(texts[start:end])
+                at, i, v = features(m)
+                part = lambda x, t: pa.array([x[a:z].astype(t).tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([part(i, "i4"), part(v, "f4"), pa.array(model.posterior(votes(m)), pa.float64())], ["i", "v", "q"])
 
     scorer = LinearScorer()
     seen = C.cut(C.text_bytes(C.sampled(docs, FIT_DOCS)).mapInArrow(examples, "i binary, v binary, q double").withColumn("n", F.expr("octet_length(i) div 4")))
@@ -193,10 +208,12 @@ def quality_scores(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scorer = shared.value
         for b in batches:
-            m = Measured([t or b"" for t in b.column(1).to_pylist()])
-            q = model.posterior(votes(m))
-            s = np.where(m.n > 0, scorer.score(*features(m)), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.float64()), pa.array(s, pa.float64()), pa.array(s >= least)], ["doc_id", "weak_label", "score", "kept"])
+            texts = [t or b"" for t in b.column(1).to_pylist()]
+            for start, end in portions(texts):
+                m = Measured(texts[start:end])
+                q = model.posterior(votes(m))
+                s = np.where(m.n > 0, scorer.score(*features(m)), 0.0)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), pa.array(q, pa.float64()), pa.array(s, pa.float64()), pa.array(s >= least)], ["doc_id", "weak_label", "score", "kept"])
 
     return C.text_bytes(docs, C.doc_id_col()).mapInArrow(run, "doc_id long, weak_label double, score double, kept boolean")
 
