@@ -36,7 +36,11 @@ def read_images(spark: SparkSession, folder: str, band: str = "r", glob: str | N
     """
     files = _files(spark, folder, glob or f"legacysurvey-*-image-{band}.fits.fz")  # sorting would shuffle the files' contents
     tune(spark)
-    named = files.select("path", brick_name(F.col("path"), F.lit("unknown")).alias("brick"), "content")
+    return decoded(files)
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Images of files ``(path, content)``, a table or a stream."""
 
     def decode(batches):
         for b in batches:
@@ -49,7 +53,7 @@ def read_images(spark: SparkSession, folder: str, band: str = "r", glob: str | N
                     rows.append((path, brick, None, None, None, None, e.kind, str(e)))
             yield pd.DataFrame(rows, columns=[f.name for f in TILE])
 
-    return named.mapInPandas(decode, TILE)
+    return files.select("path", brick_name(F.col("path"), F.lit("unknown")).alias("brick"), "content").mapInPandas(decode, TILE)
 
 
 def pixels(tiles: DataFrame) -> DataFrame:

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import BackgroundConfig, DedupConfig, DetectConfig, MeasureConfig
-from ..functions.scalar import brick_name
 from ..operators.dedup import deduplicate
 from ..plans.pipeline import catalog_of_tiles
-from ..sources import fits
-from ..sources.images import TILE
+from ..sources.images import decoded
 
 
 def arriving(spark: SparkSession, folder: str, glob: str = "legacysurvey-*.fits*") -> DataFrame:
@@ -20,23 +18,6 @@ def arriving(spark: SparkSession, folder: str, glob: str = "legacysurvey-*.fits*
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(folder)
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    import pandas as pd
-
-    def decode(batches):
-        for b in batches:
-            rows = []
-            for path, brick, content in zip(b["path"], b["brick"], b["content"]):
-                try:
-                    image, wcs = fits.read_image(bytes(content))
-                    rows.append((path, brick, *image.shape, wcs, image.ravel(), None, None))
-                except fits.FitsError as e:
-                    rows.append((path, brick, None, None, None, None, e.kind, str(e)))
-            yield pd.DataFrame(rows, columns=[f.name for f in TILE])
-
-    return files.select("path", brick_name(F.col("path"), F.lit("unknown")).alias("brick"), "content").mapInPandas(decode, TILE)
-
-
 def grow_catalog(spark: SparkSession, folder: str, catalog: str, checkpoint: str, bcfg: BackgroundConfig = BackgroundConfig(), dcfg: DetectConfig = DetectConfig(), mcfg: MeasureConfig = MeasureConfig()) -> StreamingQuery:
     """Append the sources of new images to a Parquet catalog, partitioned by batch; each batch is written once.
 
