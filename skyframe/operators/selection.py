@@ -34,7 +34,8 @@ def _double(k: pd.Series) -> pd.Series:
 
 def upper_medians(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """``keys, out``: ``sorted[n / 2]`` of the non-null values of each group; groups without any have no row."""
-    bits = cut(rows.where(F.col(value).isNotNull()).select(*keys, _ordered(F.col(value).cast("double")).alias("k_")))
+    # written before the filter, which would else be pushed into the expressions behind the value and repeat them
+    bits = cut(rows.select(*keys, F.col(value).cast("double").alias("v_"))).where("v_ is not null").select(*keys, _ordered("v_").alias("k_"))
     chosen = None
     for at in range(BITS - STEP, -1, -STEP):
         # the highest bits keep their sign
