@@ -204,6 +204,23 @@ def test_dedup_of_wide_components(spark, dec):
     assert len(wide) >= (150 if dec != 89.999 else 2)
 
 
+def crowd(n=20_000, dec=12.0):
+    """Three sources a square tolerance over several tiles: all of them are one component of pairs."""
+    rng, side = np.random.default_rng(8), 0.0225
+    return [(i, f"b{rng.integers(5)}", 187 + rng.random() * side, dec + rng.random() * side, int(rng.integers(5, 45))) for i in range(n)]
+
+
+CROWD = "id long, brick string, ra double, dec double, npix int"
+
+
+def test_a_crowded_field_is_scanned_by_tiles(spark, monkeypatch):
+    """The component is never brought together, neither in rounds nor in one group."""
+    rows = crowd()
+    cat = spark.createDataFrame(rows, CROWD).repartition(5)
+    monkeypatch.setattr(dedup, "roots", None)
+    assert sorted(r.id for r in dedup.removed(cat, DedupConfig(1.0, True)).collect()) == greedy(rows, 1.0, True)
+
+
 @pytest.mark.parametrize("tile", [1, 3, 8, 100])
 def test_mosaic_labels_and_filter(spark, tile):
     """Spirals, diagonals, rings and noise across tile borders are labelled and smoothed as in the whole image."""
