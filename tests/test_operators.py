@@ -213,12 +213,13 @@ def crowd(n=20_000, dec=12.0):
 CROWD = "id long, brick string, ra double, dec double, npix int"
 
 
-def test_a_crowded_field_is_scanned_by_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("same", [False, True])
+def test_a_crowded_field_is_scanned_by_tiles(spark, monkeypatch, same):
     """The component is never brought together, neither in rounds nor in one group."""
     rows = crowd()
     cat = spark.createDataFrame(rows, CROWD).repartition(5)
     monkeypatch.setattr(dedup, "roots", None)
-    assert sorted(r.id for r in dedup.removed(cat, DedupConfig(1.0, True)).collect()) == greedy(rows, 1.0, True)
+    assert sorted(r.id for r in dedup.removed(cat, DedupConfig(1.0, same)).collect()) == greedy(rows, 1.0, same)
 
 
 @pytest.mark.parametrize("tile", [1, 3, 8, 100])
