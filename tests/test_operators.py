@@ -222,6 +222,15 @@ def test_a_crowded_field_is_scanned_by_tiles(spark, monkeypatch, same):
     assert sorted(r.id for r in dedup.removed(cat, DedupConfig(1.0, same)).collect()) == greedy(rows, 1.0, same)
 
 
+def test_what_is_left_of_a_crowded_field(spark, monkeypatch):
+    rows = crowd(dec=-60.0)
+    monkeypatch.setattr(dedup, "roots", None)
+    left = dedup.deduplicate(spark.createDataFrame(rows + [(-1, "b0", None, None, 5)], CROWD)).collect()
+    gone = set(greedy(rows, 1.0, False))
+    assert sorted(r.id for r in left) == [-1] + [r[0] for r in rows if r[0] not in gone]
+    assert left[-1].id == -1 and [(r.ra, r.id) for r in left[:-1]] == sorted((r.ra, r.id) for r in left[:-1])
+
+
 @pytest.mark.parametrize("tile", [1, 3, 8, 100])
 def test_mosaic_labels_and_filter(spark, tile):
     """Spirals, diagonals, rings and noise across tile borders are labelled and smoothed as in the whole image."""
