@@ -4,7 +4,7 @@ Every source stays in the catalog with a mark ``gone``: what a batch brings may
 may bring one back whose rival goes itself.  Whether a row goes depends on its component of
 candidate pairs alone, so a batch decides anew the components that hold one of its rows, from the
 zones of its rows and their neighbours; where such a component reaches the edge of what was read, the
-next zone is read too.
+next zone is read too.  Where all zones are read, components need not be told apart.
 
 A batch writes the zones that it changed under ``batch=N/zone=Z``, whole; the newest version of a
 zone counts.  Versions of a batch's own number are never read, so a batch that runs again after a
@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..config import DedupConfig
-from ..operators.dedup import decisions
+from ..operators.dedup import decisions, removed
 from ..plans.durable import cut
 
 HEIGHT = 0.05  # degrees: a zone is far taller than a component, and there are 3,600 at most
@@ -68,10 +68,15 @@ def merge(batch: DataFrame, path: str, number: int, cfg: DedupConfig = DedupConf
         return {"new": 0, "zones_read": [], "zones_written": []}
     tol = cfg.tolerance_arcsec / 3600.0
     read = {z + d for z in touched for d in (-1, 0, 1) if z != NOWHERE} | touched
+    held = {r.zone for r in versions(spark, path, schema).where(F.col("batch") < number).select("zone").distinct().collect()} - {NOWHERE}
     while True:
         known = newest(versions(spark, path, schema).where(F.col("zone").isin(sorted(read)) & (F.col("batch") < number))).drop("batch")
         fresh = new.join(known.select("id"), "id", "left_anti")
         rows = cut(known.withColumn("fresh", F.lit(False)).unionByName(fresh.withColumns({"gone": F.lit(False), "fresh": F.lit(True)})))
+        if held <= read:
+            gone = removed(rows, cfg).select("id", F.lit(True).alias("out"))
+            fate = rows.select("id").join(gone, "id", "left").select("id", F.coalesce("out", F.lit(False)).alias("now"))
+            break
         fate = cut(decisions(rows, cfg))
         own = fate.join(rows.where("fresh").select("id"), "id").select("root").distinct()
         fate = fate.join(own, "root").select("id", F.col("gone").alias("now"), "low", "high")

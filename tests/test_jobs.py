@@ -142,3 +142,15 @@ def test_any_order_of_arrival(spark, tmp_path, seed):
         zones.merge(spark.createDataFrame(some + some[:3], CAT), path, k, cfg, 0.003)
     stored = zones.newest(zones.versions(spark, path, cat.schema))
     assert stored.count() == len(rows) and fates(stored) == whole(cat, cfg)
+
+
+def test_a_batch_over_all_zones_tells_no_components_apart(spark, tmp_path, monkeypatch):
+    """A crowded sky, whole at first and then with more; the second batch reads all zones too."""
+    rng, path, cfg = np.random.default_rng(4), f"{tmp_path}/cat", DedupConfig(1.0, False)
+    rows = [(i, f"b{rng.integers(5)}", 10 + rng.random() * 0.01, rng.random() * 0.02, int(rng.integers(5, 45))) for i in range(6000)]
+    cat = spark.createDataFrame(rows, CAT)
+    zones.create(spark, path, cat.schema)
+    monkeypatch.setattr(zones, "decisions", None)
+    for k, part in enumerate((cat.where("id % 3 > 0"), cat.where("id % 3 = 0"))):
+        assert zones.merge(part, path, k, cfg, 0.005)["new"] == part.count()
+    assert fates(zones.newest(zones.versions(spark, path, cat.schema))) == whole(cat, cfg)
