@@ -231,6 +231,20 @@ def test_what_is_left_of_a_crowded_field(spark, monkeypatch):
     assert left[-1].id == -1 and [(r.ra, r.id) for r in left[:-1]] == sorted((r.ra, r.id) for r in left[:-1])
 
 
+@pytest.mark.parametrize("dec", [0.0, 12.0, -72.0, 89.99])
+def test_pairs_meet_few_others(spark, dec):
+    """All pairs of a crowded field at any declination, from few copies of rows and few meetings."""
+    rng, side = np.random.default_rng(6), 0.005
+    ra, y = 187 + rng.random(1500) * side / math.cos(math.radians(dec)), dec + (rng.random(1500) - 0.5) * side
+    cat = spark.createDataFrame([(i, "b", float(a), float(b), 5) for i, (a, b) in enumerate(zip(ra, y))], CROWD)
+    cos = np.maximum(np.abs(np.cos(np.radians(y))), 0.01)
+    d, h = ra[None, :] - ra[:, None], y[None, :] - y[:, None]
+    want = np.argwhere((d > 0) & (d <= 1 / 3600 / cos[:, None]) & (np.hypot(d * cos[:, None], h) * 3600 < 1))
+    assert sorted((r.id_i, r.id_j) for r in dedup.candidate_pairs(cat, DedupConfig(1.0, True)).collect()) == [tuple(x) for x in want.tolist()]
+    left, right = dedup.sides(cat, DedupConfig(1.0, True))
+    assert left.count() < 3.3 * 1500 and left.join(right, ["zone", "slice"]).count() < 16 * len(want)
+
+
 @pytest.mark.parametrize("tile", [1, 3, 8, 100])
 def test_mosaic_labels_and_filter(spark, tile):
     """Spirals, diagonals, rings and noise across tile borders are labelled and smoothed as in the whole image."""
