@@ -1,16 +1,18 @@
 """Secret scans with inferred grammars.
 
 Base patterns (assignments, access keys, long hexadecimal runs) give labelled credentials.  From
-those of a bounded sample of documents, one probabilistic automaton is inferred for each kind:
-a prefix tree over character classes, whose states are merged while their outgoing frequencies
-are statistically compatible (Hoeffding bound, recursively).  Every run of credential characters
+those of all documents, one probabilistic automaton is inferred for each kind: a prefix tree over
+character classes, whose states are merged while their outgoing frequencies are statistically
+compatible (Hoeffding bound, recursively); then all values pass through it, which gives the
+frequencies of its states.  Every run of credential characters
 in every text, of whatever length, is then scored: its log-likelihood under the best automaton
 less that under a class bigram of ordinary runs.  Short runs cannot gather much, so no length is
-asked for.  Runs above a threshold fitted on the sample become ``inferred`` spans; base spans
+asked for.  Runs above a threshold fitted on all ordinary runs become ``inferred`` spans; base spans
 always stay.
 
-Bounds of the fit (parameters): about ``FIT_DOCS`` documents by hash, ``FIT_SYMBOLS`` characters of
-whole distinct values of a kind, ``FIT_ORDINARY`` distinct shapes of ordinary runs.  Scanning covers all texts.
+All counts are made by Spark over all texts, distinct shapes counting once.  Only sums reach the driver: the
+edges of the tree below prefixes that at least one in ``SHARE`` values of a kind begins with, down to ``DEPTH``
+characters, counts by state and by pair of classes, and a histogram of ordinary runs by gain (``BIN`` nats).
 
 Edge cases: null text is empty; without labelled values of a kind there is no automaton for it,
 and without any there are only base spans; offsets are code points, end exclusive.
@@ -20,7 +22,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 KINDS = ("assign", "access", "hex")
-FIT_DOCS, FIT_SYMBOLS, FIT_ORDINARY = 20_000, 16_000, 20_000
+SHARE, DEPTH = 1024, 64  # prefixes of fewer values, or longer ones, tell no states apart
+BIN, LOW, HIGH = 0.01, -100.0, 400.0
 ALPHA = 0.05  # of the compatibility test
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -82,7 +86,8 @@ def _clear(runs: Iterator[re.Match], base: list[tuple[int, int, int]]) -> Iterat
 class Automaton:
     """A probabilistic automaton inferred from strings by merging compatible prefix-tree states."""
 
-    def __init__(self, samples: list[str], alpha: float = ALPHA):
+    def __init__(self, samples: list[str], alpha: float = ALPHA, edges: list[tuple[str, str, int]] | None = None):
+        """From strings, or from ``edges`` of a prefix tree: (prefix, next symbol or "$", strings); what lies below is unknown."""
         self.total, self.final, self.edge = [0], [0], [{}]  # by state: strings through it, ending in it, symbol -> [state, count]
         self.alpha = alpha
         for s in samples:
@@ -98,6 +103,18 @@ class Automaton:
                 q = self.edge[q][c][0]
                 self.total[q] += 1
             self.final[q] += 1
+        at = {"": 0}
+        for prefix, c, n in sorted(edges or []):
+            q = at[prefix]  # a prefix sorts behind its own prefixes
+            self.total[q] += n
+            if c == "$":
+                self.final[q] += n
+            else:
+                at[prefix + c] = len(self.total)
+                self.edge[q][c] = [len(self.total), n]
+                self.total.append(0)
+                self.final.append(0)
+                self.edge.append({})
         self._merge()
         self._index()
 
@@ -158,6 +175,25 @@ class Automaton:
             n = self.total[q] + len(SYMBOLS) + 1
             self.log[q] = ({c: (math.log((k + 1) / n), t) for c, (t, k) in self.edge[q].items()}, math.log((self.final[q] + 1) / n), math.log(1 / n))
 
+    def passed(self, shapes: list[str]) -> dict[tuple[int, str], int]:
+        """How many of ``shapes`` take each symbol in each state, or end there ("$"); an unknown symbol stays."""
+        n: dict[tuple[int, str], int] = {}
+        for s in shapes:
+            q = 0
+            for c in s:
+                n[q, c] = n.get((q, c), 0) + 1
+                q = self.edge[q][c][0] if c in self.edge[q] else q
+            n[q, "$"] = n.get((q, "$"), 0) + 1
+        return n
+
+    def recount(self, n: dict[tuple[int, str], int]) -> None:
+        for q in self.kept:
+            to = {c: self.edge[q][c][0] for c in self.edge[q]}
+            self.edge[q] = {c: [to.get(c, q), n.get((q, c), 0)] for c in SYMBOLS if c in to or (q, c) in n}
+            self.final[q] = n.get((q, "$"), 0)
+            self.total[q] = self.final[q] + sum(k for _, k in self.edge[q].values())
+        self._index()
+
     def score(self, s: str) -> float:
         q, total = 0, 0.0
         for c in s:
@@ -170,27 +206,41 @@ class Automaton:
 class Bigram:
     """Class bigram of ordinary runs."""
 
-    def __init__(self, samples: list[str]):
-        n = {a: {b: 1.0 for b in SYMBOLS + "$"} for a in "^" + SYMBOLS}
-        for s in samples:
-            for a, b in zip("^" + s, s + "$"):
-                n[a][b] += 1
+    def __init__(self, counts: dict[str, int]):
+        n = {a: {b: 1.0 + counts.get(a + b, 0) for b in SYMBOLS + "$"} for a in "^" + SYMBOLS}
         self.log = {a: {b: math.log(k / sum(r.values())) for b, k in r.items()} for a, r in n.items()}
 
+    @staticmethod
+    def pairs(shapes: Iterable[str]) -> dict[str, int]:
+        n: Counter[str] = Counter()
+        for s in shapes:
+            n.update(map("".join, zip("^" + s, s + "$")))
+        return n
+
     def score(self, s: str) -> float:
         return sum(self.log[a][b] for a, b in zip("^" + s, s + "$"))
 
 
 class Model:
     def __init__(self, values: dict[int, list[str]], ordinary: list[str]):
-        self.automata = {k: Automaton(x) for k, x in values.items() if x}
-        self.plain = Bigram(ordinary)
-        self.shapes: dict[str, float] = {}
-        self.words: dict[str, bool] = {}
+        self._take({k: Automaton(x) for k, x in values.items() if x}, Bigram(Bigram.pairs(ordinary)))
         # nearly all ordinary runs stay below
         self.least = max(LEAST, float(np.quantile([self.gain(v) for v in ordinary], ORDINARY) + 1.0 if ordinary and self.automata else 0.0))
         self.shapes.clear()
 
+    @classmethod
+    def of(cls, automata: dict[int, Automaton], plain: Bigram) -> Model:
+        """A model from counts; its threshold is still to be set."""
+        m = cls.__new__(cls)
+        m._take(automata, plain)
+        m.least = LEAST
+        return m
+
+    def _take(self, automata: dict[int, Automaton], plain: Bigram) -> None:
+        self.automata, self.plain = automata, plain
+        self.shapes: dict[str, float] = {}
+        self.words: dict[str, bool] = {}
+
     def gain(self, shape: str) -> float:
         """Log-likelihood under the best automaton less that of an ordinary run."""
         if not self.automata:
@@ -220,7 +270,7 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Infer the automata from labelled credentials in a bounded sample."""
+    """Infer the automata from the labelled credentials of all ``docs``, and the threshold from all other runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,11 +285,42 @@ def fit(docs: DataFrame) -> Model:
                 out |= {(-1, x.translate(SHAPE)) for x in {m.group() for m in _clear(RUN.finditer(text), base)}}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.string())], ["kind", "shape"])
 
-    seen = C.text_bytes(C.sampled(docs, FIT_DOCS)).mapInArrow(run, "kind int, shape string")
-    by_kind = C.cut(seen.distinct().withColumn("size", F.length("shape")))
-    values = {k: [r.shape for r in C.within(by_kind.where(F.col("kind") == k), "size", FIT_SYMBOLS).collect()] for k in range(len(KINDS))}
-    ordinary = by_kind.where("kind = -1").select("shape").orderBy(F.xxhash64("shape"), "shape").limit(FIT_ORDINARY).collect()
-    return Model(values, sorted(r[0] for r in ordinary))
+    by_kind = C.cut(C.text_bytes(docs).mapInArrow(run, "kind int, shape string").distinct())
+    known = by_kind.where("kind >= 0")
+    total = {r.kind: r["count"] for r in known.groupBy("kind").count().collect()}
+    heavy = " or ".join(f"kind = {k} and m >= {max(1, n // SHARE)}" for k, n in total.items()) or "false"
+    step = known.select("kind", "shape", F.explode(F.expr(f"sequence(0, least(length(shape), {DEPTH}))")).alias("at"))
+    step = step.select("kind", F.expr("substring(shape, 1, at)").alias("prefix"), F.expr("if(at < length(shape), substring(shape, at + 1, 1), '$')").alias("next"))
+    edges = C.cut(step.groupBy("kind", "prefix", "next").agg(F.count("*").alias("n")))
+    edges = edges.join(edges.groupBy("kind", "prefix").agg(F.sum("n").alias("m")).where(heavy), ["kind", "prefix"]).collect()
+    automata = {k: Automaton([], edges=[(r.prefix, r.next, r.n) for r in edges if r.kind == k]) for k in sorted(total)}
+
+    def counted(rows: DataFrame, count: Callable[[int, list[str]], dict]) -> dict:
+        """Sums over all ``rows`` of what ``count`` says of a kind's shapes in a batch."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                of: dict[int, list[str]] = {}
+                for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    of.setdefault(k, []).append(x)
+                got = [(k, str(key), n) for k, x in of.items() for key, n in count(k, x).items()]
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))], ["kind", "key", "n"])
+
+        return {(r.kind, r.key): r.n for r in rows.mapInArrow(part, "kind int, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()}
+
+    through = counted(known, lambda k, x: {f"{q} {c}": n for (q, c), n in automata[k].passed(x).items()})
+    for k, a in automata.items():
+        a.recount({(int(key.split()[0]), key.split()[1]): n for (kind, key), n in through.items() if kind == k})
+    other = by_kind.where("kind = -1")
+    model = Model.of(automata, Bigram({key: n for (_, key), n in counted(other, lambda _, x: Bigram.pairs(x)).items()}))
+    if automata:
+        gains = counted(other, lambda _, x: Counter(math.ceil(min(max(model.gain(s), LOW), HIGH) / BIN) for s in x))
+        bins = sorted((int(key), n) for (_, key), n in gains.items())
+        if bins:
+            upto = np.cumsum([n for _, n in bins])
+            model.least = max(LEAST, bins[int(np.searchsorted(upto, ORDINARY * upto[-1]))][0] * BIN + 1.0)
+        model.shapes.clear()
+    return model
 
 
 def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -252,6 +252,21 @@ def test_automaton_merges_loops():
     assert len(a.kept) <= 30 and a.score("0a0a0a0a0a" * 2) > a.score("G-G-G-G-G-" * 2)
 
 
+def test_secret_models_count_all_texts(spark):
+    """Sums over many partitions are those of plain Python over all shapes; each text counts."""
+    rng = np.random.default_rng(4)
+    values = ["".join(rng.choice(list("0123456789abcdef"), int(rng.integers(24, 40)))) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, f"see {v} in {prose(i, 12)}", None, None, None) for i, v in enumerate(values)], SCHEMA).repartition(7)
+    model, shapes = secret_scan.fit(docs), {v.translate(secret_scan.SHAPE) for v in values}
+    a = model.automata[2]
+    assert set(model.automata) == {2} and sum(a.final[q] for q in a.kept) == len(shapes)
+    assert sum(n for q in a.kept for _, n in a.edge[q].values()) == sum(map(len, shapes))
+    assert secret_scan.Automaton(["0a", "00a", "a"]).kept == secret_scan.Automaton([], edges=[("", "0", 2), ("", "a", 1), ("0", "a", 1), ("0", "0", 1), ("00", "a", 1), ("0a", "$", 1), ("00a", "$", 1), ("a", "$", 1)]).kept
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(common, "sampled", None)
+        secret_scan.fit(docs.limit(3))
+
+
 def test_toxicity(spark):
     labels = spark.createDataFrame([(i, 0, int(i in (3, 4))) for i in range(12)] + [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
     docs = awkward(spark)
