@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import subprocess
 import sys
 
@@ -10,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import registry, sky_catalog, text_survey
-from skyframe.config import DedupConfig
-from skyframe.operators import dedup
+from skyframe.config import BackgroundConfig, DedupConfig, DetectConfig
+from skyframe.operators import dedup, detect
+from skyframe.plans import pipeline
 from skyframe.sources import views
 from skyframe.streaming import zones
 
@@ -74,6 +76,47 @@ def test_survey_from_the_command_line(spark, duck, tmp_path):
     assert any(x.startswith("source=") for x in os.listdir(f"{tmp_path}/out"))
 
 
+def test_survey_counts_words_from_bytes(spark):
+    """Every separator, code points of one to four bytes, texts without words and nulls, in batches that start anywhere."""
+    import pyarrow as pa
+
+    texts = ["a bb\tccc\n\x0bd\x0c\re", None, "", "   ", "é\u00a0x 漢字 😀😀😀 " + "z" * 40, "end", "start", "\x08\x0e\x1f ok"]
+    bricks = ["p", "p", "q", "q", "p", "q", "q", "q"]
+    batch = pa.record_batch({"brick": ["x", *bricks], "row": pa.array([9, 0, 0, 0, 0, 0, 1, 1, 1], pa.int32()), "text": ["not seen", *texts]}).slice(1)
+    got = text_survey.word_counts(batch, 32).to_pylist()
+    want = {}
+    for b, r, x in zip(bricks, [0, 0, 0, 0, 0, 1, 1, 1], texts):
+        for w in filter(None, re.split(r"[\x20\x09-\x0D]+", x or "")):
+            k = (b, r, min(len(w), 32) - 1)
+            want[k] = want.get(k, 0) + 1
+    assert {(g["brick"], g["row"], g["col"]): g["v"] for g in got} == want and len(got) == len(want)
+    docs = spark.createDataFrame([(i, "s", x) for i, x in enumerate(texts)], "doc_id long, source string, text string")
+    sparse = text_survey.spectrogram(docs, 4, 1 << 22).collect()  # too many columns to count in one array
+    assert sum(r.v for r in sparse) == sum(want.values()) and max(r.col for r in sparse) == 39
+
+
+def test_survey_shuffles_no_empty_pixels(spark, tmp_path, monkeypatch):
+    """What is filtered comes from the words alone; the image is made where it is filtered."""
+    monkeypatch.setattr(text_survey.pipeline, "filtered", None)
+    assert text_survey.run(spark, f"{DATA}/documents.parquet", f"{tmp_path}/out", config(tmp_path, block=4)) > 0
+
+
+@pytest.mark.parametrize("mesh, rows, sigma, thresh", [(8, 8, 1.0, 2.0), (8, 20, 3.0, 1.0), (5, 16, 2.5, 1.5), (8, 64, 1.0, -1.0), (64, 16, 1.0, 2.0)])
+def test_strips_find_the_mask_of_the_whole_image(spark, mesh, rows, sigma, thresh):
+    rng, n, m = np.random.default_rng(2), 93, 21
+    px = rng.poisson(3.0, (2, n, m)).astype(float)
+    px[0, 30:70] = 0  # strips without a pixel, beside bright ones
+    px[0, 28:30, 5:9], px[1, 46:51, 3:6], px[1, -1, -4:] = 60, 40, 50
+    cells = [(f"b{b}", r, c, float(px[b, r, c])) for b in range(2) for r in range(n) for c in range(m)]
+    whole = spark.createDataFrame(cells, "brick string, row int, col int, v double")
+    bcfg, dcfg = BackgroundConfig(mesh, 3.0), DetectConfig(sigma, thresh, 3)
+    want = {(r.brick, r.row, r.col): r.snr for r in detect.mask(pipeline.filtered(whole, bcfg, dcfg), thresh).collect()}
+    rows_ = pipeline.masked_strips(whole.where("v > 0"), n, m, bcfg, dcfg, rows).collect()
+    got = {(r.brick, r.row, r.col): r.snr for r in rows_}
+    assert len(rows_) == len(got) and got.keys() == want.keys() and len(got) > 20
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 # ---------------------------------------------------------------- catalog
 
 
